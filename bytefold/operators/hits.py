@@ -47,11 +47,11 @@ def detection_metrics(rows: DataFrame, by: list[str], found: Column, true: Colum
     return out.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
-def xor_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Differing bytes of two images ``(off, v)`` over their common length, and their share."""
-    both = a.select("off", F.col("v").alias("x")).join(b.select("off", F.col("v").alias("y")), "off")
+def xor_diff(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Differing bytes of image pairs ``(…by, off, v)`` over their common length, and their share."""
+    both = a.select(*by, "off", F.col("v").alias("x")).join(b.select(*by, "off", F.col("v").alias("y")), [*by, "off"])
     changed = F.sum(F.when(F.col("x").bitwiseXOR(F.col("y")) != 0, 1).otherwise(0)).cast("bigint")
-    return both.agg(F.count(F.lit(1)).alias("compared"), changed.alias("different")).withColumn("percent", F.coalesce(F.try_divide(F.col("different") * F.lit(100.0).cast("double"), F.col("compared")), F.lit(0.0)))
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("compared"), changed.alias("different")).withColumn("percent", F.coalesce(F.try_divide(F.col("different") * F.lit(100.0).cast("double"), F.col("compared")), F.lit(0.0)))
 
 
 def static_mask(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -59,10 +59,17 @@ def static_mask(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "off").agg((F.min("v") == F.max("v")).alias("is_static"))
 
 
-def classify_against_first(rows: DataFrame, key_start: Column, key_length: Column, order: str) -> DataFrame:
-    """Bytes of a known-key window as key, same or different against the first run; missing bytes count as 0."""
-    first = rows.groupBy("off").agg(F.min_by("v", order).alias("ref"))
-    return rows.groupBy("off").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).join(first, "off").select("off", F.when((F.col("off") >= key_start) & (F.col("off") < key_start + key_length), "key").when(F.col("lo") == F.col("hi"), "same").otherwise("different").alias("role"))
+def classify_runs(rows: DataFrame, by: list[str], run: str, key_start: int, key_length: int) -> DataFrame:
+    """Bytes of a known-key window over several runs as key, same or different; missing bytes count as 0.
+
+    All runs equal the first exactly when least and largest value are equal, so no run is joined
+    to another; a run without the byte adds a 0.
+    """
+    runs = rows.groupBy(*by).agg(F.count_distinct(run).alias("_runs"))
+    n = rows.groupBy(*by, "off").agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.count_distinct(run).alias("_n")).join(runs, by)
+    low = F.when(F.col("_n") < F.col("_runs"), F.lit(0)).otherwise(F.col("_lo"))
+    role = F.when((F.col("off") >= key_start) & (F.col("off") < key_start + key_length), "key").when(low == F.col("_hi"), "same").otherwise("different")
+    return n.select(*by, "off", role.alias("role"))
 
 
 def confidence_rollup(matches: DataFrame, by: list[str]) -> DataFrame:
