@@ -9,6 +9,10 @@ pending orphans are carried over.  Counts per table and month can be snapshot at
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,26 +36,23 @@ class OrphanTracker:
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
-        self.spark, self.root, self.version = spark, root or scratch_path(spark, "orphans"), 0
+        self.spark, self.root = spark, root or scratch_path(spark, "orphans")
+        self.version, self.paths, self.counted = 0, {"refs": [], "parents": [], "removals": [], "pending": []}, []
         try:
-            self.version = spark.read.parquet(f"{self.root}/commits").agg(F.max("version")).first()[0] or 0
-        except Exception:  # nothing committed yet
+            last = spark.read.parquet(f"{self.root}/commits").orderBy(F.desc("version")).first()
+            self.version, self.paths, self.counted = last["version"], json.loads(last["paths"]), list(last["counted"])
+        except AnalysisException:  # nothing committed yet
             pass
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        """A state table as of the last commit; versions after it are leftovers of a failed step."""
-        if not self.version:
+        """A state table as of the last commit; files after it are leftovers of a failed step."""
+        if not self.paths[name]:
             return self.spark.createDataFrame([], schema)
-        if name == "refs":
-            paths = [f"{self.root}/refs/v{v}" for v in range(1, self.version + 1)]
-        else:
-            paths = [f"{self.root}/{name}/v{self.version}"]
-        return self.spark.read.schema(schema).parquet(*paths)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in self.paths[name]))
 
-    def _write(self, df: DataFrame, name: str, version: int, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}/v{version}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(schema).parquet(path)
+    def _write(self, df: DataFrame, path: str, schema: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{path}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{path}")
 
     @staticmethod
     def _probe(refs: DataFrame, parents: DataFrame, removals: DataFrame) -> DataFrame:
@@ -69,27 +70,40 @@ class OrphanTracker:
         ``parent_table, ref, parent_micros``; ``removals``: ``parent_table, ref, removed_at,
         restored`` (a restoration repeats the removal with ``restored`` true).
         """
-        v, spark = self.version + 1, self.spark
-        empty = lambda schema: spark.createDataFrame([], schema)
+        v, paths, at = self.version + 1, dict(self.paths), lambda name: f"{name}/v{self.version + 1}"
         log, index, out, pending = self._read("refs", REFS), self._read("parents", PARENTS), self._read("removals", REMOVALS), self._read("pending", PENDING)
-        new_refs = self._write((refs if refs is not None else empty(REFS)).filter("child_key is not null and ref is not null"), "refs", v, REFS)
-
-        new_parents = (parents if parents is not None else empty(PARENTS)).filter("ref is not null").groupBy(*_KEY).agg(F.min("parent_micros").alias("parent_micros"))
-        index = self._write(index.unionByName(new_parents).groupBy(*_KEY).agg(F.min("parent_micros").alias("parent_micros")), "parents", v, PARENTS)
-        new_out = (removals if removals is not None else empty(REMOVALS)).filter("ref is not null")
-        out = self._write(out.unionByName(new_out).groupBy(*_KEY, "removed_at").agg(F.max("restored").alias("restored")), "removals", v, REMOVALS)
-
-        found = self._probe(new_refs, index, out)
-        if self.version:
-            touched = new_parents.select(*_KEY).unionByName(new_out.select(*_KEY)).distinct()
-            again = self._probe(log.join(touched, _KEY, "left_semi"), index, out)
-            found = found.unionByName(again).unionByName(pending.join(touched, _KEY, "left_anti"))
-        pending = self._write(found, "pending", v, PENDING)
+        found, touched = [], []
+        if refs is not None:
+            new_refs = self._write(refs.filter("child_key is not null and ref is not null"), at("refs"), REFS)
+            paths["refs"] = [*paths["refs"], at("refs")]
+        if parents is not None:
+            new = parents.filter("ref is not null").groupBy(*_KEY).agg(F.min("parent_micros").alias("parent_micros"))
+            touched.append(new.select(*_KEY))
+            index = self._write(index.unionByName(new).groupBy(*_KEY).agg(F.min("parent_micros").alias("parent_micros")) if self.paths["parents"] else new, at("parents"), PARENTS)
+            paths["parents"] = [at("parents")]
+        if removals is not None:
+            new = removals.filter("ref is not null")
+            touched.append(new.select(*_KEY))
+            out = self._write(out.unionByName(new).groupBy(*_KEY, "removed_at").agg(F.max("restored").alias("restored")), at("removals"), REMOVALS)
+            paths["removals"] = [at("removals")]
+        if refs is not None:
+            found.append(self._probe(new_refs, index, out))
+        if self.paths["refs"]:
+            keys = reduce(DataFrame.unionByName, touched).distinct() if touched else None
+            if keys is not None:
+                found.append(self._probe(log.join(keys, _KEY, "left_semi"), index, out))
+            found.append(pending.join(keys, _KEY, "left_anti") if keys is not None else pending)
+        pending = self._write(reduce(DataFrame.unionByName, found), at("pending"), PENDING) if found else pending
+        if found:
+            paths["pending"] = [at("pending")]
+        counted = self.counted
         if snapshot:
             counts = self.report(pending).groupBy("child_table", "month_utc", "ref_state").agg(F.count(F.lit(1)).alias("orphans"))
             counts.withColumn("version", F.lit(v)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/counts/v{v}")
-        spark.createDataFrame([(v, snapshot)], "version int, counted boolean").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
-        self.version = v
+            counted = [*counted, v]
+        # The commit names the files of every table; until it is there the step never happened.
+        self.spark.createDataFrame([(v, json.dumps(paths), counted)], "version int, paths string, counted array<int>").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        self.version, self.paths, self.counted = v, paths, counted
         return pending
 
     def pending(self) -> DataFrame:
@@ -98,9 +112,8 @@ class OrphanTracker:
 
     def counts(self) -> DataFrame:
         """All count snapshots: ``child_table, month_utc, ref_state, orphans, version``."""
-        counted = self.spark.read.parquet(f"{self.root}/commits").filter("counted").select("version").distinct().collect()
         schema = "child_table string, month_utc string, ref_state string, orphans bigint, version int"
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/counts/v{r[0]}" for r in counted)) if counted else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/counts/v{v}" for v in self.counted)) if self.counted else self.spark.createDataFrame([], schema)
 
     @staticmethod
     def report(pending: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from bytefold.sources import catalog as K
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """One row per finding id: ``finding_id, run_id, secret_type, off, length, confidence, micros``."""
-    rows = table(spark, d, "findings").select(norm_id("finding_id").alias("finding_id"), F.struct(norm_id("run_id").alias("run_id"), norm_label("finding_type").alias("secret_type"), F.col("byte_offset").alias("off"), "length", "confidence", norm_hex("value_hex").alias("value"), instant_micros("created_at").alias("micros")).alias("r"))
+    rows = table(spark, d, "findings", "finding_id").select(norm_id("finding_id").alias("finding_id"), F.struct(norm_id("run_id").alias("run_id"), norm_label("finding_type").alias("secret_type"), F.col("byte_offset").alias("off"), "length", "confidence", norm_hex("value_hex").alias("value"), instant_micros("created_at").alias("micros")).alias("r"))
     return rows.filter("finding_id is not null").groupBy("finding_id").agg(F.min("r").alias("r")).select("finding_id", "r.*")
 
 
@@ -125,8 +125,8 @@ def secrets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hits_in_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Candidate regions that hold a finding of their run."""
-    regions = entries(spark, d).select("run_id", "entry_id", F.col("off").alias("start"), (F.col("off") + F.col("length")).alias("end"))
+    """Candidate regions with 64 KiB on either side that hold a finding of their run."""
+    regions = entries(spark, d).select("run_id", "entry_id", (F.col("off") - 65536).alias("start"), (F.col("off") + F.col("length") + 65536).alias("end"))
     points = findings(spark, d).filter("run_id is not null and off is not null").select("run_id", "finding_id", "off")
     return I.point_join(points, regions, ["run_id"], "off", ("start", "end")).select("run_id", "finding_id", F.col("r_entry_id").alias("entry_id"))
 
@@ -137,9 +137,9 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def overlapping_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Findings whose bytes overlap a candidate region of their run."""
+    """Findings whose bytes overlap the page-wide surroundings of a candidate region of their run."""
     f = findings(spark, d).filter("run_id is not null and off is not null and length > 0").select("run_id", "finding_id", F.col("off").alias("start"), (F.col("off") + F.col("length")).alias("end"))
-    e = entries(spark, d).select("run_id", F.col("off").alias("start"), (F.col("off") + F.col("length")).alias("end"))
+    e = entries(spark, d).select("run_id", (F.col("off") - 4096).alias("start"), (F.col("off") + F.col("length") + 4096).alias("end"))
     return I.overlap_join(f, e, ["run_id"], ("start", "end"), ("start", "end"), how="left_semi").select("run_id", "finding_id")
 
 
@@ -263,8 +263,8 @@ SELECT library, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, rou
         "run_view": f"{w} SELECT run_id, project_id, dump_id, status, finished FROM rn",
         "project_timeline": f'{w} SELECT project_id, status, count(*) AS runs, min(started) AS "first", max(started) AS "last" FROM rn GROUP BY 1, 2',
         "run_metadata": f"{w} SELECT count(DISTINCT library) AS libraries, count(*) AS dumps, CAST(sum(file_size) AS BIGINT) AS bytes, (SELECT count(*) FROM (SELECT DISTINCT secret_type, value FROM fnd WHERE secret_type IS NOT NULL AND value IS NOT NULL)) AS secrets FROM dmp",
-        "hits_in_regions": f"{w} SELECT f.run_id, f.finding_id, e.entry_id FROM fnd f JOIN ent e ON e.run_id = f.run_id AND f.off >= e.off AND f.off < e.off + e.length",
-        "overlapping_regions": f"{w} SELECT run_id, finding_id FROM fnd f WHERE length > 0 AND EXISTS (SELECT 1 FROM ent e WHERE e.run_id = f.run_id AND f.off < e.off + e.length AND e.off < f.off + f.length)",
+        "hits_in_regions": f"{w} SELECT f.run_id, f.finding_id, e.entry_id FROM fnd f JOIN ent e ON e.run_id = f.run_id AND f.off >= e.off - 65536 AND f.off < e.off + e.length + 65536",
+        "overlapping_regions": f"{w} SELECT run_id, finding_id FROM fnd f WHERE length > 0 AND EXISTS (SELECT 1 FROM ent e WHERE e.run_id = f.run_id AND f.off < e.off + e.length + 4096 AND e.off - 4096 < f.off + f.length)",
         "owner_lookup": f"""{w} SELECT f.finding_id, arg_max(e.entry_id, (e.off, e.entry_id)) FILTER (WHERE f.off < e.off + 1048576) AS entry_id, max(e.off) FILTER (WHERE f.off < e.off + 1048576) AS owner_base
 FROM fnd f LEFT JOIN ent e ON e.run_id = f.run_id AND e.off <= f.off WHERE f.run_id IS NOT NULL AND f.off IS NOT NULL GROUP BY 1""",
         "view_offsets": f"{w} SELECT run_id, entry_id, CAST(sum(length) OVER (PARTITION BY run_id ORDER BY off, entry_id) - length AS BIGINT) AS view_off FROM ent",

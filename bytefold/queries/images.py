@@ -43,7 +43,7 @@ def vector_images(spark: SparkSession, d: str) -> DataFrame:
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     """Documents as images of their UTF-8 bytes."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("data"))
+    return table(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("data"))
 
 
 def _sets(spark: SparkSession, d: str) -> DataFrame:

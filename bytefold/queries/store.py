@@ -70,16 +70,16 @@ RELATIONS = [
 ]
 
 
-def _tracked(spark: SparkSession, d: str) -> OrphanTracker:
+def _tracked(spark: SparkSession, d: str, snapshot: bool = False) -> OrphanTracker:
     """The tracker after two increments: the tables' rows, then the log of removals."""
     refs, parents = [], []
     for child, own, ref, at, parent, key, since in RELATIONS:
-        refs.append(table(spark, d, child).select(F.lit(child).alias("child_table"), norm_id(own).alias("child_key"), F.lit(parent).alias("parent_table"), norm_id(ref).alias("ref"), instant_micros(at).alias("micros")))
+        refs.append(table(spark, d, child, own).select(F.lit(child).alias("child_table"), norm_id(own).alias("child_key"), F.lit(parent).alias("parent_table"), norm_id(ref).alias("ref"), instant_micros(at).alias("micros")))
         parents.append(table(spark, d, parent).select(F.lit(parent).alias("parent_table"), norm_id(key).alias("ref"), instant_micros(since).alias("parent_micros")))
     removed = table(spark, d, "removed_keys").select(F.lower(trimmed("parent_table")).alias("parent_table"), norm_id("key_id").alias("ref"), F.coalesce(F.col("removed_at").cast("string"), F.lit("")).alias("removed_at"), F.col("restored_at").isNotNull().alias("restored"))
     tracker = OrphanTracker(spark)
     tracker.advance(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, parents), snapshot=False)
-    tracker.advance(removals=removed)
+    tracker.advance(removals=removed, snapshot=snapshot)
     return tracker
 
 
@@ -90,7 +90,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     """Failing references per table, month and state."""
-    tracker = _tracked(spark, d)
+    tracker = _tracked(spark, d, snapshot=True)
     return tracker.counts().filter(F.col("version") == tracker.version).select("child_table", "month_utc", "ref_state", "orphans")
 
 

@@ -70,6 +70,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan in at least as many partitions as there are cores.
+
+    A file of few row groups is read by few tasks, however much work its rows make.  Where the
+    scan gives fewer partitions than cores (a small file, never a large table) the rows are
+    spread by a unique key; otherwise the scan is left as it is.  Only for plans without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
     """One table of a data folder (a file or a folder of part files)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, spread_by) if spread_by else df

@@ -71,9 +71,11 @@ def normalize_phases(dumps: DataFrame, run: list[str]) -> DataFrame:
     phases = dumps.groupBy(*run, "phase_name").agg(F.min("timestamp").alias("_first")).withColumn("_own", own)
     k = F.row_number().over(Window.partitionBy(*run, F.col("_own").isNull()).orderBy("_first", "phase_name"))
     role = F.coalesce(F.col("_own"), F.when(k <= len(_ROLES), F.element_at(F.array(*(F.lit(r) for r in _ROLES)), F.least(k, F.lit(len(_ROLES))))).otherwise(F.concat(F.lit("event_"), k.cast("string"))))
-    phases = phases.withColumn("_role", role)
-    same = [dumps[c].eqNullSafe(phases[c]) for c in [*run, "phase_name"]]
-    return dumps.join(phases, [dumps["phase_name"] == phases["phase_name"], *same[:-1]]).select(*(dumps[c] for c in dumps.columns), F.concat_ws("_", dumps["phase_prefix"], phases["_role"]).alias("canonical_phase"))
+    named = phases.select(*(F.col(c).alias(f"_k_{c}") for c in [*run, "phase_name"]), role.alias("_role"))
+    same = F.lit(True)
+    for c in [*run, "phase_name"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return dumps.join(named, same).select(*dumps.columns, F.concat_ws("_", "phase_prefix", "_role").alias("canonical_phase"))
 
 
 def dump_for_phase(dumps: DataFrame, run: list[str], phase: str, order: str = "timestamp") -> DataFrame:
