@@ -17,7 +17,7 @@ from bytefold.session import table
 
 
 def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
-    findings = table(spark, d, "findings")
+    findings = table(spark, d, "findings", "finding_id")
     run = norm_id("run_id")
     counts = term_counts(findings, {"finding_type": norm_label("finding_type"), "value_hex": norm_hex("value_hex")}, run, norm_id("finding_id"))
     runs = findings.select(run.alias("run")).agg(F.count_distinct("run").alias("n")).scalar()
@@ -37,7 +37,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """The three best findings and top-k entries of every run."""
     last = F.lit(float("inf"))
-    findings = table(spark, d, "findings").filter("confidence >= 0 and confidence <= 1 and not isnan(confidence)")
+    findings = table(spark, d, "findings", "finding_id").filter("confidence >= 0 and confidence <= 1 and not isnan(confidence)")
     # Zero minus the score: ascending order ranks the highest first, and -0.0 equals 0.0.
     offset = [F.col("byte_offset").isNull(), F.col("byte_offset")]
     best = top_n_per_group(findings, norm_id("run_id"), norm_id("finding_id"), [F.lit(0.0) - F.col("confidence"), *offset])
@@ -50,7 +50,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every text of ``documents`` in a container of each capacity."""
-    return pack_texts(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+    return pack_texts(table(spark, d, "documents", "doc_id"), table(spark, d, "pack_sizes"))
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -60,16 +60,16 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     """The texts of the mix, the source each serves and how often it is used."""
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mix_sources(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets"))[0]
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source."""
-    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mix_sources(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets"))[1]
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    documents = table(spark, d, "documents")
+    documents = table(spark, d, "documents", "doc_id")
     return reading_levels(documents, train(documents, table(spark, d, "doc_labels")))
 
 
