@@ -102,7 +102,8 @@ class OrphanTracker:
             counts.withColumn("version", F.lit(v)).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/counts/v{v}")
             counted = [*counted, v]
         # The commit names the files of every table; until it is there the step never happened.
-        self.spark.createDataFrame([(v, json.dumps(paths), counted)], "version int, paths string, counted array<int>").coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        row = self.spark.range(1).select(F.lit(v).alias("version"), F.lit(json.dumps(paths)).alias("paths"), F.array(*(F.lit(c) for c in counted)).cast("array<int>").alias("counted"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         self.version, self.paths, self.counted = v, paths, counted
         return pending
 
