@@ -56,9 +56,9 @@ def owner_of(points: DataFrame, owners: DataFrame, by: list[str], at: str, base:
     """
     kind = dict(points.dtypes)[at]
     keys = [c for c in points.columns]
-    cols = [F.struct(*keys).alias("_p"), *by, F.col(at).cast(kind).alias("_at"), F.lit(None).cast("struct<base:bigint,end:bigint,name:string>").alias("_o"), F.lit(1).alias("_side")]
+    cols = [F.struct(*keys).alias("_p"), *by, F.col(at).cast(kind).alias("_at"), F.lit(None).cast(f"struct<base:{kind},end:{kind},name:string>").alias("_o"), F.lit(1).alias("_side")]
     p = points.select(*cols)
-    o = owners.select(F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), *by, F.col(base).cast(kind).alias("_at"), F.struct(F.col(base).cast("bigint").alias("base"), F.col(end).cast("bigint").alias("end"), F.col(name).cast("string").alias("name")).alias("_o"), F.lit(0).alias("_side"))
+    o = owners.select(F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), *by, F.col(base).cast(kind).alias("_at"), F.struct(F.col(base).cast(kind).alias("base"), F.col(end).cast(kind).alias("end"), F.col(name).cast("string").alias("name")).alias("_o"), F.lit(0).alias("_side"))
     last = F.last("_o", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_at", "_side", "_o.name").rowsBetween(Window.unboundedPreceding, 0))
     seen = p.unionByName(o).withColumn("_last", last).filter("_side = 1")
     holds = F.col("_at") < F.col("_last.end")

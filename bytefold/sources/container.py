@@ -240,14 +240,14 @@ def region_keys(region_rows: DataFrame, modules: DataFrame) -> DataFrame:
     """
     from bytefold.operators.intervals import owner_of
 
-    mods = modules.select("dump_id", F.col("base").cast("bigint").alias("mbase"), (F.col("base") + F.col("size")).cast("bigint").alias("mend"), F.lower(F.replace("path", F.lit("\\"), F.lit("/"))).alias("mpath"))
-    rows = region_rows.select("dump_id", "seq", "uuid", F.col("base").cast("bigint").alias("base"), "size", "region_type", "page_size")
+    mods = modules.select("dump_id", F.col("base").alias("mbase"), (F.col("base") + F.col("size")).cast("decimal(20,0)").alias("mend"), F.lower(F.replace("path", F.lit("\\"), F.lit("/"))).alias("mpath"))
+    rows = region_rows.select("dump_id", "seq", "uuid", "base", "size", "region_type", "page_size")
     owned = owner_of(rows, mods, ["dump_id"], "base", "mbase", "mend", "mpath")
     hexed = lambda c: F.concat(F.lit("0x"), F.lower(F.hex(c)))
     base_key = F.concat(F.lit("anon:"), named(F.col("region_type"), REGION_TYPES, "UNKNOWN"), F.lit(":"), hexed(F.col("size")))
     number = F.row_number().over(Window.partitionBy("dump_id", F.col("owner").isNull(), "_k").orderBy("seq")) - 1
     keyed = owned.withColumn("_k", base_key)
-    return keyed.withColumn("region_key", F.when(F.col("owner").isNotNull(), F.concat(F.lit("mod:"), "owner", F.lit(":"), hexed(F.col("base") - F.col("owner_base")))).otherwise(F.concat("_k", F.lit(":"), number.cast("string")))).drop("_k")
+    return keyed.withColumn("region_key", F.when(F.col("owner").isNotNull(), F.concat(F.lit("mod:"), "owner", F.lit(":"), hexed((F.col("base") - F.col("owner_base")).cast("bigint")))).otherwise(F.concat("_k", F.lit(":"), number.cast("string")))).drop("_k")
 
 
 def aligned_pages(all_blocks: DataFrame) -> DataFrame:
