@@ -22,10 +22,15 @@ def islands(rows: DataFrame, by: list[str], value: str | None = None, off: str =
     cut = rows.select(*keys, F.col(off).alias("_o"), *(e.alias(m) for m, e in extra.items())).withColumn("_b", F.floor(F.col("_o") / block))
     number = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_o"))
     local = cut.withColumn("_g", F.col("_o") - number).groupBy(*keys, "_b", "_g").agg(F.min("_o").alias("start"), (F.max("_o") + 1).alias("end"), *(F.sum(m).alias(m) for m in extra))
+    # A run inside its block is final; only runs at a block's edge may go on in the next block, so
+    # at most two rows per block and value take part in the sort over the whole image.
+    edge = (F.col("start") % block == 0) | (F.col("end") % block == 0)
     along = Window.partitionBy(*keys).orderBy("start")
     new = F.coalesce((F.lag("end").over(along) < F.col("start")).cast("int"), F.lit(1))
-    stitched = local.withColumn("_n", new).withColumn("_r", F.sum("_n").over(along)).groupBy(*keys, "_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), *(F.sum(m).alias(m) for m in extra))
-    return stitched.select(*keys, "start", "end", (F.col("end") - F.col("start")).alias("length"), *extra)
+    stitched = local.filter(edge).withColumn("_n", new).withColumn("_r", F.sum("_n").over(along)).groupBy(*keys, "_r").agg(F.min("start").alias("start"), F.max("end").alias("end"), *(F.sum(m).alias(m) for m in extra))
+    out = [*keys, "start", "end", *extra]
+    whole = local.filter(~edge).select(*out).unionByName(stitched.select(*out))
+    return whole.select(*keys, "start", "end", (F.col("end") - F.col("start")).alias("length"), *extra)
 
 
 def class_regions(consensus: DataFrame, by: list[str], wanted: int, min_length: int) -> DataFrame:

@@ -307,6 +307,15 @@ def report_markdown(points: list[dict]) -> str:
     return "\n".join(["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *rows])
 
 
+def report_html(title: str, points: list[dict]) -> str:
+    """A sweep as a page with a bar for the bytes left at each N."""
+    import html
+
+    most = max((p["high_entropy"] for p in points), default=0) or 1
+    bars = "".join(f"<tr><td>{p['n']}</td><td>{p['high_entropy']}</td><td><div style='background:#468;height:1em;width:{100 * p['high_entropy'] / most:.1f}%'></div></td></tr>" for p in sorted(points, key=lambda p: p["n"]))
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><table style='width:100%'><tr><th>N<th>bytes left<th style='width:70%'></tr>{bars}</table>"
+
+
 def log2_limit(window: int) -> float:
     """The most bits per byte a window can have."""
     return math.log2(window)

@@ -381,6 +381,17 @@ class ContainerWriter:
         out.append(self._block(END, end, bytes(16), bytes(16), 0, prev))
         return b"".join(out) + self.appendix
 
+    def sealed_parts(self, nonce: bytes) -> tuple[bytes, bytes]:
+        """Header and plain block stream of a sealed container: no chain, no block count."""
+        if len(nonce) != 12:
+            raise ValueError("the nonce has 12 bytes")
+        head = write(FILE_LAYOUT, {"magic": FILE_MAGIC, "endianness": 1, "header_size": 128, "version": 0x0101, "flags": ENCRYPTED, "dump_uuid": self.dump_uuid, "ts_ns": self.ts_ns, "os": self.os, "arch": self.arch, "pid": self.pid, "hash_algo": self.algorithm})
+        head += struct.pack("<BBBxIIBxH24s16s8x", 1, 0, 0, 0, 0, 0, 0, nonce, b"")
+        out = [self._block(kind, payload, uuid, parent, flags, bytes(32)) for kind, payload, uuid, parent, flags in self.blocks]
+        end = write(LAYOUTS[END][1], {"file_hash": block_hash(head + b"".join(out), self.algorithm), "acq_end_ns": self.ts_ns})
+        out.append(self._block(END, end, bytes(16), bytes(16), 0, bytes(32)))
+        return head, b"".join(out) + self.appendix
+
 
 def import_raw(data: bytes, secrets: list[tuple[bytes, int, int]] = (), page_log2: int = 12, source_name: str = "", algorithm: int = 0, **header) -> bytes:
     """A raw image as a container: one region at address 0, padded to pages, and a key hint at the

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -270,15 +271,23 @@ def aligned_pages(all_blocks: DataFrame) -> DataFrame:
 
 
 def aligned_consensus(pages: DataFrame) -> DataFrame:
-    """Consensus over aligned pages: one slab in (key, page) order, rows as in ``consensus.expand``."""
+    """Consensus over aligned pages: ``region_key, page_off, off, n, mean, variance, class``.
+
+    ``off`` counts through the slab of all shared pages in (key, page) order.  Pages are grouped
+    by their key; only the regions' total sizes, a row per region, are summed in one order.
+    """
     from bytefold.operators.consensus import consensus_state, expand
 
-    slabs = pages.select("region_key", "page_off", "page_size").distinct().withColumn("slab", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("region_key", "page_off")) - 1).withColumn("slab_off", F.sum("page_size").over(Window.partitionBy(F.lit(1)).orderBy("region_key", "page_off").rowsBetween(Window.unboundedPreceding, 0)) - F.col("page_size"))
-    rows = pages.join(slabs.select("region_key", "page_off", "slab", "slab_off"), ["region_key", "page_off"])
-    chunks = rows.select(F.lit("").alias("grp"), F.col("slab").cast("int").alias("chunk_no"), F.octet_length("data").alias("size"), "data")
-    out = expand(consensus_state(chunks), 1 << 32)
-    at = slabs.select(F.col("slab").alias("chunk_no"), "region_key", "page_off", "slab_off")
-    return out.withColumn("chunk_no", F.shiftright("off", 32)).join(at, "chunk_no").select("region_key", "page_off", (F.col("slab_off") + F.pmod("off", F.lit(1 << 32))).alias("off"), "n", "mean", "variance", "class")
+    body = pages.select(F.concat_ws("|", F.col("page_size").cast("string"), "region_key").alias("grp"), (F.col("page_off") / F.col("page_size")).cast("int").alias("chunk_no"), F.octet_length("data").alias("size"), "data")
+    rows = expand(consensus_state(body, F.col("grp")), 1 << 32)
+    split = F.split("grp", r"\|", 2)
+    rows = rows.select(split[1].alias("region_key"), (F.shiftright("off", 32) * split[0].cast("bigint")).alias("page_off"), F.pmod("off", F.lit(1 << 32)).alias("_in"), "n", "mean", "variance", "class")
+    shared = pages.select("region_key", "page_off", "page_size").distinct()
+    rank = shared.withColumn("_page", F.sum("page_size").over(Window.partitionBy("region_key").orderBy("page_off")) - F.col("page_size"))
+    size = shared.groupBy("region_key").agg(F.sum("page_size").alias("_size"))
+    start = size.withColumn("_slab", F.sum("_size").over(Window.orderBy("region_key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).drop("_size")
+    placed = rank.join(start, "region_key").select("region_key", "page_off", (F.col("_page") + F.col("_slab")).alias("_base"))
+    return rows.join(placed, ["region_key", "page_off"]).select("region_key", "page_off", (F.col("_base") + F.col("_in")).alias("off"), "n", "mean", "variance", "class")
 
 
 def resolve_related(all_blocks: DataFrame, heads: DataFrame, file_hashes: DataFrame | None = None) -> DataFrame:
@@ -329,3 +338,57 @@ def block_groups(all_blocks: DataFrame) -> DataFrame:
     for name, kinds in CATEGORIES.items():
         c = F.when(F.col("type").isin(*kinds), name).otherwise(c)
     return all_blocks.withColumn("category", c).groupBy("dump_id", "category").agg(F.count(F.lit(1)).alias("blocks"), F.min("seq").alias("first_seq"), F.sum("length").alias("bytes"))
+
+
+# The encryption extension of the file header.
+_ALGO, _KDF, _ENCAP, _KEM_LEN, _NONCE, _SEALED_HEADER = 0x40, 0x41, 0x42, 0x4E, 0x50, 128
+
+
+def unlock(files: DataFrame) -> DataFrame:
+    """Decrypt sealed containers ``(dump_id, data, key)``: ``dump_id, data, tag``.
+
+    Plain containers pass as they are.  AES-256-GCM with a raw key is decrypted by the engine's own
+    function, with the header as authenticated data; a wrong key or a changed byte gives
+    ``corrupted``, no key ``missing_key``, and other ciphers or key schemes ``unsupported``.
+    """
+    d = F.col("data").cast("binary")
+    byte = lambda at: F.conv(F.hex(F.substring(d, F.lit(at + 1), F.lit(1))), 16, 10).cast("int")
+    sealed = (F.hex(F.substring(d, F.lit(1), F.lit(8))) == "4D454D534C494345") & (byte(12).bitwiseAND(codec.ENCRYPTED) != 0)
+    kem = byte(_KEM_LEN) + byte(_KEM_LEN + 1) * 256
+    head = F.substring(d, F.lit(1), _SEALED_HEADER + kem)
+    body = F.substring(d, _SEALED_HEADER + kem + 1, F.lit(2_147_483_647))
+    known = (byte(_ALGO) == 1) & (byte(_KDF) == 0) & (byte(_ENCAP) == 0)
+    usable = sealed & known & (F.octet_length("key") == 32)
+    stream = F.when(usable, F.try_aes_decrypt(F.concat(F.substring(d, F.lit(_NONCE + 1), F.lit(12)), body), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), head))
+    tag = F.when(~sealed, "not_encrypted").when(F.col("key").isNull(), "missing_key").when(~known | (F.octet_length("key") != 32), "unsupported").when(stream.isNull(), "corrupted").otherwise("valid")
+    # The plain header: 64 bytes, size and flags set to say so.
+    flags = F.unhex(F.lpad(F.hex(byte(12).bitwiseAND(255 - codec.ENCRYPTED).cast("bigint")), 2, "0"))
+    plain = F.concat(F.substring(d, F.lit(1), F.lit(9)), F.lit(b"\x40"), F.substring(d, F.lit(11), F.lit(2)), flags, F.substring(d, F.lit(14), F.lit(51)), stream)
+    return files.select("dump_id", F.when(tag == "valid", plain).when(tag == "not_encrypted", d).alias("data"), tag.alias("tag"))
+
+
+def seal(parts: DataFrame) -> DataFrame:
+    """Encrypt containers given as ``dump_id, head, stream, key, nonce`` (see ``sealed_parts``)."""
+    body = F.aes_encrypt("stream", "key", F.lit("GCM"), F.lit("DEFAULT"), F.col("nonce"), F.col("head"))
+    return parts.select("dump_id", F.concat("head", F.substring(body, F.lit(13), F.lit(2_147_483_647))).alias("data"))
+
+
+def address_text(family: Column, raw_hex: Column) -> Column:
+    """An address of the connection table as text: IPv4, shortest IPv6, else its hex."""
+    import ipaddress
+
+    def show(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        def one(kind, value):
+            raw = bytes.fromhex(value or "")
+            if kind == 2 and len(raw) >= 4:
+                return str(ipaddress.IPv4Address(raw[:4]))
+            return str(ipaddress.IPv6Address(raw[:16])) if kind == 10 and len(raw) >= 16 else value
+
+        return pd.Series([one(k, v) for k, v in zip(kinds, values)], dtype=object)
+
+    return F.pandas_udf(show, "string")(family, raw_hex)
+
+
+def instant_text(ns: Column) -> Column:
+    """Nanoseconds since the epoch as an ISO time in UTC."""
+    return F.date_format(F.timestamp_micros(F.floor(ns / 1000).cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
