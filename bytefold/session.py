@@ -8,17 +8,40 @@ this process is made and used instead, so nothing ever lands on one executor's o
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the session's Python workers, wherever they start.
+
+    Adds a zip of the package to the application once; the driver serves it to the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.abspath(__file__))
+        if os.path.isdir(root):  # not when this itself runs from such a zip
+            path = os.path.join(tempfile.mkdtemp(prefix="bytefold-code-"), "bytefold_code.zip")
+            with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+                for folder, _, files in os.walk(root):
+                    for name in sorted(f for f in files if f.endswith(".py")):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.relpath(full, os.path.dirname(root)))
+            spark.sparkContext.addPyFile(path)
+        _shipped.add(app)
+    return spark
 
 
 def local_session(cores: int = 8, partitions: int = 8, app: str = "bytefold", memory: str = "8g") -> SparkSession:
     """A local session with the settings the library expects (UTC, AQE, Arrow)."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.driver.memory", memory)

@@ -12,6 +12,7 @@ State and output are committed together by the checkpoint and the file sink's lo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -114,6 +115,19 @@ def _keep(retention_us: int):
     return keep
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold while a query is started and run."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _files(spark: SparkSession, path: str, schema, per_trigger: int) -> DataFrame:
     """A stream of the Parquet files in a folder; of a single file, its folder seen through its name."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -146,14 +160,11 @@ def surplus_copies(spark: SparkSession, path: str, key: list[Column], at: Column
     blocks = rows.mapInArrow(_combine(buckets), "bucket bigint, h1 bigint, h2 bigint, ts bigint, id bigint, at timestamp").withWatermark("at", delay)
     span = int(pd.Timedelta(retention).total_seconds() * 1_000_000)
     events = blocks.groupBy("bucket").applyInPandasWithState(_keep(span), _OUT, "live binary, prints binary", "append", GroupStateTimeout.NoTimeout)
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, _ROCKSDB)
-    try:
+    # State stores are opened for every batch whether or not they have rows: two per core do.
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}):
         query = events.writeStream.format("parquet").option("path", f"{work}/events").option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     return settle(spark.read.schema(_OUT).parquet(f"{work}/events"))
 
 
