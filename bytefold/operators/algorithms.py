@@ -156,13 +156,15 @@ def change_point(images: DataFrame, context: Context) -> DataFrame:
 
 @algorithm("differential", "unknown_key")
 def differential(images: DataFrame, context: Context) -> DataFrame:
-    """Key-wide regions that vary across all images; no match for fewer than two images.
+    """Key-wide regions that vary across all images of a group; no match for fewer than two images.
 
-    Matches belong to the first image (the smallest id).
+    Images without a ``grp`` column are one group.  Matches belong to the group's first image (the
+    smallest id).
     """
     by = ["grp"]
     chunk = context.extra.get("chunk", 1 << 16)
-    state = consensus_state(chunked(images, 0, chunk))
+    named = images.select("dump_id", (F.col("grp").cast("string") if "grp" in images.columns else F.lit("")).alias("grp"))
+    state = consensus_state(chunked(images, 0, chunk).join(named, "dump_id"), F.col("grp"))
     rows = expand(state.filter("n >= 2"), chunk)
     volatile = rows.filter(F.col("class") == KEY_CANDIDATE)
     merged = merge_near(islands(volatile, by), by, rows.filter(F.col("class") == INVARIANT))
@@ -171,8 +173,8 @@ def differential(images: DataFrame, context: Context) -> DataFrame:
     inside = wide.withColumn("off", F.explode(F.sequence("start", F.col("end") - 1))).join(rows.select("grp", "off", "variance"), ["grp", "off"])
     mean = inside.groupBy("grp", "start", "length").agg(F.avg("variance").alias("mean_variance"))
     score = 0.7 * F.least(F.col("mean_variance") / 8000.0, F.lit(1.0)) + 0.3 * F.greatest(1.0 - F.least(*near) / 8.0, F.lit(0.0))
-    first = images.agg(F.min("dump_id").alias("d")).scalar()
-    return mean.select(first.alias("dump_id"), F.col("start").alias("off"), F.col("length").cast("int").alias("length"), F.round(score, 4).alias("confidence"), F.concat(F.lit("diff_key_candidate_"), F.col("length").cast("string"), F.lit("B")).alias("label"))
+    first = named.groupBy("grp").agg(F.min("dump_id").alias("dump_id"))
+    return mean.join(first, "grp").select("dump_id", F.col("start").alias("off"), F.col("length").cast("int").alias("length"), F.round(score, 4).alias("confidence"), F.concat(F.lit("diff_key_candidate_"), F.col("length").cast("string"), F.lit("B")).alias("label"))
 
 
 def _pairs(protocol: str):

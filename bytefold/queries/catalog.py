@@ -23,7 +23,8 @@ from bytefold.sources.codec import ContainerWriter
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Dumps as files of a tree: the stamp of a dump before its name, its run folder above it."""
     rows = dumps(spark, d).filter("file_path is not null and added is not null")
-    stamp = F.date_format(F.timestamp_micros("added"), "yyyyMMdd_HHmmss")
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))  # no session time zone takes part
+    stamp = F.date_format(epoch + F.make_dt_interval(secs=F.floor(F.col("added") / 1_000_000)), "yyyyMMdd_HHmmss")
     base = K.base_name(F.col("file_path"))
     folder = F.concat_ws("_run_", "library", F.concat(F.lit("1_"), F.col("run_number").cast("string")))
     path = F.concat_ws("/", F.lit("/data"), "library", folder, F.concat(stamp, F.lit("_"), (F.col("added") % 1_000_000).cast("string"), F.lit("_"), base))
@@ -180,8 +181,8 @@ def pattern_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def differential(spark: SparkSession, d: str) -> DataFrame:
-    """Key-wide regions that vary over all vector images."""
-    return _run("differential", spark, vector_images(spark, d).select("dump_id", "data"))
+    """Key-wide regions that vary within each capture set."""
+    return _run("differential", spark, vector_images(spark, d).select("dump_id", "grp", "data"))
 
 
 _QUERIES = (

@@ -65,8 +65,66 @@ class ImageSource(DataSource):
         return ImageReader(dict(self.options))
 
 
+class ContainerReader(DataSourceReader):
+    """Walks block containers by their headers; a task holds one block at a time."""
+
+    def __init__(self, options: dict) -> None:
+        self.paths = ImageReader(options).paths
+
+    def partitions(self) -> list[Stretch]:
+        return [Stretch(p, 0, 1) for p in self.paths] or [Stretch("", 0, 0)]
+
+    def read(self, part: Stretch) -> Iterator[tuple]:
+        from bytefold.functions.hashing import block_hash
+        from bytefold.sources import codec
+
+        if not part.chunks:
+            return
+        size = os.path.getsize(part.path)
+        with open(part.path, "rb") as file:
+            try:
+                head = codec.file_header(file.read(codec.FILE_HEADER))
+            except codec.FormatError:
+                return
+            if head["flags"] & codec.ENCRYPTED:
+                return
+            at, seq, appendix = head["header_size"], 0, False
+            while at + codec.BLOCK_HEADER <= size:
+                file.seek(at)
+                raw = file.read(codec.BLOCK_HEADER)
+                if raw[:4] != codec.BLOCK_MAGIC:
+                    return
+                b, _ = codec.read(codec.BLOCK_LAYOUT, raw)
+                if b["length"] < codec.BLOCK_HEADER or at + b["length"] > size:
+                    return
+                payload = file.read(b["length"] - codec.BLOCK_HEADER)
+                digest = block_hash(raw + payload, head["hash_algo"] if head["hash_algo"] in (0, 1, 2) else 0)
+                body = payload if appendix else codec.inflate(payload, b["flags"])
+                yield (part.path, seq, at, b["type"], b["flags"], b["length"], b["payload_version"], b["uuid"].hex(), b["parent"].hex(), b["prev_hash"].hex(), digest.hex(), appendix, body)
+                appendix = appendix or b["type"] == codec.END
+                at, seq = at + b["length"], seq + 1
+
+
+class ContainerSource(DataSource):
+    """``spark.read.format("blockcontainer").load(path)`` gives the ``blocks`` relation."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "blockcontainer"
+
+    def schema(self) -> str:
+        from bytefold.sources.container import BLOCKS
+
+        return BLOCKS
+
+    def reader(self, schema) -> ContainerReader:
+        return ContainerReader(dict(self.options))
+
+
 def register(spark: SparkSession) -> None:
+    """Add the formats ``byteimage`` and ``blockcontainer`` to a session."""
     spark.dataSource.register(ImageSource)
+    spark.dataSource.register(ContainerSource)
 
 
 def read_range(chunks: DataFrame, offset: int, length: int) -> DataFrame:

@@ -195,6 +195,17 @@ def test_image_source(spark, tmp_path):
     assert spark.read.format("byteimage").load(str(tmp_path / "none")).count() == 0
 
 
+def test_container_source_is_the_walk_in_memory(spark, tmp_path):
+    (tmp_path / "a.msl").write_bytes(sample(0, 1))
+    (tmp_path / "b.msl").write_bytes(b"junk")
+    (tmp_path / "c.msl").write_bytes(sample()[:700])
+    I.register(spark)
+    read = spark.read.format("blockcontainer").option("glob", "*.msl").load(str(tmp_path))
+    plain = M.blocks(spark.read.format("binaryFile").load(str(tmp_path)).select(F.regexp_replace("path", "^file:(//)?", "").alias("dump_id"), F.col("content").alias("data")))
+    key = lambda df: sorted((r.dump_id, r.seq, r.file_off, r.type, r.hash, r.appendix, bytes(r.payload)) for r in df.collect())
+    assert key(read) == key(plain) and len(key(read)) > 17
+
+
 def test_source_kind(spark):
     rows = [("/x/a.msl", bytearray(b"raw bytes with a wrong name")), ("/x/y.bin", bytearray(b"MEMSLICE" + bytes(60))), ("/x/gcore.core", bytearray(core())), ("/x/gdb_raw.bin", bytearray(b"x")), ("/x/p.lldb_raw.bin", bytearray(b"x"))]
     df = spark.createDataFrame(rows, "path string, head binary")
