@@ -30,24 +30,27 @@ def prefix_variance(rows: DataFrame, by: list[str], ns: list[int], rank: str = "
     return full.select(*by, "off", "n", var.alias("variance"))
 
 
-def convergence(variances: DataFrame, entropy_offsets: DataFrame, truth: DataFrame, ns: list[int], block: int = 32, alignment: int = 16, density: float = 0.75) -> DataFrame:
-    """Metrics of the variance, variance ∩ entropy, and aligned candidates for each N.
+def convergence(variances: DataFrame, entropy_offsets: DataFrame, truth: DataFrame, ns: list[int], by: list[str] | None = None, block: int = 32, alignment: int = 16, density: float = 0.75) -> DataFrame:
+    """Metrics of the variance, variance ∩ entropy, and aligned candidates for each N (and group).
 
-    ``variances(off, n, variance)``; ``entropy_offsets(off)`` of the first image; ``truth(off)``.
+    ``variances(…by, off, n, variance)``; ``entropy_offsets(…by, off)`` of the first image;
+    ``truth(…by, off)``.
     """
-    var = variances.filter(classify(F.col("variance")) == KEY_CANDIDATE).select("n", "off")
-    combined = var.join(entropy_offsets.select("off").distinct(), "off", "left_semi")
-    dense = aligned_blocks(combined, ["n"], None, block, alignment, density)
+    by = by or []
+    at = [*by, "off"]
+    var = variances.filter(classify(F.col("variance")) == KEY_CANDIDATE).select(*at, "n")
+    combined = var.join(entropy_offsets.select(*at).distinct(), at, "left_semi")
+    dense = aligned_blocks(combined, [*by, "n"], None, block, alignment, density)
     found = None
     for name, df in (("variance", var), ("combined", combined), ("aligned", dense)):
-        one = df.select("n", "off").distinct().withColumn("candidates", F.lit(name))
+        one = df.select(*at, "n").distinct().withColumn("candidates", F.lit(name))
         found = one if found is None else found.unionByName(one)
     found = found.withColumn("found", F.lit(True))
     grid = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(c).alias("candidates")) for n in ns for c in ("variance", "combined", "aligned")))
-    true = truth.select("off").distinct().withColumn("_g", F.explode(grid)).select("off", "_g.n", "_g.candidates", F.lit(True).alias("true"))
-    both = found.join(true, ["n", "candidates", "off"], "full")
+    true = truth.select(*at).distinct().withColumn("_g", F.explode(grid)).select(*at, "_g.n", "_g.candidates", F.lit(True).alias("true"))
+    both = found.join(true, [*at, "n", "candidates"], "full")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    return detection_metrics(both, ["n", "candidates"], yes("found"), yes("true"))
+    return detection_metrics(both, [*by, "n", "candidates"], yes("found"), yes("true"))
 
 
 def milestones(metrics: DataFrame, recall: float = 0.875, max_fp: int = 0) -> DataFrame:

@@ -228,5 +228,9 @@ SELECT dump_id, concat(phase_prefix, '_', coalesce(o, CASE k WHEN 1 THEN 'handsh
         "container_modules": f"WITH {meta}, m AS (SELECT dump_id, unnest({els('$.modules')}) AS x FROM obj WHERE json_type(j) = 'OBJECT') SELECT dump_id, CAST(coalesce(x ->> '$.base', '0') AS BIGINT) AS base, coalesce(x ->> '$.path', '') AS path FROM m WHERE json_type(x) = 'OBJECT'",
         "container_regions": f"WITH {meta}, m AS (SELECT dump_id, unnest({els('$.regions')}) AS x FROM obj WHERE json_type(j) = 'OBJECT') SELECT dump_id, CAST(coalesce(x ->> '$.base', '0') AS BIGINT) AS base, CAST(2 AS BIGINT) AS captured_pages FROM m WHERE json_type(x) = 'OBJECT'",
         "container_hints": f"WITH {meta}, m AS (SELECT dump_id, unnest({els('$.regions')}) AS j FROM obj WHERE json_type(j) = 'OBJECT'), h AS (SELECT unnest({els('$.key_hints')}) AS x FROM m) SELECT coalesce(x ->> '$.kind', '') AS note, count(*) AS hints FROM h WHERE json_type(x) = 'OBJECT' GROUP BY 1",
+        "container_report": f"""WITH {meta}, o AS (SELECT dump_id, {els('$.regions')} AS r, {els('$.modules')} AS m FROM obj WHERE json_type(j) = 'OBJECT'),
+x AS (SELECT dump_id, unnest(r) AS j FROM o), h AS (SELECT dump_id, list_filter({els('$.key_hints')}, lambda e: json_type(e) = 'OBJECT') AS h FROM x WHERE json_type(j) = 'OBJECT'),
+n AS (SELECT dump_id, count(*) AS regions, CAST(sum(len(h)) AS BIGINT) AS hints FROM h GROUP BY 1)
+SELECT o.dump_id, coalesce(n.regions, 0) AS regions, len(list_filter(m, lambda e: json_type(e) = 'OBJECT')) AS modules, coalesce(n.hints, 0) AS key_hints, 2 * coalesce(n.regions, 0) AS captured_pages FROM o LEFT JOIN n USING (dump_id)""",
         "container_chain": f"WITH {meta} SELECT true AS valid, count(*) AS containers FROM obj WHERE json_type(j) = 'OBJECT'",
     }

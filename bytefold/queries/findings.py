@@ -241,6 +241,9 @@ ent AS (SELECT DISTINCT entry_id, {_id('run_id')} AS run_id, byte_offset AS off,
 """
 
 
+_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.SHORT_LABELS.items())
+
+
 def oracle_sql() -> dict[str, str]:
     w = "WITH " + _BASE
     valid = "confidence BETWEEN 0 AND 1 AND NOT isnan(confidence)"
@@ -263,6 +266,7 @@ SELECT library, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, rou
         "run_view": f"{w} SELECT run_id, project_id, dump_id, status, finished FROM rn",
         "project_timeline": f'{w} SELECT project_id, status, count(*) AS runs, min(started) AS "first", max(started) AS "last" FROM rn GROUP BY 1, 2',
         "run_metadata": f"{w} SELECT count(DISTINCT library) AS libraries, count(*) AS dumps, CAST(sum(file_size) AS BIGINT) AS bytes, (SELECT count(*) FROM (SELECT DISTINCT secret_type, value FROM fnd WHERE secret_type IS NOT NULL AND value IS NOT NULL)) AS secrets FROM dmp",
+        "secrets": f"{w} SELECT DISTINCT secret_type, value, CASE upper(secret_type) {_LABELS} ELSE upper(secret_type) END AS label FROM fnd WHERE value IS NOT NULL AND secret_type IS NOT NULL",
         "hits_in_regions": f"{w} SELECT f.run_id, f.finding_id, e.entry_id FROM fnd f JOIN ent e ON e.run_id = f.run_id AND f.off >= e.off - 65536 AND f.off < e.off + e.length + 65536",
         "overlapping_regions": f"{w} SELECT run_id, finding_id FROM fnd f WHERE length > 0 AND EXISTS (SELECT 1 FROM ent e WHERE e.run_id = f.run_id AND f.off < e.off + e.length + 4096 AND e.off - 4096 < f.off + f.length)",
         "owner_lookup": f"""{w} SELECT f.finding_id, arg_max(e.entry_id, (e.off, e.entry_id)) FILTER (WHERE f.off < e.off + 1048576) AS entry_id, max(e.off) FILTER (WHERE f.off < e.off + 1048576) AS owner_base

@@ -17,7 +17,7 @@ from bytefold.operators import hits as H
 from bytefold.operators import runs as R
 from bytefold.operators import search as S
 from bytefold.operators.chunks import bytes_of, chunked
-from bytefold.plans.convergence import prefix_variance
+from bytefold.plans import convergence as V
 from bytefold.plans.funnel import nsweep, reduce_images
 from bytefold.plans.patterns import pattern_columns
 from bytefold.session import table
@@ -134,7 +134,18 @@ def prefix_variances(spark: SparkSession, d: str) -> DataFrame:
     """Variance per label over its first N images, for every N."""
     rows = vectors(spark, d)
     order = rows.select("label", "vec_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    return _rounded(prefix_variance(rows.join(order, ["label", "vec_id"]), ["label"], NS), "variance")
+    return _rounded(V.prefix_variance(rows.join(order, ["label", "vec_id"]), ["label"], NS), "variance")
+
+
+def convergence(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of three candidate sets by number of images, offsets 16 to 31 being true."""
+    rows = vectors(spark, d)
+    order = rows.select("label", "vec_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    ranked = rows.join(order, ["label", "vec_id"])
+    bright = ranked.filter("rank = 1 and v >= 100").select("label", "off")
+    truth = rows.filter(F.col("off").between(16, 31)).select("label", "off").distinct()
+    out = V.convergence(V.prefix_variance(ranked, ["label"], NS), bright, truth, NS, ["label"], 8, 4, 0.5)
+    return _rounded(out, "precision", "recall", "f1")
 
 
 def xor_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -263,7 +274,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     consensus_variance, consensus_by_set, consensus_by_label, welford_merge, variance_class_counts, variance_summary, variance_bands, static_runs, volatile_runs,
-    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
+    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
     entropy_profile, entropy_bands, entropy_stats, high_entropy_regions, entropy_coverage, aligned_block_filter, aligned_block_set, exact_hits, static_hits,
     regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, sweep,
 )
@@ -336,6 +347,18 @@ SELECT *, concat(role, '_', row_number() OVER (PARTITION BY grp, role ORDER BY s
 SELECT grp, hit_off, off, round(variance, 6) AS variance FROM b JOIN con USING (grp) WHERE off BETWEEN hit_off - 4 AND hit_off + 4""",
         "prefix_variances": f"""WITH {_VEC}, k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings), n AS (SELECT unnest({NS}) AS n)
 SELECT label, off, n, round(CAST(n * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (n * n), 6) AS variance FROM vec JOIN k USING (label, vec_id) JOIN n ON rank <= n GROUP BY label, off, n HAVING count(*) = n""",
+        "convergence": f"""WITH {_VEC}, k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings), n AS (SELECT unnest({NS}) AS n),
+p AS (SELECT label, off, n FROM vec JOIN k USING (label, vec_id) JOIN n ON rank <= n GROUP BY ALL HAVING count(*) = n AND var_pop(v) > 3000),
+c AS (SELECT p.* FROM p JOIN (SELECT label, off FROM vec JOIN k USING (label, vec_id) WHERE rank = 1 AND v >= 100) USING (label, off)),
+lo AS (SELECT label, n, min(off) // 4 * 4 AS lo FROM c GROUP BY 1, 2),
+s AS (SELECT label, n, off, unnest(generate_series(greatest(lo, ((off - 8) // 4 + CASE WHEN (off - 8) % 4 < 0 THEN 0 ELSE 1 END) * 4), off // 4 * 4, 4)) AS s FROM c JOIN lo USING (label, n)),
+a AS (SELECT DISTINCT label, off, n FROM s SEMI JOIN (SELECT label, n, s FROM s GROUP BY ALL HAVING count(*) >= 4) USING (label, n, s)),
+f AS (SELECT *, 'variance' AS candidates FROM p UNION ALL SELECT *, 'combined' FROM c UNION ALL SELECT *, 'aligned' FROM a),
+t AS (SELECT label, off, n, candidates FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest(generate_series(16, 31)) AS off), n, (SELECT unnest(['variance', 'combined', 'aligned']) AS candidates)),
+m AS (SELECT label, n, candidates, count(*) FILTER (WHERE f.off IS NOT NULL AND t.off IS NOT NULL) AS tp, count(*) FILTER (WHERE t.off IS NULL) AS fp, count(*) FILTER (WHERE f.off IS NULL) AS fn
+  FROM (SELECT *, off AS o FROM f) f FULL JOIN (SELECT *, off AS o FROM t) t USING (label, n, candidates, o) GROUP BY 1, 2, 3),
+q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM m)
+SELECT label, n, candidates, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM q""",
         "xor_diff": f"WITH {_VEC} SELECT a.vec_id, count(*) AS compared, sum(CASE WHEN xor(a.v, b.v) <> 0 THEN 1 ELSE 0 END)::BIGINT AS different, round(sum(CASE WHEN a.v <> b.v THEN 100.0::DOUBLE ELSE 0 END) / count(*), 6) AS percent FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1 AND a.off = b.off GROUP BY a.vec_id",
         "static_mask": f"WITH {_VEC} SELECT grp, off, min(v) = max(v) AS is_static FROM vec GROUP BY grp, off",
         "byte_roles": f"WITH {_VEC} SELECT grp, off, CASE WHEN off >= 16 AND off < 32 THEN 'key' WHEN min(v) = max(v) THEN 'same' ELSE 'different' END AS role FROM vec GROUP BY grp, off",
