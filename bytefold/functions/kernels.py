@@ -37,20 +37,41 @@ def sliding_entropy(values: np.ndarray, window: int, step: int = 1) -> np.ndarra
     c = np.arange(window + 1, dtype=np.float64)
     table = np.rint(np.where(c > 0, c * np.log2(np.maximum(c, 1)), 0) * _SCALE).astype(np.int64)
     start = int(table[np.bincount(values[:window], minlength=256)].sum())
-    moves = n - window
-    at = np.arange(n, dtype=np.int64)
-    keys = values.astype(np.int64) * (n + 1) + at
-    ordered = np.sort(keys)
-    rank = np.empty(n, dtype=np.int64)
-    rank[ordered % (n + 1)] = at
-    leaving, coming = slice(0, moves), slice(window, n)
-    left = np.searchsorted(ordered, keys[leaving] + window) - rank[leaving]  # with the leaving byte
-    right = rank[coming] - np.searchsorted(ordered, keys[coming] - (window - 1))  # without the coming byte
+    before, after = _equal_near(values, window - 1)
+    left = after[: n - window] + 1  # how often the leaving byte is in the window it leaves
+    right = before[window:]  # how often the coming byte is in the rest of the window it enters
     change = table[left - 1] - table[left] + table[right + 1] - table[right]
     sums = start + np.concatenate([[0], np.cumsum(change)])
     return np.log2(window) - sums[::step] / (_SCALE * window) + 0.0
 
 
+def _equal_near(values: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many equal bytes lie up to ``reach`` before, and behind, each byte.
+
+    Ordered by (value, position) the equal bytes are neighbours: the k-th neighbour counts while it
+    lies within reach, and no k counts after the first one that is in reach of none.
+    """
+    n = len(values)
+    order = np.argsort(values, kind="stable")
+    keys = values[order].astype(np.int64) * (n + reach + 1) + order  # other values are out of reach
+    before, after = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    if reach > 256:
+        rank = np.arange(n)
+        before[order] = rank - np.searchsorted(keys, keys - reach)
+        after[order] = np.searchsorted(keys, keys + reach, side="right") - 1 - rank
+        return before, after
+    keys = keys.astype(np.int32) if keys[-1] < 2**31 else keys
+    back, on = np.zeros(n, dtype=np.int16), np.zeros(n, dtype=np.int16)
+    for k in range(1, min(reach, n - 1) + 1):
+        near = keys[k:] - keys[:-k] <= reach
+        if not near.any():
+            break
+        back[k:] += near
+        on[:-k] += near
+    before[order], after[order] = back, on
+    return before, after
+
+
 def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edges = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))

@@ -27,3 +27,21 @@ def bytes_of(images: DataFrame) -> DataFrame:
     """One row per byte: ``dump_id, off, v`` (0..255).  For small images and comparison plans."""
     pairs = F.regexp_extract_all(F.hex(F.col("data").cast("binary")), F.lit("(..)"), F.lit(1))
     return images.select("dump_id", F.posexplode(pairs).alias("off", "h")).select("dump_id", F.col("off").cast("bigint").alias("off"), F.conv("h", 16, 10).cast("int").alias("v"))
+
+
+def chunks_of_view(runs: DataFrame, halo: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``byte_chunks`` of images kept as runs ``(dump_id, view_off, data)`` laid end to end.
+
+    Serves containers, cores and mapped raw images alike: a run is cut at chunk borders, the pieces
+    of a chunk and its halo meet by one exchange, and no image is ever put together as a whole.
+    """
+    size = F.octet_length("data").cast("bigint")
+    rows = runs.select("dump_id", F.col("view_off").cast("bigint").alias("at"), F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
+    first = F.greatest(F.lit(0).cast("bigint"), F.floor((F.col("at") - halo) / chunk))
+    spread = rows.withColumn("n", F.explode(F.sequence(first, F.floor((F.col("at") + size - 1) / chunk))))
+    low = F.greatest(F.col("n") * chunk, F.col("at"))
+    high = F.least((F.col("n") + 1) * chunk + halo, F.col("at") + size)
+    pieces = spread.filter(low < high).select("dump_id", "n", low.alias("low"), F.substring("data", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("p"), F.greatest(F.lit(0), F.least((F.col("n") + 1) * chunk, high) - low).alias("own"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("low", "p"))), lambda x: x["p"])
+    met = pieces.groupBy("dump_id", "n").agg(parts.alias("parts"), F.sum("own").cast("int").alias("size")).filter("size > 0")
+    return met.select("dump_id", F.col("n").cast("int").alias("chunk_no"), (F.col("n") * chunk).alias("base_off"), "size", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))

@@ -239,6 +239,12 @@ def core_segments(files: DataFrame) -> DataFrame:
     return cumulative(rows, ["dump_id"], ["va"], "file_size")
 
 
+def core_view(files: DataFrame) -> DataFrame:
+    """Captured memory of ELF cores in address order: ``dump_id, va, view_off, data``."""
+    parts = core_segments(files).select("dump_id", "va", "view_off", "file_off", "file_size").join(files.select(F.col("dump_id").cast("string").alias("dump_id"), F.col("data").cast("binary").alias("data")), "dump_id")
+    return parts.select("dump_id", "va", "view_off", F.substring("data", (F.col("file_off") + 1).cast("int"), F.col("file_size").cast("int")).alias("data"))
+
+
 def core_modules(files: DataFrame) -> DataFrame:
     """Mapped files of ELF cores."""
     from decimal import Decimal

@@ -30,6 +30,13 @@ def test_sliding_entropy_is_the_entropy_of_each_window(data, window, step):
     assert np.allclose(got, want, atol=1e-9) and len(got) == len(want)
 
 
+@pytest.mark.parametrize("window", [256, 257, 258, 400])
+def test_wide_windows(window):
+    data = bytes(random.Random(window).choice(b"abcdefgh") for _ in range(700))
+    want = [plain_entropy(data[i : i + window]) for i in range(0, 701 - window)]
+    assert np.allclose(K.sliding_entropy(K.as_bytes(data), window), want, atol=1e-9)
+
+
 def test_entropy_edges():
     assert K.shannon(b"") == 0.0
     assert K.shannon(b"aaaa") == 0.0

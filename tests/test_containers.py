@@ -171,6 +171,20 @@ def test_core(spark):
         I.parse_core(b"\x7fELF\x01" + core()[5:])
 
 
+@pytest.mark.parametrize("chunk,halo", [(8, 3), (5, 0), (64, 9), (700, 31)])
+def test_views_become_chunks(spark, chunk, halo):
+    from bytefold.operators.chunks import chunked, chunks_of_view
+
+    df = files(spark, core())
+    want = spark.createDataFrame([("d0", bytearray(b"B" * 8 + b"A" * 16))], "dump_id string, data binary")
+    key = lambda x: sorted((r.dump_id, r.chunk_no, r.base_off, r["size"], bytes(r.data)) for r in x.collect())
+    assert key(chunks_of_view(I.core_view(df), halo, chunk)) == key(chunked(want, halo, chunk))
+    box = M.view(M.blocks(files(spark, sample())))
+    whole = b"".join(bytes(r.data) for r in box.orderBy("view_off").collect())
+    image = spark.createDataFrame([("d0", bytearray(whole))], "dump_id string, data binary")
+    assert key(chunks_of_view(box, halo, chunk)) == key(chunked(image, halo, chunk)) and len(whole) == 3072
+
+
 def test_maps(spark):
     lines = ["00400000-00401000 r-xp 00000000 08:01 12 /usr/lib/my lib.so.1.1", "7f0000000000-7f0000002000 rw-p 00001000 00:00 0", "7ffc0000-7ffd0000 rw-p 00000000 00:00 0 [stack:5]", "junk", "ffffffff00000000-ffffffff00001000 r-xp 00000000 00:00 0 [vsyscall]", "1000-2000 r--p 0 00:00 0 /opt/data.bin"]
     df = spark.createDataFrame([("d", x) for x in lines], "dump_id string, value string")
