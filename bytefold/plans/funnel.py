@@ -76,14 +76,14 @@ def _variances(states: dict, n: int, pad: int, chunk: int, limit: int):
     return out
 
 
-def _reduce(ns: list[int], p: Params, pad: int, chunk: int):
+def _reduce(points: int, p: Params, pad: int, chunk: int):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for b in batches for r in b.to_pylist())
         for (grp, no), group in groupby(rows, key=lambda r: (r["grp"], r["chunk_no"])):
-            ref, totals, segments = None, {}, {}
+            ref, segments = None, {}
             for r in group:
                 if r["data"] is not None:
-                    ref, totals = r, dict(zip(r["ns"], r["totals"]))
+                    ref = r
                 else:
                     segments.setdefault(r["seg"], {})[r["side"]] = (r["n"], np.frombuffer(r["sums"], dtype=np.int64), np.frombuffer(r["squares"], dtype=np.int64))
             if ref is None:
@@ -95,14 +95,14 @@ def _reduce(ns: list[int], p: Params, pad: int, chunk: int):
             starts = (base - left) + first + np.arange(len(profile), dtype=np.int64) * p["alignment"]
             held: dict[int, tuple] = {}
             out = []
-            for seg, n in enumerate(ns):
+            for seg in range(points):
                 for side, (m, s, q) in segments.get(seg, {}).items():
                     if side in held:
                         k = min(len(s), len(held[side][1])) if side >= 0 else None
                         held[side] = (held[side][0] + m, held[side][1][:k] + s[:k], held[side][2][:k] + q[:k]) if len(s) == len(held[side][1]) or side >= 0 else held[side]
                     else:
                         held[side] = (m, s, q)
-                total = totals.get(n)
+                n, total = ref["ns"][seg], ref["totals"][seg]
                 if total is None or total <= base:
                     continue
                 size = min(chunk, total - base)
@@ -148,12 +148,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(c) for c in ("grp", "n", "off", "length")] + [pa.array(mean, pa.float64()), b.column("mean_variance")], names=["grp", "n", "off", "length", "mean_entropy", "mean_variance"])
 
 
-def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = CHUNK, **params) -> tuple[DataFrame, DataFrame]:
+def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = CHUNK, whole: bool = False, **params) -> tuple[DataFrame, DataFrame]:
     """Run the funnel over ``images(grp, rank, dump_id, data)`` for the first N images of each group.
 
     ``rank`` numbers the images of a group from 1; number 1 is the reference.  Returns the stage
     counts ``grp, n, total, variance, aligned, high_entropy`` and the regions ``grp, n, off,
-    length, mean_entropy, mean_variance``.  Without ``ns`` the whole group is used (``n`` its size).
+    length, mean_entropy, mean_variance``.  Without ``ns`` the whole group is used (``n`` its size);
+    with ``whole`` each group's own size is a checkpoint besides ``ns``.
 
     Defined cases: bytes beyond the shortest of the N images don't count; groups with fewer than
     N images have no row for N; with fewer than 3 images only entropy is used; null and empty
@@ -164,18 +165,22 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
     pad += -pad % p["alignment"]
     if chunk % p["alignment"] or chunk < pad:
         raise ValueError("the chunk must be a multiple of the alignment and hold a block")
-    whole = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.col("rank").cast("int").alias("rank"), F.col("dump_id"), F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
+    held = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.col("rank").cast("int").alias("rank"), F.col("dump_id"), F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
     if ns is None:
-        top = whole.agg(F.max("rank")).first()[0] or 0
+        top = held.agg(F.max("rank")).first()[0] or 0
         ns = [top]
     ns = sorted({n for n in ns if n >= 1})
     bound = F.array(*(F.lit(n) for n in ns))
     seg = F.size(F.filter(bound, lambda n: n < F.col("rank")))
-    used = whole.filter(F.col("rank") <= ns[-1])
+    used = held if whole else held.filter(F.col("rank") <= ns[-1])  # what lies beyond the last N is a segment of its own
 
     sizes = used.select("grp", "rank", F.octet_length("data").cast("bigint").alias("size"))
     per_n = [F.when(F.max("rank") >= n, F.min(F.when(F.col("rank") <= n, F.col("size")))).alias(f"t{i}") for i, n in enumerate(ns)]
-    totals = sizes.groupBy("grp").agg(*per_n).select("grp", F.array(*(F.col(f"t{i}") for i in range(len(ns)))).alias("totals"))
+    points = [F.lit(n) for n in ns]
+    if whole:
+        per_n.append(F.when(~F.max("rank").isin(ns), F.min("size")).alias(f"t{len(ns)}"))
+        points.append(F.col("images"))
+    totals = sizes.groupBy("grp").agg(F.max("rank").alias("images"), *per_n).select("grp", F.array(*points).alias("ns"), F.array(*(F.col(f"t{i}") for i in range(len(points)))).alias("totals"))
 
     cut = used.select("grp", seg.alias("seg"), "dump_id", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
     base = F.col("chunk_no") * chunk
@@ -185,13 +190,13 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
     states = states.select(F.get(split, F.lit(1)).alias("grp"), F.get(split, F.lit(0)).cast("int").alias("seg"), "chunk_no", "n", "sums", "squares")
     edged = states.mapInArrow(_edges(pad), "grp string, seg int, chunk_no int, side int, n bigint, sums binary, squares binary")
 
-    ref = whole.filter("rank = 1").select("grp", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
+    ref = held.filter("rank = 1").select("grp", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
     start = F.greatest(F.lit(0), F.col("chunk_no") * chunk - pad)
     ref = ref.select("grp", "chunk_no", F.substring("data", start + 1, F.col("chunk_no") * chunk + chunk + pad - start).alias("data")).join(totals, "grp")
     blank = lambda kind: F.lit(None).cast(kind)
-    ref = ref.select("grp", blank("int").alias("seg"), "chunk_no", blank("int").alias("side"), blank("bigint").alias("n"), blank("binary").alias("sums"), blank("binary").alias("squares"), "data", bound.alias("ns"), "totals")
+    ref = ref.select("grp", blank("int").alias("seg"), "chunk_no", blank("int").alias("side"), blank("bigint").alias("n"), blank("binary").alias("sums"), blank("binary").alias("squares"), "data", "ns", "totals")
     rows = edged.select("*", blank("binary").alias("data"), blank("array<int>").alias("ns"), blank("array<bigint>").alias("totals")).unionByName(ref)
-    pieces = rows.repartition("grp", "chunk_no").sortWithinPartitions("grp", "chunk_no").mapInArrow(_reduce(ns, p, pad, chunk), _PIECES)
+    pieces = rows.repartition("grp", "chunk_no").sortWithinPartitions("grp", "chunk_no").mapInArrow(_reduce(len(points), p, pad, chunk), _PIECES)
 
     stages = pieces.filter("start is null").groupBy("grp", "n").agg(*(F.sum(c).alias(c) for c in ("total", "variance", "aligned", "high_entropy")))
     along = Window.partitionBy("grp", "n").orderBy("start")
@@ -282,9 +287,12 @@ def neighborhood(consensus: DataFrame, hits: DataFrame, pad: int = 64) -> DataFr
     return pairs.select("grp", "hit_off", "size", F.col("w")[0]["off"].alias("start"), F.transform("w", lambda x: x["variance"]).alias("variances"))
 
 
-def nsweep(images: DataFrame, ns: list[int], make_oracle: Callable[[], Callable[[bytes], bool]] | None = None, sizes: tuple[int, ...] = (32,), stride: int = 8, exhaustive: bool = True, chunk: int = CHUNK, **params) -> DataFrame:
-    """One row per (group, N): stage counts, regions, candidates tried, hits, first hit."""
-    stages, regions = reduce_images(images, ns, chunk, **params)
+def nsweep(images: DataFrame, ns: list[int], make_oracle: Callable[[], Callable[[bytes], bool]] | None = None, sizes: tuple[int, ...] = (32,), stride: int = 8, exhaustive: bool = True, chunk: int = CHUNK, whole: bool = False, **params) -> DataFrame:
+    """One row per (group, N): stage counts, regions, candidates tried, hits, first hit.
+
+    With ``whole`` each group's own size is a checkpoint besides ``ns``.
+    """
+    stages, regions = reduce_images(images, ns, chunk, whole, **params)
     reference = images.filter("rank = 1").select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), "data")
     slices = candidate_slices(regions, reference, list(sizes), stride, chunk)
     out = stages.join(regions.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("regions")), ["grp", "n"], "left").join(slices.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("candidates")), ["grp", "n"], "left")

@@ -18,7 +18,7 @@ from bytefold.operators import runs as R
 from bytefold.operators import search as S
 from bytefold.operators.chunks import bytes_of, chunked
 from bytefold.plans import convergence as V
-from bytefold.plans.funnel import nsweep, reduce_images
+from bytefold.plans.funnel import CONVERGENCE_NS, nsweep, reduce_images
 from bytefold.plans.patterns import pattern_columns
 from bytefold.session import table
 
@@ -148,6 +148,26 @@ def convergence(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "precision", "recall", "f1")
 
 
+def prefix_variances_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Variance per label over its first N images, for every N of the reference and for all its images."""
+    return _rounded(V.prefix_variance(_ranked_bytes(spark, d), ["label"], CONVERGENCE_NS, whole=True), "variance")
+
+
+def convergence_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The query convergence with every N of the reference and all images of a label."""
+    ranked = _ranked_bytes(spark, d)
+    bright = ranked.filter("rank = 1 and v >= 100").select("label", "off")
+    truth = ranked.filter(F.col("off").between(16, 31)).select("label", "off").distinct()
+    out = V.convergence(V.prefix_variance(ranked, ["label"], CONVERGENCE_NS, whole=True), bright, truth, None, ["label"], 8, 4, 0.5)
+    return _rounded(out, "precision", "recall", "f1")
+
+
+def _ranked_bytes(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors(spark, d)
+    order = rows.select("label", "vec_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    return rows.join(order, ["label", "vec_id"])
+
+
 def xor_diff(spark: SparkSession, d: str) -> DataFrame:
     """Bytes that differ between each vector and the next."""
     rows = vectors(spark, d).select("vec_id", "off", "v")
@@ -255,16 +275,16 @@ def value_formats(spark: SparkSession, d: str) -> DataFrame:
 
 def funnel_stages(spark: SparkSession, d: str) -> DataFrame:
     """Bytes left after each stage of the funnel, per label and number of images."""
-    return reduce_images(_ranked(spark, d), NS, entropy_threshold=4.0, min_region=8, min_variance=500.0)[0]
+    return reduce_images(_ranked(spark, d), CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[0]
 
 
 def funnel_regions(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(reduce_images(_ranked(spark, d), NS, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1], "mean_entropy", "mean_variance", digits=4)
+    return _rounded(reduce_images(_ranked(spark, d), CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1], "mean_entropy", "mean_variance", digits=4)
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     """The sweep over N with a predicate that takes slices without a zero byte."""
-    return nsweep(_ranked(spark, d), NS, lambda: lambda value: 0 not in value, (16,), 8, entropy_threshold=4.0, min_region=8, min_variance=500.0)
+    return nsweep(_ranked(spark, d), CONVERGENCE_NS, lambda: lambda value: 0 not in value, (16,), 8, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
@@ -274,7 +294,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     consensus_variance, consensus_by_set, consensus_by_label, welford_merge, variance_class_counts, variance_summary, variance_bands, static_runs, volatile_runs,
-    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
+    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, prefix_variances_whole, convergence_whole, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
     entropy_profile, entropy_bands, entropy_stats, high_entropy_regions, entropy_coverage, aligned_block_filter, aligned_block_set, exact_hits, static_hits,
     regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, sweep,
 )

@@ -122,3 +122,30 @@ def test_convergence(spark):
     assert best.fp == 0 and best.recall > 0.8
     stones = V.milestones(metrics, 0.8).first()
     assert stones.first_detection_n <= 10 and stones.first_fp_target_n is not None
+
+
+def test_whole_groups_beside_the_checkpoints(spark, datas):
+    sizes = {"a": 6, "b": 4, "c": 3}
+    df = spark.createDataFrame([(g, i + 1, f"{g}{i}", bytearray(datas[i])) for g, n in sizes.items() for i in range(n)], SCHEMA)
+    stages, _ = reduce_images(df, [2, 3], 256, whole=True)
+    got = {(r.grp, r.n): (r.total, r.variance, r.aligned, r.high_entropy) for r in stages.collect()}
+    assert got == {(g, n): plain(datas, n, Params())[0] for g, own in sizes.items() for n in {2, 3, own}}
+    assert {(r.grp, r.n) for r in nsweep(df, [2, 3], chunk=256, whole=True).collect()} == set(got)
+
+
+def test_prefix_variance_of_whole_groups(spark):
+    rng = np.random.RandomState(5)
+    stacks = {g: rng.randint(0, 256, (n, 40)) for g, n in (("a", 7), ("b", 3), ("c", 4))}
+    rows = [(g, r + 1, o, int(v)) for g, s in stacks.items() for r, x in enumerate(s) for o, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "label string, rank int, off bigint, v int")
+    var = V.prefix_variance(df, ["label"], [2, 3, 5], whole=True)
+    got = {}
+    for r in var.orderBy("off").collect():
+        got.setdefault((r.label, r.n), []).append(r.variance)
+    assert set(got) == {("a", 2), ("a", 3), ("a", 5), ("a", 7), ("b", 2), ("b", 3), ("c", 2), ("c", 3), ("c", 4)}
+    assert all(np.allclose(v, stacks[g][:n].var(axis=0)) for (g, n), v in got.items())
+    offsets = df.select("label", "off").distinct()
+    metrics = V.convergence(var, offsets, offsets, None, ["label"])
+    assert {(r.label, r.n) for r in metrics.collect()} == set(got)
+    alone = V.prefix_variance(df.filter("label = 'a'"), [], [2], whole=True)
+    assert {r.n for r in alone.collect()} == {2, 7}
