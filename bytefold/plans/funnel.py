@@ -153,8 +153,8 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
 
     ``rank`` numbers the images of a group from 1; number 1 is the reference.  Returns the stage
     counts ``grp, n, total, variance, aligned, high_entropy`` and the regions ``grp, n, off,
-    length, mean_entropy, mean_variance``.  Without ``ns`` the whole group is used (``n`` its size);
-    with ``whole`` each group's own size is a checkpoint besides ``ns``.
+    length, mean_entropy, mean_variance``.  Without ``ns`` the whole of each group is used
+    (``n`` its own size); with ``whole`` that size is a checkpoint besides ``ns``.
 
     Defined cases: bytes beyond the shortest of the N images don't count; groups with fewer than
     N images have no row for N; with fewer than 3 images only entropy is used; null and empty
@@ -166,11 +166,9 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
     if chunk % p["alignment"] or chunk < pad:
         raise ValueError("the chunk must be a multiple of the alignment and hold a block")
     held = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.col("rank").cast("int").alias("rank"), F.col("dump_id"), F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
-    if ns is None:
-        top = held.agg(F.max("rank")).first()[0] or 0
-        ns = [top]
-    ns = sorted({n for n in ns if n >= 1})
-    bound = F.array(*(F.lit(n) for n in ns))
+    whole = whole or ns is None
+    ns = sorted({n for n in ns or [] if n >= 1})
+    bound = F.array(*(F.lit(n) for n in ns)).cast("array<int>")
     seg = F.size(F.filter(bound, lambda n: n < F.col("rank")))
     used = held if whole else held.filter(F.col("rank") <= ns[-1])  # what lies beyond the last N is a segment of its own
 

@@ -149,3 +149,14 @@ def test_prefix_variance_of_whole_groups(spark):
     assert {(r.label, r.n) for r in metrics.collect()} == set(got)
     alone = V.prefix_variance(df.filter("label = 'a'"), [], [2], whole=True)
     assert {r.n for r in alone.collect()} == {2, 7}
+
+
+def test_groups_of_unequal_size_without_checkpoints(spark, datas):
+    sizes = {"a": 6, "b": 4, "c": 1}
+    df = spark.createDataFrame([(g, i + 1, f"{g}{i}", bytearray(datas[i])) for g, n in sizes.items() for i in range(n)], SCHEMA)
+    stages, regions = reduce_images(df, chunk=256)
+    assert {(r.grp, r.n): (r.total, r.variance, r.aligned, r.high_entropy) for r in stages.collect()} == {(g, n): plain(datas, n, Params())[0] for g, n in sizes.items()}
+    found = {}
+    for r in regions.collect():
+        found.setdefault(r.grp, []).append((r.off, r.length, round(r.mean_entropy, 4)))
+    assert {g: sorted(found.get(g, [])) for g in sizes} == {g: plain(datas, n, Params())[1] for g, n in sizes.items()}

@@ -65,3 +65,10 @@ def test_artifacts(tmp_path):
     assert P.collect_garbage(str(tmp_path), 150) == []
     P.save_json({"a": b"\x01"}, str(tmp_path / "j.json"))
     assert "01" in (tmp_path / "j.json").read_text()
+
+
+def test_pipeline_of_unequal_groups(spark):
+    both = images(spark).union(images(spark, 3, 10).withColumn("grp", F.lit("h")))
+    out = P.run_pipeline(both, lambda: lambda v: len(v) == 32)
+    assert {(s["grp"], s["n"]) for s in out["stages"]} == {("g", 5), ("h", 3)}
+    assert {h["grp"] for h in out["hits"]} == {"g", "h"}
