@@ -13,6 +13,7 @@ from bytefold.operators import hits as H
 from bytefold.operators import intervals as I
 from bytefold.session import table
 from bytefold.sources import catalog as K
+from bytefold.streaming.sessions import in_ring
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
@@ -185,6 +186,14 @@ def event_replay(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("n", n).filter("n <= 20").groupBy("task_id").agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("seq") > 10).cast("bigint")).alias("replayed"))
 
 
+def event_replay_ring(spark: SparkSession, d: str) -> DataFrame:
+    """Per task: distinct messages, those kept in the reference's ring, those of them after sequence number 10."""
+    rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), "seq", F.coalesce(F.lower(trimmed("type")), F.lit("\x00")).alias("type"), "received_at", "delivery_id").filter("task_id is not null and seq is not null")
+    messages = rows.groupBy("task_id").agg(F.count_distinct("seq", "type").alias("messages"))
+    kept = in_ring(rows).groupBy("task_id").agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("seq") > 10).cast("bigint")).alias("replayed"))
+    return messages.join(kept, "task_id")
+
+
 def idle_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks without an event for 90 days before the newest event."""
     rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), micros_of("received_at").alias("at")).filter("task_id is not null")
@@ -209,7 +218,7 @@ def downsample(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     hit_key_candidates, hit_cross_library, hit_offset_variance, hit_summary, hit_presence, phase_presence, hit_rollup, detection_metrics, confidence_rollup,
     findings_by_type, findings_timeline, run_view, project_timeline, run_metadata, secrets, hits_in_regions, overlapping_regions, owner_lookup, view_offsets,
-    common_types, unresolved_dumps, aes_check, event_replay, idle_tasks, survivors_by_stage, downsample,
+    common_types, unresolved_dumps, aes_check, event_replay, event_replay_ring, idle_tasks, survivors_by_stage, downsample,
 )
 
 

@@ -9,6 +9,9 @@ from bytefold.operators.chunks import CHUNK, chunked
 from bytefold.operators.consensus import STATE, consensus_state, expand, merge_states
 from bytefold.session import scratch_path
 
+#: Messages of a task that the reference's ring holds.
+RING = 512
+
 
 class ConsensusSession:
     """A session of incremental consensus over a folder of images.
@@ -74,11 +77,18 @@ class ConsensusSession:
         return self.live()
 
 
+def in_ring(events: DataFrame, ring: int = RING) -> DataFrame:
+    """The last ``ring`` messages of each task; copies of a message take one place, the first to arrive stays."""
+    key = [c for c in ("task_id", "seq", "type") if c in events.columns]
+    copy = Window.partitionBy(*key).orderBy(*(c for c in ("received_at", "delivery_id") if c in events.columns), F.lit(0))
+    once = events.withColumn("_n", F.row_number().over(copy)).filter("_n = 1")
+    last = Window.partitionBy("task_id").orderBy(*(F.desc(c) for c in key[1:]))
+    return once.withColumn("_n", F.row_number().over(last)).filter(F.col("_n") <= ring).drop("_n")
+
+
 def replay(events: DataFrame, task_id: str, since: int = 0, ring: int = 1000) -> DataFrame:
-    """Events of a task after a sequence number, of the last ``ring`` that are kept."""
-    own = events.filter(F.col("task_id") == task_id)
-    kept = own.withColumn("_n", F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("seq")))).filter(F.col("_n") <= ring).drop("_n")
-    return kept.filter(F.col("seq") > since).orderBy("seq")
+    """Messages of a task after a sequence number, of the last ``ring`` that are kept."""
+    return in_ring(events.filter(F.col("task_id") == task_id), ring).filter(F.col("seq") > since).orderBy("seq")
 
 
 def idle_sessions(events: DataFrame, ttl_seconds: int, at: str = "received_at") -> DataFrame:

@@ -306,3 +306,19 @@ def test_all_queries_run(spark, data):
         df = f(spark, data)
         assert len(set(df.columns)) == len(df.columns), name
         df.count()
+
+
+def test_ring_holds_distinct_messages(spark):
+    rows = [("t", q, k, 10 * q + c) for q in range(1, 41) for k in ("progress", "done") for c in range(3)]
+    ev = spark.createDataFrame(rows, "task_id string, seq bigint, type string, delivery_id bigint")
+    assert [(r.seq, r.delivery_id) for r in W.replay(ev, "t", 0, 4).collect()] == [(39, 390), (39, 390), (40, 400), (40, 400)]
+    assert W.in_ring(ev).count() == 80 and W.RING == 512
+    many = spark.range(1, 601).select(F.lit("u").alias("task_id"), F.col("id").alias("seq"))
+    assert W.in_ring(many).agg(F.min("seq"), F.count("seq")).first()[:] == (89, 512)
+
+
+def test_event_replay_ring(spark, data):
+    from bytefold.queries.findings import event_replay_ring
+
+    got = event_replay_ring(spark, data).collect()
+    assert got and all(r.kept == min(r.messages, 512) for r in got) and max(r.kept for r in got) > 20
