@@ -148,6 +148,18 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(c) for c in ("grp", "n", "off", "length")] + [pa.array(mean, pa.float64()), b.column("mean_variance")], names=["grp", "n", "off", "length", "mean_entropy", "mean_variance"])
 
 
+def held_images(images: DataFrame) -> DataFrame:
+    """The images that hold bytes as ``grp, rank, dump_id, data``, numbered without the null and empty ones.
+
+    The ranks of the others are broadcast, so that no image is moved for its number.
+    """
+    rows = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.col("rank").cast("int").alias("rank"), F.col("dump_id"), F.col("data").cast("binary").alias("data"))
+    size = F.coalesce(F.octet_length("data"), F.lit(0))
+    gaps = rows.filter(size == 0).groupBy("grp").agg(F.collect_list("rank").alias("_gaps"))
+    before = F.size(F.filter(F.coalesce("_gaps", F.array().cast("array<int>")), lambda g: g < F.col("rank")))
+    return rows.filter(size > 0).join(F.broadcast(gaps), "grp", "left").select("grp", (F.col("rank") - before).alias("rank"), "dump_id", "data")
+
+
 def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = CHUNK, whole: bool = False, **params) -> tuple[DataFrame, DataFrame]:
     """Run the funnel over ``images(grp, rank, dump_id, data)`` for the first N images of each group.
 
@@ -158,14 +170,14 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
 
     Defined cases: bytes beyond the shortest of the N images don't count; groups with fewer than
     N images have no row for N; with fewer than 3 images only entropy is used; null and empty
-    images are left out; a threshold that a window can't reach is refused.
+    images are left out and don't count in N; a threshold that a window can't reach is refused.
     """
     p = Params(**params)
     pad = max(p["block_size"], p["entropy_window"]) + p["alignment"]
     pad += -pad % p["alignment"]
     if chunk % p["alignment"] or chunk < pad:
         raise ValueError("the chunk must be a multiple of the alignment and hold a block")
-    held = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.col("rank").cast("int").alias("rank"), F.col("dump_id"), F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
+    held = held_images(images)
     whole = whole or ns is None
     ns = sorted({n for n in ns or [] if n >= 1})
     bound = F.array(*(F.lit(n) for n in ns)).cast("array<int>")
@@ -291,7 +303,7 @@ def nsweep(images: DataFrame, ns: list[int], make_oracle: Callable[[], Callable[
     With ``whole`` each group's own size is a checkpoint besides ``ns``.
     """
     stages, regions = reduce_images(images, ns, chunk, whole, **params)
-    reference = images.filter("rank = 1").select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), "data")
+    reference = held_images(images).filter("rank = 1").select("grp", "data")
     slices = candidate_slices(regions, reference, list(sizes), stride, chunk)
     out = stages.join(regions.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("regions")), ["grp", "n"], "left").join(slices.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("candidates")), ["grp", "n"], "left")
     if make_oracle:

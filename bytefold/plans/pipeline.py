@@ -53,7 +53,7 @@ def run_pipeline(images: DataFrame, make_oracle: Callable, name: str = "scan", n
     stages, regions = funnel.reduce_images(whole, **params)
     regions = keep(regions, "regions")
     stage("brute_force", 0.5)
-    reference = whole.filter("rank = 1")
+    reference = funnel.held_images(whole).filter("rank = 1")
     slices = funnel.candidate_slices(regions, reference, list(sizes), stride)
     hits = keep(funnel.brute_force(slices, make_oracle, exhaustive), "hits")
     found = [r.asDict() for r in hits.orderBy("grp", "off", "size").limit(1000).collect()]

@@ -160,3 +160,17 @@ def test_groups_of_unequal_size_without_checkpoints(spark, datas):
     for r in regions.collect():
         found.setdefault(r.grp, []).append((r.off, r.length, round(r.mean_entropy, 4)))
     assert {g: sorted(found.get(g, [])) for g in sizes} == {g: plain(datas, n, Params())[1] for g, n in sizes.items()}
+
+
+@pytest.mark.parametrize("empty", [1, 2, 4])
+def test_empty_images_take_no_rank(spark, datas, empty):
+    for gap in (None, bytearray()):
+        kept = [bytearray(d) for d in datas[:4]]
+        rows = [("g", i + 1, f"d{i}", d) for i, d in enumerate([*kept[: empty - 1], gap, *kept[empty - 1 :]])]
+        df = spark.createDataFrame(rows, SCHEMA)
+        stages, _ = reduce_images(df, [3], 256, whole=True)
+        assert {r.n: (r.total, r.variance, r.aligned, r.high_entropy) for r in stages.collect()} == {n: plain(datas, n, Params())[0] for n in (3, 4)}
+    key = bytes(np.random.RandomState(1).permutation(256)[:32].astype(np.uint8))
+    body = [bytearray(bytes(256) + bytes((b + 128 * (i % 2) + 5 * i) % 256 for b in key) + bytes(736)) for i in range(5)]
+    df = spark.createDataFrame([("g", i + 1, str(i), d) for i, d in enumerate([*body[: empty - 1], None, *body[empty - 1 :]])], SCHEMA)
+    assert [(p.n, p.hits, p.hit_off) for p in nsweep(df, [5], lambda: lambda v: bytes(v) == key).collect()] == [(5, 1, 256)]

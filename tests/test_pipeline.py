@@ -72,3 +72,9 @@ def test_pipeline_of_unequal_groups(spark):
     out = P.run_pipeline(both, lambda: lambda v: len(v) == 32)
     assert {(s["grp"], s["n"]) for s in out["stages"]} == {("g", 5), ("h", 3)}
     assert {h["grp"] for h in out["hits"]} == {"g", "h"}
+
+
+def test_pipeline_with_an_empty_first_image(spark):
+    df = images(spark).withColumn("rank", F.col("rank") + 1).union(spark.createDataFrame([("g", 1, "none", None)], "grp string, rank int, dump_id string, data binary"))
+    out = P.run_pipeline(df, lambda: lambda v: bytes(v) == KEY, "my_key")
+    assert [(h["n"], h["off"]) for h in out["hits"]] == [(5, 256)]
