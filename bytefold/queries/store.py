@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefold.functions.normalize import instant_micros, norm_id, trimmed
-from bytefold.operators.nested import integer, nodes, ordinal
+from bytefold.operators.nested import integer, nodes, ordinal, parent
 from bytefold.operators.references import OrphanTracker
 from bytefold.session import table
 from bytefold.streaming.dedupe import surplus_messages
@@ -25,9 +25,12 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nsweep_events").join(p3_found(spark, d), "delivery_id", "left_anti").select("delivery_id", "task_id", "type", "seq")
 
 
+def _sweep_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nsweep_events").select("delivery_id", "extra").distinct()
+
+
 def _sweep_nodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "nsweep_events").select("delivery_id", "extra").distinct()
-    return nodes(rows, F.col("delivery_id"), F.col("extra"), ["points"], ["stages.total_bytes", "points[].stages.total_bytes"])
+    return nodes(_sweep_rows(spark, d), F.col("delivery_id"), F.col("extra"), ["points"], ["stages.total_bytes", "points[].stages.total_bytes"])
 
 
 def _dump_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -38,9 +41,12 @@ def _dump_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes(_dump_rows(spark, d), F.col("dump_id"), F.col("metadata_json"), ["regions", "regions[].key_hints"], ["regions[].key_hints[].offset"])
 
 
+def _truth_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gt_runs").select("gt_id", F.to_json(F.struct("dumps")).alias("body")).distinct()
+
+
 def _truth_nodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "gt_runs").select("gt_id", F.to_json(F.struct("dumps")).alias("body")).distinct()
-    return nodes(rows, F.col("gt_id"), F.col("body"), ["dumps"], ["dumps[].va_info.extra.region_start_va"])
+    return nodes(_truth_rows(spark, d), F.col("gt_id"), F.col("body"), ["dumps"], ["dumps[].va_info.extra.region_start_va"])
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -57,9 +63,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Every node of the dumps' metadata with its label, schema path and parent label."""
-    all_nodes = nodes(_dump_rows(spark, d), F.col("dump_id"), F.col("metadata_json"), ["regions", "regions[].key_hints", "modules"])
-    return all_nodes.select(F.col("doc").alias("dump_id"), "label", "path", "kind", "value")
+    """Every node of the records of all three sources with its label, schema path and parent label."""
+    dump = nodes(_dump_rows(spark, d), F.col("dump_id"), F.col("metadata_json"), ["regions", "regions[].key_hints", "modules"])
+    sources = {"nsweep_events": nodes(_sweep_rows(spark, d), F.col("delivery_id"), F.col("extra"), ["points"]), "dumps": dump, "gt_runs": nodes(_truth_rows(spark, d), F.col("gt_id"), F.col("body"), ["dumps"])}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(src).alias("src"), "doc", "label", parent("label").alias("parent_label"), "path", "kind", "value") for src, df in sources.items()))
 
 
 #: Child table, its id, its reference, its time, and the parent table with its id and time.

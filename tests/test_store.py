@@ -213,3 +213,13 @@ def test_queries_of_the_problems(spark, data):
     for name, f in queries().items():
         df = f(spark, data)
         assert df.count() >= 0 and len(set(df.columns)) == len(df.columns), name
+
+
+def test_p4_nodes_have_parents_in_all_sources(spark, data):
+    from bytefold.queries.store import p4_nodes
+
+    rows = p4_nodes(spark, data).select("src", "doc", "label", "parent_label").collect()
+    there = {(r.src, r.doc, r.label) for r in rows}
+    assert {r.src for r in rows} == {"nsweep_events", "dumps", "gt_runs"}
+    assert all((r.parent_label is None) == (r.label == "") for r in rows)
+    assert all((r.src, r.doc, r.parent_label) in there for r in rows if r.label)
