@@ -32,7 +32,8 @@ def run_pipeline(images: DataFrame, make_oracle: Callable, name: str = "scan", n
     """Consensus, reduction, predicate, optional sweep, plugin for the first hit, of one image set.
 
     ``images(grp, rank, dump_id, data)``.  Returns paths of the stages' tables, the stage counts,
-    the hits (or the best regions when there is none), the sweep's points and the plugin's source.
+    the first hits (or the best regions when there is none) with the count and the table of all,
+    the sweep's points and the plugin's source.
     """
     spark = images.sparkSession
     root = root or scratch_path(spark, "pipeline")
@@ -57,7 +58,7 @@ def run_pipeline(images: DataFrame, make_oracle: Callable, name: str = "scan", n
     slices = funnel.candidate_slices(regions, reference, list(sizes), stride)
     hits = keep(funnel.brute_force(slices, make_oracle, exhaustive), "hits")
     found = [r.asDict() for r in hits.orderBy("grp", "off", "size").limit(1000).collect()]
-    out = {"root": root, "stages": [r.asDict() for r in stages.collect()], "hits": found, "top": []}
+    out = {"root": root, "stages": [r.asDict() for r in stages.collect()], "hits": found, "hit_count": hits.count(), "hits_path": f"{root}/hits", "top": []}
     if not found:
         out["top"] = [r.asDict() for r in funnel.top_regions(regions, ["grp"], top_k).collect()]
     if ns:

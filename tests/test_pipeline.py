@@ -78,3 +78,11 @@ def test_pipeline_with_an_empty_first_image(spark):
     df = images(spark).withColumn("rank", F.col("rank") + 1).union(spark.createDataFrame([("g", 1, "none", None)], "grp string, rank int, dump_id string, data binary"))
     out = P.run_pipeline(df, lambda: lambda v: bytes(v) == KEY, "my_key")
     assert [(h["n"], h["off"]) for h in out["hits"]] == [(5, 256)]
+
+
+def test_pipeline_says_how_many_hits_there_are(spark):
+    rows = [("g", i + 1, f"d{i}", bytearray(bytes((37 * k + 11 + 85 * i) % 256 for k in range(9000)))) for i in range(3)]
+    df = spark.createDataFrame(rows, "grp string, rank int, dump_id string, data binary")
+    out = P.run_pipeline(df, lambda: lambda v: True, plugin_threshold=1e9)
+    whole = spark.read.parquet(out["hits_path"])
+    assert out["hit_count"] == whole.count() > len(out["hits"]) == 1000
