@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from bytefold.functions import crypto
 from bytefold.functions.kernels import cusum_edges, plateaus
 from bytefold.operators.chunks import chunked
-from bytefold.operators.consensus import INVARIANT, KEY_CANDIDATE, consensus_state, expand
+from bytefold.operators.consensus import INVARIANT, KEY_CANDIDATE, consensus_state, span_means, state_runs, whole_chunks
 from bytefold.operators.entropy import entropy_profile, high_regions
-from bytefold.operators.runs import islands, merge_near
+from bytefold.operators.runs import merge_near
 from bytefold.operators.search import exact_hits, masked_score, needle_halo, regex_search
 from bytefold.operators.structures import match_structures
 
@@ -161,17 +161,14 @@ def differential(images: DataFrame, context: Context) -> DataFrame:
     Images without a ``grp`` column are one group.  Matches belong to the group's first image (the
     smallest id).
     """
-    by = ["grp"]
     chunk = context.extra.get("chunk", 1 << 16)
-    named = images.select("dump_id", (F.col("grp").cast("string") if "grp" in images.columns else F.lit("")).alias("grp"))
-    state = consensus_state(chunked(images, 0, chunk).join(named, "dump_id"), F.col("grp"))
-    rows = expand(state.filter("n >= 2"), chunk)
-    volatile = rows.filter(F.col("class") == KEY_CANDIDATE)
-    merged = merge_near(islands(volatile, by), by, rows.filter(F.col("class") == INVARIANT))
+    named = images.select("dump_id", (F.coalesce(F.col("grp").cast("string"), F.lit("")) if "grp" in images.columns else F.lit("")).alias("grp"), "data")
+    held = whole_chunks(consensus_state(chunked(named, 0, chunk, ["grp"]), F.col("grp")).filter("n >= 2"))
+    runs = state_runs(held, chunk, [KEY_CANDIDATE, INVARIANT], whole=True)
+    merged = merge_near(runs, ["grp"], F.col("class") == KEY_CANDIDATE)
     near = [F.abs(F.col("length") - w) for w in (32, 48)]
     wide = merged.filter(F.least(*near) <= 8)
-    inside = wide.withColumn("off", F.explode(F.sequence("start", F.col("end") - 1))).join(rows.select("grp", "off", "variance"), ["grp", "off"])
-    mean = inside.groupBy("grp", "start", "length").agg(F.avg("variance").alias("mean_variance"))
+    mean = span_means(held, wide, chunk).withColumn("length", F.col("end") - F.col("start"))
     score = 0.7 * F.least(F.col("mean_variance") / 8000.0, F.lit(1.0)) + 0.3 * F.greatest(1.0 - F.least(*near) / 8.0, F.lit(0.0))
     first = named.groupBy("grp").agg(F.min("dump_id").alias("dump_id"))
     return mean.join(first, "grp").select("dump_id", F.col("start").alias("off"), F.col("length").cast("int").alias("length"), F.round(score, 4).alias("confidence"), F.concat(F.lit("diff_key_candidate_"), F.col("length").cast("string"), F.lit("B")).alias("label"))

@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 
 
-def chunked(images: DataFrame, halo: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """Cut ``images(dump_id, data)`` into chunks; null and empty images have none.  No shuffle."""
-    whole = images.select("dump_id", F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
-    cut = whole.select("dump_id", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
+def chunked(images: DataFrame, halo: int = 0, chunk: int = CHUNK, keep: list[str] | None = None) -> DataFrame:
+    """Cut ``images(dump_id, data)`` into chunks; null and empty images have none.  No shuffle.
+
+    Columns named in ``keep`` go along with every chunk.
+    """
+    keep = keep or []
+    whole = images.select("dump_id", *keep, F.col("data").cast("binary").alias("data")).filter(F.octet_length("data") > 0)
+    cut = whole.select("dump_id", *keep, "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
     base = F.col("chunk_no").cast("bigint") * chunk
     part = F.substring("data", (base + 1).cast("int"), F.lit(chunk + halo))
-    return cut.select("dump_id", "chunk_no", base.alias("base_off"), F.least(F.lit(chunk), F.octet_length("data") - base).cast("int").alias("size"), part.alias("data"))
+    return cut.select("dump_id", *keep, "chunk_no", base.alias("base_off"), F.least(F.lit(chunk), F.octet_length("data") - base).cast("int").alias("size"), part.alias("data"))
 
 
 def bytes_of(images: DataFrame) -> DataFrame:

@@ -39,19 +39,29 @@ def class_regions(consensus: DataFrame, by: list[str], wanted: int, min_length:
     return runs.filter(F.col("length") >= min_length).withColumn("mean_variance", F.col("_v") / F.col("length")).drop("_v")
 
 
-def merge_near(runs: DataFrame, by: list[str], barrier: DataFrame, max_gap: int = 4) -> DataFrame:
-    """Merge runs at most ``max_gap`` apart unless a barrier offset lies in the gap.
+def merge_near(runs: DataFrame, by: list[str], wanted: Column, max_gap: int = 4, block: int = BLOCK) -> DataFrame:
+    """Merge wanted runs at most ``max_gap`` apart unless another run lies in the gap.
 
-    ``barrier(…by, off)`` are the invariant offsets.  A gap is always measured from the run
-    before, so a flag and a running sum do it.
+    ``runs(…by, start, end)`` are disjoint; those that aren't ``wanted`` are barriers (the invariant
+    runs).  A gap is always measured from the run before, so two runs merge exactly when they follow
+    each other without a barrier.  Blocks of offsets are merged on their own; over the whole image
+    only the first and last runs of each block meet.
     """
+    keys = [*by, "_b"]
+    cut = runs.select(*by, "start", "end", wanted.alias("_w")).withColumn("_b", F.floor(F.col("start") / block))
+    inner = Window.partitionBy(*keys).orderBy("start")
+    before = lambda w: ~F.lag("_w").over(w) | (F.col("start") - F.lag("end").over(w) > max_gap)
+    local = cut.withColumn("_g", F.sum(F.coalesce((F.col("_w") & before(inner)).cast("int"), F.lit(0)) + (~F.col("_w")).cast("int")).over(inner))
+    local = local.groupBy(*keys, "_g", "_w").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    ends = Window.partitionBy(*keys)
+    edge = (F.col("start") == F.min("start").over(ends)) | (F.col("start") == F.max("start").over(ends))
+    marked = local.withColumn("_edge", edge)
     along = Window.partitionBy(*by).orderBy("start")
-    gaps = runs.withColumn("_from", F.lag("end").over(along))
-    near = gaps.filter((F.col("start") - F.col("_from")).between(1, max_gap))
-    blocked = near.select(*by, "start", F.explode(F.sequence("_from", F.col("start") - 1)).alias("off")).join(barrier.select(*by, "off").distinct(), [*by, "off"], "left_semi").select(*by, "start").distinct().withColumn("_blocked", F.lit(True))
-    flagged = gaps.join(blocked, [*by, "start"], "left")
-    new = F.col("_from").isNull() | (F.col("start") - F.col("_from") > max_gap) | F.coalesce("_blocked", F.lit(False))
-    return flagged.withColumn("_g", F.sum(new.cast("int")).over(along)).groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g").withColumn("length", F.col("end") - F.col("start"))
+    met = marked.filter("_edge").withColumn("_new", F.coalesce((F.col("_w") & before(along)).cast("int"), F.lit(0)) + (~F.col("_w")).cast("int")).withColumn("_inside", F.lag("_b").over(along) == F.col("_b"))
+    met = met.withColumn("_g", F.sum(F.when(F.col("_inside"), 1).otherwise(F.col("_new"))).over(along)).filter("_w").groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    out = [*by, "start", "end"]
+    whole = marked.filter("_w and not _edge").select(*out).unionByName(met.select(*out))
+    return whole.withColumn("length", F.col("end") - F.col("start"))
 
 
 def infer_fields(consensus: DataFrame, by: list[str], key_start: Column, key_length: Column, threshold: float = 2000.0) -> DataFrame:

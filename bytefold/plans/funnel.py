@@ -15,7 +15,7 @@ import math
 import os
 import stat
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from bytefold.functions.kernels import aligned, as_bytes, covered, runs_of, shannon, sliding_entropy
 from bytefold.operators.chunks import CHUNK
-from bytefold.operators.consensus import consensus_state
+from bytefold.operators.consensus import ChunkState, consensus_state
 from bytefold.operators.entropy import check_threshold
 
 #: With fewer images than this the variance says nothing and only entropy is used.
@@ -52,10 +52,11 @@ def _edges(pad: int):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                s, q = np.frombuffer(r["sums"], dtype=np.int64), np.frombuffer(r["squares"], dtype=np.int64)
+                state = ChunkState.read(r["n"], r["sums"], r["squares"])
                 for shift, part in ((0, slice(None)), (1, slice(-pad, None)), (-1, slice(0, pad))):
                     if r["chunk_no"] + shift >= 0:
-                        rows.append((r["grp"], r["seg"], r["chunk_no"] + shift, -shift, r["n"], s[part].tobytes(), q[part].tobytes()))
+                        n, _, s, q = state.cut(part).row()
+                        rows.append((r["grp"], r["seg"], r["chunk_no"] + shift, -shift, n, s, q))
             cols = list(zip(*rows)) if rows else [[]] * 7
             types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["grp", "seg", "chunk_no", "side", "n", "sums", "squares"])
@@ -63,14 +64,13 @@ def _edges(pad: int):
     return edges
 
 
-def _variances(states: dict, n: int, pad: int, chunk: int, limit: int):
+def _variances(states: dict[int, ChunkState], n: int, pad: int, chunk: int) -> np.ndarray:
     """Variance of a chunk with ``pad`` offsets on either side (zeros where there is no data)."""
     out = np.zeros(chunk + 2 * pad)
     for side, at in ((0, pad), (-1, 0), (1, pad + chunk)):
-        if side not in states or states[side][0] != n:
+        if side not in states or states[side].n != n:
             continue
-        _, s, q = states[side]
-        x = (n * q - s * s) / float(n * n)
+        x = states[side].variance()
         start = at + pad - len(x) if side == -1 else at
         out[start : start + len(x)] = x[: len(out) - start]
     return out
@@ -85,7 +85,7 @@ def _reduce(points: int, p: Params, pad: int, chunk: int):
                 if r["data"] is not None:
                     ref = r
                 else:
-                    segments.setdefault(r["seg"], {})[r["side"]] = (r["n"], np.frombuffer(r["sums"], dtype=np.int64), np.frombuffer(r["squares"], dtype=np.int64))
+                    segments.setdefault(r["seg"], {})[r["side"]] = ChunkState.read(r["n"], r["sums"], r["squares"])
             if ref is None:
                 continue
             base, left = no * chunk, min(pad, no * chunk)
@@ -93,15 +93,14 @@ def _reduce(points: int, p: Params, pad: int, chunk: int):
             first = -(base - left) % p["alignment"]
             profile = sliding_entropy(data[first:], p["entropy_window"], p["alignment"]).astype(np.float32)
             starts = (base - left) + first + np.arange(len(profile), dtype=np.int64) * p["alignment"]
-            held: dict[int, tuple] = {}
+            held: dict[int, ChunkState] = {}
             out = []
             for seg in range(points):
-                for side, (m, s, q) in segments.get(seg, {}).items():
-                    if side in held:
-                        k = min(len(s), len(held[side][1])) if side >= 0 else None
-                        held[side] = (held[side][0] + m, held[side][1][:k] + s[:k], held[side][2][:k] + q[:k]) if len(s) == len(held[side][1]) or side >= 0 else held[side]
-                    else:
-                        held[side] = (m, s, q)
+                for side, state in segments.get(seg, {}).items():
+                    if side not in held:
+                        held[side] = state
+                    elif side >= 0 or len(state.sums) == len(held[side].sums):
+                        held[side] = held[side].add(state)
                 n, total = ref["ns"][seg], ref["totals"][seg]
                 if total is None or total <= base:
                     continue
@@ -112,7 +111,7 @@ def _reduce(points: int, p: Params, pad: int, chunk: int):
                     mask = np.ones(chunk + 2 * pad, dtype=bool)
                     dense = mask.copy()
                 else:
-                    var = _variances(held, n, pad, chunk, total)
+                    var = _variances(held, n, pad, chunk)
                     known = np.arange(len(var)) + base - pad
                     mask = (var >= p["min_variance"]) & (known >= 0) & (known < total)
                     low = max(0, pad - base)  # nothing lies before the image
@@ -263,34 +262,40 @@ def load_oracle(path: str, config: dict | None = None) -> Callable[[bytes], bool
 def brute_force(slices: DataFrame, make_oracle: Callable[[], Callable[[bytes], bool]], exhaustive: bool = True) -> DataFrame:
     """Slices the predicate accepts.  ``make_oracle`` runs once per task; an exception is a miss.
 
-    Without ``exhaustive`` a task stops at its first hit and the first hit per (group, n) by
-    offset and size is kept of those found.
+    Without ``exhaustive`` the first hit of each (group, n) by offset and size comes out, whatever
+    the partitions are: a task goes through its slices in that order and stops asking for a pair
+    once it has hit, and the least of the tasks' first hits is the pair's.
     """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        oracle = make_oracle()
+        oracle, done = make_oracle(), None
         for b in batches:
             hits = []
-            for value in b.column("value").to_pylist():
+            pairs = zip(b.column("grp").to_pylist(), b.column("n").to_pylist()) if not exhaustive else repeat(None)
+            for pair, value in zip(pairs, b.column("value").to_pylist()):
+                if not exhaustive and pair == done:
+                    hits.append(False)
+                    continue
                 try:
                     hits.append(bool(oracle(value)))
                 except Exception:
                     hits.append(False)
-                if hits[-1] and not exhaustive:
-                    break
-            yield b.slice(0, len(hits)).filter(pa.array(hits, pa.bool_()))
-            if not exhaustive and any(hits):
-                return
+                if hits[-1]:
+                    done = pair
+            yield b.filter(pa.array(hits, pa.bool_()))
 
     schema = ", ".join(f"{n} {t}" for n, t in slices.dtypes)
-    found = slices.mapInArrow(verify, schema)
     if exhaustive:
-        return found
-    n = F.row_number().over(Window.partitionBy("grp", "n").orderBy("off", "size"))
-    return found.withColumn("_k", n).filter("_k = 1").drop("_k")
+        return slices.mapInArrow(verify, schema)
+    firsts = slices.sortWithinPartitions("grp", "n", "off", "size").mapInArrow(verify, schema)
+    return firsts.groupBy("grp", "n").agg(F.min(F.struct("off", "size", "value")).alias("_first")).select("grp", "n", "_first.*")
+
+
+#: Offsets shown before and after a hit.
+NEIGHBORHOOD = 64
 
 
-def neighborhood(consensus: DataFrame, hits: DataFrame, pad: int = 64) -> DataFrame:
+def neighborhood(consensus: DataFrame, hits: DataFrame, pad: int = NEIGHBORHOOD) -> DataFrame:
     """Variances from ``pad`` offsets before a hit to ``pad`` after it, in order."""
     span = hits.select("grp", F.col("off").alias("hit_off"), "size", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("off") - pad), F.col("off") + F.col("size") + pad - 1)).alias("off"))
     pairs = span.join(consensus.select("grp", "off", "variance"), ["grp", "off"]).groupBy("grp", "hit_off", "size").agg(F.array_sort(F.collect_list(F.struct("off", "variance"))).alias("w"))
@@ -298,20 +303,28 @@ def neighborhood(consensus: DataFrame, hits: DataFrame, pad: int = 64) -> DataFr
 
 
 def nsweep(images: DataFrame, ns: list[int], make_oracle: Callable[[], Callable[[bytes], bool]] | None = None, sizes: tuple[int, ...] = (32,), stride: int = 8, exhaustive: bool = True, chunk: int = CHUNK, whole: bool = False, **params) -> DataFrame:
-    """One row per (group, N): stage counts, regions, candidates tried, hits, first hit.
+    """One row per (group, N): stage counts, regions, candidates, those tried, hits, first hit.
 
-    With ``whole`` each group's own size is a checkpoint besides ``ns``.
+    All candidates are tried, or without ``exhaustive`` those up to the first hit.  With ``whole``
+    each group's own size is a checkpoint besides ``ns``.
     """
     stages, regions = reduce_images(images, ns, chunk, whole, **params)
     reference = held_images(images).filter("rank = 1").select("grp", "data")
     slices = candidate_slices(regions, reference, list(sizes), stride, chunk)
     out = stages.join(regions.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("regions")), ["grp", "n"], "left").join(slices.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("candidates")), ["grp", "n"], "left")
     if make_oracle:
-        hits = brute_force(slices, make_oracle, exhaustive).groupBy("grp", "n").agg(F.count(F.lit(1)).alias("hits"), F.min("off").alias("hit_off"))
-        out = out.join(hits, ["grp", "n"], "left")
+        found = brute_force(slices, make_oracle, exhaustive)
+        hits = found.groupBy("grp", "n").agg(F.count(F.lit(1)).alias("hits"), F.min("off").alias("hit_off"))
+        if exhaustive:
+            hits = hits.withColumn("tried", F.lit(None).cast("bigint"))
+        else:
+            first = found.select("grp", "n", F.struct("off", "size").alias("_first"))
+            tried = slices.join(first, ["grp", "n"]).filter(F.struct("off", "size") <= F.col("_first")).groupBy("grp", "n").agg(F.count(F.lit(1)).alias("tried"))
+            hits = hits.join(tried, ["grp", "n"], "left")
+        out = out.join(hits, ["grp", "n"], "left").withColumn("tried", F.coalesce("tried", "candidates"))
     else:
-        out = out.withColumn("hits", F.lit(0).cast("bigint")).withColumn("hit_off", F.lit(None).cast("bigint"))
-    return out.na.fill(0, ["regions", "candidates", "hits"])
+        out = out.withColumns({"hits": F.lit(0).cast("bigint"), "hit_off": F.lit(None).cast("bigint"), "tried": F.lit(0).cast("bigint")})
+    return out.na.fill(0, ["regions", "candidates", "hits", "tried"])
 
 
 # The checkpoints of a convergence sweep.

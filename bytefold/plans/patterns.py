@@ -5,14 +5,11 @@ from __future__ import annotations
 import json
 import re
 import string
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes that have a meaning in a regular expression.
-_META = frozenset(b"\\^$.|?*+()[]{}")
-
-
 def pattern_columns(data: Column, mask: Column, min_static_ratio: float = 0.3) -> Column:
     """Pattern of a binary column and an array of static flags, as a struct; null if too little is static."""
     pairs = F.regexp_extract_all(F.lower(F.hex(data)), F.lit("(..)"), F.lit(1))
@@ -67,29 +64,20 @@ def longest_needle(wildcard: str) -> tuple[str, int]:
 
 
 def wildcard_regex(wildcard: str) -> bytes:
-    """A wildcard pattern as a bytes regex; one unknown byte is a dot."""
-    out = bytearray()
-    for token in wildcard.split():
-        if "?" in token:
-            out += b"."
-            continue
-        value = int(token, 16)
-        out += (b"\\" if value in _META else b"") + bytes([value])
-    return bytes(out)
+    """A wildcard pattern as a bytes regex: known stretches are quoted, each unknown byte is a dot."""
+    stretches = groupby(wildcard.split(), key=lambda token: "?" in token)
+    return b"".join(b"." * len(list(tokens)) if unknown else re.escape(bytes.fromhex(" ".join(tokens))) for unknown, tokens in stretches)
 
 
 def identifier(name: str) -> str:
-    """A name as a rule identifier."""
-    clean = "".join(c if c.isalnum() or c == "_" else "_" for c in name)
-    return ("r_" + clean if clean[:1].isdigit() else clean) or "unnamed_rule"
+    """A name as a rule identifier: word characters only, and no digit first."""
+    return re.sub(r"^(?=\d)", "r_", re.sub(r"\W", "_", name)) or "unnamed_rule"
 
 
 def class_name(name: str) -> str:
-    """A name as a class name in camel case."""
-    clean = "".join(c if c.isalnum() else "_" for c in name)
-    if clean[:1].isdigit():
-        clean = "Scan" + clean
-    return "".join(w.capitalize() for w in clean.split("_") if w)
+    """A name as a class name: its words in title case, run together."""
+    title = string.capwords(re.sub(r"[\W_]+", " ", name)).replace(" ", "")
+    return f"Scan{title}" if title[:1].isdigit() else title
 
 
 _RULE = string.Template("""rule $name$tags

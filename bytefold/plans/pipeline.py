@@ -49,7 +49,7 @@ def run_pipeline(images: DataFrame, make_oracle: Callable, name: str = "scan", n
 
     stage("consensus", 0.0)
     whole = images.select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), "rank", "dump_id", F.col("data").cast("binary").alias("data"))
-    state = keep(C.consensus_state(chunked(whole).join(whole.select("dump_id", "grp"), "dump_id"), F.col("grp")), "state")
+    state = keep(C.consensus_state(chunked(whole, keep=["grp"]), F.col("grp")), "state")
     stage("reduce", 0.25)
     stages, regions = funnel.reduce_images(whole, **params)
     regions = keep(regions, "regions")
@@ -77,7 +77,9 @@ def plugin_of(state: DataFrame, reference: DataFrame, hit: dict, name: str, thre
     """Plugin and rule from the saved state around a hit; only the neighborhood is read out."""
     spark = state.sparkSession
     one = spark.createDataFrame([(hit["grp"], hit["off"], hit["size"])], "grp string, off bigint, size int")
-    near = funnel.neighborhood(C.expand(state.filter(F.col("grp") == hit["grp"]), chunk), one).first()
+    pad = funnel.NEIGHBORHOOD
+    chunks = F.col("chunk_no").between(max(0, hit["off"] - pad) // chunk, (hit["off"] + hit["size"] + pad) // chunk)
+    near = funnel.neighborhood(C.expand(state.filter((F.col("grp") == hit["grp"]) & chunks), chunk), one, pad).first()
     part = reference.filter(F.col("grp") == hit["grp"]).select(F.substring("data", near["start"] + 1, len(near["variances"])).alias("d")).first()
     source, rule = inspect.plugin_for_hit({"off": hit["off"] - near["start"], "size": hit["size"], "start": 0, "variances": near["variances"]}, bytes(part["d"]), name, threshold)
     return source, rule
@@ -86,7 +88,7 @@ def plugin_of(state: DataFrame, reference: DataFrame, hit: dict, name: str, thre
 def refine(spark: SparkSession, root: str, more: DataFrame) -> DataFrame:
     """Fold more images into a pipeline's saved state; later stages see the new one."""
     state = spark.read.schema(C.STATE).parquet(f"{root}/state")
-    new = C.consensus_state(chunked(more).join(more.select("dump_id", F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp")), "dump_id"), F.col("grp"))
+    new = C.consensus_state(chunked(more, keep=["grp"]), F.col("grp"))
     merged = C.merge_states(state.unionByName(new))
     merged.write.mode("overwrite").parquet(f"{root}/state-refined")
     return spark.read.schema(C.STATE).parquet(f"{root}/state-refined")
@@ -97,8 +99,7 @@ def experiment(images: DataFrame, block: int = 32, alignment: int = 16, density:
 
     ``images(tool, dump_id, data)``; all tools run in one plan, grouped by tool.
     """
-    tools = images.select("dump_id", F.col("tool").alias("grp"))
-    rows = C.expand(C.consensus_state(chunked(images).join(tools, "dump_id"), F.col("grp")), CHUNK)
+    rows = C.expand(C.consensus_state(chunked(images, keep=["tool"]), F.col("tool")), CHUNK)
     dense = R.aligned_blocks(rows.filter(F.col("class") == C.KEY_CANDIDATE), ["grp"], None, block, alignment, density).join(rows, ["grp", "off"])
     regions = R.class_regions(dense, ["grp"], C.KEY_CANDIDATE, 16).groupBy("grp").agg(F.count(F.lit(1)).alias("regions"), F.max("length").alias("longest"))
     counts = rows.groupBy("grp").agg(F.max("n").alias("images"), *(F.sum((F.col("class") == k).cast("bigint")).alias(n) for k, n in enumerate(("invariant", "structural", "pointer", "key_candidate"))))

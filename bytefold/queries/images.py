@@ -46,11 +46,19 @@ def texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("data"))
 
 
+def _set_states(spark: SparkSession, d: str) -> DataFrame:
+    """Consensus states of every capture set."""
+    return C.consensus_state(chunked(vector_images(spark, d), keep=["grp"]), F.col("grp"))
+
+
 def _sets(spark: SparkSession, d: str) -> DataFrame:
     """Consensus of every capture set through the chunk kernels."""
-    images = vector_images(spark, d)
-    state = C.consensus_state(chunked(images).join(images.select("dump_id", "grp"), "dump_id"), F.col("grp"))
-    return C.expand(state, CHUNK).withColumn("grp", F.col("grp").cast("bigint"))
+    return C.expand(_set_states(spark, d), CHUNK).withColumn("grp", F.col("grp").cast("bigint"))
+
+
+def _set_runs(spark: SparkSession, d: str, wanted: list[int]) -> DataFrame:
+    """Runs of the wanted classes in every capture set, without a row per offset."""
+    return C.state_runs(_set_states(spark, d), CHUNK, wanted).withColumn("grp", F.col("grp").cast("bigint"))
 
 
 def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
@@ -81,11 +89,13 @@ def welford_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 def variance_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return C.class_counts(_sets(spark, d))
+    return C.class_totals(_set_states(spark, d)).groupBy("class").agg(F.sum("offsets").alias("offsets"))
 
 
 def variance_summary(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(C.variance_summary(_sets(spark, d), ["grp"]), "mean_variance", "min_variance", "max_variance")
+    totals = C.class_totals(_set_states(spark, d)).withColumn("v", F.col("mean_variance") * F.col("offsets"))
+    rows = totals.groupBy(F.col("grp").cast("bigint").alias("grp")).agg((F.sum("v") / F.sum("offsets")).alias("mean_variance"), F.min("min_variance").alias("min_variance"), F.max("max_variance").alias("max_variance"))
+    return _rounded(rows, "mean_variance", "min_variance", "max_variance")
 
 
 def variance_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -100,17 +110,16 @@ def static_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def volatile_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of key-candidate bytes of 4 or more per set."""
-    return _rounded(R.class_regions(_sets(spark, d), ["grp"], C.KEY_CANDIDATE, 4), "mean_variance")
+    return _rounded(_set_runs(spark, d, [C.KEY_CANDIDATE]).filter("length >= 4").drop("class"), "mean_variance")
 
 
 def merged_runs(spark: SparkSession, d: str) -> DataFrame:
     """Volatile runs merged over gaps without an unchanging byte."""
-    rows = _sets(spark, d)
-    return R.merge_near(R.islands(rows.filter(F.col("class") == C.KEY_CANDIDATE), ["grp"]), ["grp"], rows.filter(F.col("class") == C.INVARIANT))
+    return R.merge_near(_set_runs(spark, d, [C.KEY_CANDIDATE, C.INVARIANT]), ["grp"], F.col("class") == C.KEY_CANDIDATE)
 
 
 def longest_run(spark: SparkSession, d: str) -> DataFrame:
-    return R.longest(R.islands(_sets(spark, d).filter(F.col("class") == C.KEY_CANDIDATE), ["grp"]), ["grp"])
+    return R.longest(_set_runs(spark, d, [C.KEY_CANDIDATE]), ["grp"]).select("grp", "start", "end", "length")
 
 
 def inferred_fields(spark: SparkSession, d: str) -> DataFrame:

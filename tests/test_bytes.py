@@ -150,10 +150,65 @@ def test_islands_stitch_blocks(spark, block):
 
 
 def test_merge_near(spark):
-    runs = spark.createDataFrame([("g", 0, 4), ("g", 6, 8), ("g", 9, 12), ("g", 20, 22)], "g string, start bigint, end bigint")
-    barrier = spark.createDataFrame([("g", 8)], "g string, off bigint")
-    got = sorted((r.start, r.end) for r in R.merge_near(runs, ["g"], barrier).collect())
-    assert got == [(0, 8), (9, 12), (20, 22)]
+    rows = [("g", 0, 4, True), ("g", 6, 8, True), ("g", 8, 9, False), ("g", 9, 12, True), ("g", 20, 22, True)]
+    runs = spark.createDataFrame(rows, "g string, start bigint, end bigint, w boolean")
+    for block in (1 << 20, 8, 4):
+        got = sorted((r.start, r.end) for r in R.merge_near(runs, ["g"], F.col("w"), block=block).collect())
+        assert got == [(0, 8), (9, 12), (20, 22)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_merge_near_against_a_scan(spark, seed):
+    rng = np.random.RandomState(seed)
+    kinds = rng.choice([0, 1, 2], size=160, p=[0.45, 0.5, 0.05])  # other, wanted, barrier
+    runs = []
+    for g in ("a", "b"):
+        kinds = np.roll(kinds, 7)
+        edges = [0, *(np.flatnonzero(np.diff(kinds)) + 1).tolist(), len(kinds)]
+        runs += [(g, a, b, bool(kinds[a] == 1)) for a, b in zip(edges, edges[1:]) if kinds[a]]
+    want = []
+    for g in ("a", "b"):
+        last = None
+        for _, a, b, w in sorted(r for r in runs if r[0] == g):
+            if not w:
+                last = None
+            elif last is not None and a - last[2] <= 4:
+                last[2] = b
+            else:
+                last = [g, a, b]
+                want.append(last)
+    df = spark.createDataFrame(runs, "g string, start bigint, end bigint, w boolean")
+    for block in (1 << 20, 16, 5):
+        got = sorted((r.g, r.start, r.end) for r in R.merge_near(df, ["g"], F.col("w"), block=block).collect())
+        assert got == sorted(map(tuple, want))
+
+
+def test_state_runs_and_totals(spark):
+    rng = np.random.RandomState(5)
+    data = [bytes(np.where(rng.rand(900) < 0.3, rng.randint(0, 256, 900), 7).astype(np.uint8).tolist()) for _ in range(4)] + [b"", None]
+    data[1] = data[1][:777]
+    df = images(spark, *data)
+    state = C.consensus_state(chunked(df, 0, 64))
+    rows = C.expand(state, 64)
+    assert rows.count() == 777 and rows.rdd.getNumPartitions() >= 1
+    for kind in range(4):
+        want = {(r.start, r.end, round(r.mean_variance, 6)) for r in R.class_regions(rows, ["grp"], kind, 1).collect()}
+        got = {(r.start, r.end, round(r.mean_variance, 6)) for r in C.state_runs(state, 64, [kind]).collect()}
+        assert got == want
+    totals = {r["class"]: (r.offsets, r.images) for r in C.class_totals(state).collect()}
+    assert totals == {r["class"]: (r["count"], 4) for r in rows.groupBy("class").count().collect()}
+    spans = spark.createDataFrame([("", 10, 200), ("", 300, 301)], "grp string, start bigint, end bigint")
+    for r in C.span_means(C.whole_chunks(state), spans, 64).collect():
+        assert abs(r.mean_variance - rows.filter(F.col("off").between(r.start, r.end - 1)).agg(F.avg("variance")).first()[0]) < 1e-9
+
+
+def test_states_are_narrow():
+    one = C.ChunkState(1, np.array([255, 3], dtype=np.uint8), None)
+    total = one
+    for _ in range(299):
+        total = total.add(one)
+    assert total.n == 300 and total.sums.tolist() == [76500, 900] and total.squares.tolist() == [300 * 65025, 2700]
+    assert one.row()[3] == b"" and (one.add(one)).sums.dtype == np.uint16 and total.sums.dtype == np.uint32
 
 
 def test_alignment_variants_differ_at_the_tail(spark):

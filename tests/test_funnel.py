@@ -57,6 +57,21 @@ def test_funnel_is_the_plain_one(spark, datas, chunk):
         assert sorted(found.get(n, [])) == want
 
 
+def test_first_hits_of_every_pair(spark):
+    """Several groups and Ns in one task: each pair's first hit, at any number of partitions."""
+    rows = [(g, n, off, size, bytes([(off * 7 + size + n) % 256] * size)) for g in ("a", "b", "c") for n in (3, 5) for off in range(0, 400, 8) for size in (16, 32)]
+    df = spark.createDataFrame(rows[::-1], "grp string, n int, off bigint, size int, value binary")
+    accept = lambda: lambda v: v[0] % 5 == 0
+    every = brute_force(df, accept).collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (r.grp, r.n, r.off, r["size"])):
+        want.setdefault((r.grp, r.n), (r.off, r["size"], bytes(r.value)))
+    assert len(want) == 6
+    for parts in (1, 8):
+        got = {(r.grp, r.n): (r.off, r["size"], bytes(r.value)) for r in brute_force(df.repartition(parts), accept, exhaustive=False).collect()}
+        assert got == want
+
+
 def test_planted_key(spark):
     key = bytes(np.random.RandomState(1).permutation(256)[:32].astype(np.uint8))
     images = [("g", i + 1, str(i), bytearray(bytes(256) + (key if i == 0 else bytes((b + 128 * (i % 2) + 5 * i) % 256 for b in key)) + bytes(736))) for i in range(5)]
@@ -79,7 +94,9 @@ def test_planted_key(spark):
     assert brute_force(slices, lambda: lambda v: True, exhaustive=False).count() == 1
     points = nsweep(df, [1, 3, 5], lambda: lambda v: bytes(v) == key).orderBy("n").collect()
     assert [(p.n, p.hits) for p in points] == [(1, 1), (3, 1), (5, 1)]
-    assert points[1].candidates < points[0].total
+    assert points[1].candidates < points[0].total and all(p.tried == p.candidates for p in points)
+    first = nsweep(df, [1, 3], lambda: lambda v: bytes(v) == key, exhaustive=False).orderBy("n").collect()
+    assert [(p.n, p.hits, p.hit_off) for p in first] == [(1, 1, 256), (3, 1, 256)] and all(0 < p.tried <= p.candidates for p in first)
     assert report_markdown([p.asDict() for p in points]).count("\n") == 4
     assert top_regions(regions, ["grp"], 1).count() == 1
 
