@@ -81,9 +81,15 @@ class ChunkState:
     def cut(self, part: slice) -> ChunkState:
         return ChunkState(self.n, self.sums[part], None if self.squares is None else self.squares[part])
 
+    def spread(self) -> np.ndarray:
+        """``n * sum x^2 - (sum x)^2``: the variance times n squared, exact, in 32 bits while it fits."""
+        kind = np.uint32 if self.n * self.n * 255 * 255 <= np.iinfo(np.uint32).max else np.int64
+        out = np.multiply(self.powers(), self.n, dtype=kind, casting="unsafe")
+        out -= np.multiply(self.sums, self.sums, dtype=kind, casting="unsafe")
+        return out
+
     def variance(self) -> np.ndarray:
-        s, q = self.sums.astype(np.int64), self.powers().astype(np.int64)
-        return (self.n * q - s * s) / float(self.n * self.n)
+        return self.spread() / float(self.n * self.n)
 
     def row(self) -> tuple[int, int, bytes, bytes]:
         return self.n, len(self.sums), self.sums.tobytes(), b"" if self.squares is None else self.squares.tobytes()
@@ -93,7 +99,7 @@ class ChunkState:
         return self.sums.nbytes + (0 if self.squares is None else self.squares.nbytes)
 
 
-def _batch(held: dict[tuple, ChunkState]) -> pa.RecordBatch:
+def state_batch(held: dict[tuple, ChunkState]) -> pa.RecordBatch:
     rows = [(*key, *state.row()) for key, state in held.items()]
     types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     names = ["grp", "chunk_no", "n", "size", "sums", "squares"]
@@ -123,10 +129,10 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[key] = state
             size += state.nbytes
             if size >= FOLD_BYTES:
-                yield _batch(held)
+                yield state_batch(held)
                 held, size = {}, 0
     if held:
-        yield _batch(held)
+        yield state_batch(held)
 
 
 def consensus_state(chunks: DataFrame, group: Column | None = None) -> DataFrame:
@@ -154,12 +160,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size -= done[key].nbytes
                 state = done[key].add(state)
             elif size >= FOLD_BYTES:
-                yield _batch(done)
+                yield state_batch(done)
                 done, size = {}, 0
             at, done[key] = key, state
             size += state.nbytes
     if done:
-        yield _batch(done)
+        yield state_batch(done)
 
 
 def whole_chunks(states: DataFrame) -> DataFrame:
@@ -203,18 +209,19 @@ def _expand(chunk: int):
     return expand
 
 
-def expand(states: DataFrame, chunk: int) -> DataFrame:
+def expand(states: DataFrame, chunk: int, whole: bool = False) -> DataFrame:
     """Rows per offset: ``grp, off, n, mean, variance, class`` (population variance).
 
     Only offsets that all images of the group hold.  For runs and counts of a class use
-    ``state_runs`` and ``class_totals``, which make no row per offset.
+    ``state_runs`` and ``class_totals``, which make no row per offset.  With ``whole`` the states are
+    known to hold all images of their group (those of ``whole_chunks`` and of ``file_states``).
     """
-    rows = whole_chunks(states).mapInArrow(_expand(chunk), "grp string, off bigint, n bigint, mean double, variance double")
+    rows = (states if whole else whole_chunks(states)).mapInArrow(_expand(chunk), "grp string, off bigint, n bigint, mean double, variance double")
     return rows.withColumn("class", classify(F.col("variance")))
 
 
 def _classes(variance: np.ndarray) -> np.ndarray:
-    return np.searchsorted(np.array([0.0, STRUCTURAL_MAX, POINTER_MAX]), variance, side="left").astype(np.int32)
+    return (variance > 0).astype(np.int8) + (variance > STRUCTURAL_MAX) + (variance > POINTER_MAX)
 
 
 _RUNS = "grp string, class int, chunk_no int, start bigint, end bigint, v double, n bigint"
@@ -238,7 +245,7 @@ def _runs(chunk: int):
             sizes = [len(k) for k in kinds]
             each = lambda values, kind: pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             flat = lambda arrays, kind: pa.array(np.concatenate(arrays), kind)
-            arrays = [each(grp, pa.string()), flat(kinds, pa.int32()), each(no, pa.int32()), flat(first, pa.int64()), flat(end, pa.int64()), flat(total, pa.float64()), each(n, pa.int64())]
+            arrays = [each(grp, pa.string()), flat([k.astype(np.int32) for k in kinds], pa.int32()), each(no, pa.int32()), flat(first, pa.int64()), flat(end, pa.int64()), flat(total, pa.float64()), each(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["grp", "class", "chunk_no", "start", "end", "v", "n"])
 
     return runs
@@ -267,10 +274,14 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for (grp, _), state in _keyed(batch):
-            variance = state.variance()
-            kinds = _classes(variance)
-            counts, sums = np.bincount(kinds, minlength=4), np.bincount(kinds, weights=variance, minlength=4)
-            rows += [(grp, k, int(counts[k]), float(sums[k]), float(variance[kinds == k].min()), float(variance[kinds == k].max()), state.n) for k in range(4) if counts[k]]
+            spread = state.spread()
+            moving = spread[spread > 0] / float(state.n * state.n)
+            if still := len(spread) - len(moving):
+                rows.append((grp, INVARIANT, still, 0.0, 0.0, 0.0, state.n))
+            kinds = _classes(moving)
+            for k in (STRUCTURAL, POINTER, KEY_CANDIDATE):
+                if len(x := moving[kinds == k]):
+                    rows.append((grp, k, len(x), float(x.sum()), float(x.min()), float(x.max()), state.n))
         if rows:
             types = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["grp", "class", "offsets", "v", "low", "high", "n"])

@@ -19,13 +19,14 @@ from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytefold.functions.kernels import aligned, as_bytes, covered, runs_of, shannon, sliding_entropy
-from bytefold.operators.chunks import CHUNK
-from bytefold.operators.consensus import ChunkState, consensus_state
+from bytefold.operators.chunks import CHUNK, chunked
+from bytefold.operators.consensus import BROADCAST_GROUPS, ChunkState, consensus_state
 from bytefold.operators.entropy import check_threshold
+from bytefold.sources.images import file_states, file_windows
 
 #: With fewer images than this the variance says nothing and only entropy is used.
 MIN_IMAGES = 3
@@ -172,46 +173,86 @@ def reduce_images(images: DataFrame, ns: list[int] | None = None, chunk: int = C
     images are left out and don't count in N; a threshold that a window can't reach is refused.
     """
     p = Params(**params)
+    pad = _pad(p, chunk)
+    held = held_images(images)
+    whole = whole or ns is None
+    ns = sorted({n for n in ns or [] if n >= 1})
+    used = held if whole else held.filter(F.col("rank") <= ns[-1])  # what lies beyond the last N is a segment of its own
+    totals, points = _checkpoints(used.select("grp", "rank", F.octet_length("data").cast("bigint").alias("size")), ns, whole)
+
+    keyed = used.select(_segment_key(ns), "dump_id", "data")
+    states = consensus_state(chunked(keyed, 0, chunk, ["key"]), F.col("key"))
+    ref = held.filter("rank = 1").select("grp", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
+    start = F.greatest(F.lit(0), F.col("chunk_no") * chunk - pad)
+    ref = ref.select("grp", "chunk_no", F.substring("data", start + 1, F.col("chunk_no") * chunk + chunk + pad - start).alias("data")).join(totals, "grp")
+    return _funnel(states, ref, points, p, pad, chunk)
+
+
+def reduce_files(files: DataFrame, ns: list[int] | None = None, chunk: int = CHUNK, whole: bool = False, **params) -> tuple[DataFrame, DataFrame]:
+    """``reduce_images`` over image files ``(grp, rank, path, size)`` read in ranges, of any size.
+
+    Files of a group are folded stretch by stretch where they are read; the reference file is read
+    once more for its entropy.
+    """
+    p = Params(**params)
+    pad = _pad(p, chunk)
+    rows = files.filter("size > 0").select(F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), F.row_number().over(Window.partitionBy("grp").orderBy("rank")).alias("rank"), "path", F.col("size").cast("bigint").alias("size"))
+    whole = whole or ns is None
+    ns = sorted({n for n in ns or [] if n >= 1})
+    used = rows if whole else rows.filter(F.col("rank") <= ns[-1])
+    totals, points = _checkpoints(used.select("grp", "rank", "size"), ns, whole)
+    states = file_states(used.select(_segment_key(ns), "path", "size"), chunk, group=F.col("key"))
+    ref = file_windows(rows.filter("rank = 1").select("grp", "path", "size"), chunk, pad, pad).join(F.broadcast(totals) if totals.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else totals, "grp")
+    return _funnel(states, ref, points, p, pad, chunk)
+
+
+def _pad(p: Params, chunk: int) -> int:
+    """Bytes of its neighbours a chunk needs."""
     pad = max(p["block_size"], p["entropy_window"]) + p["alignment"]
     pad += -pad % p["alignment"]
     if chunk % p["alignment"] or chunk < pad:
         raise ValueError("the chunk must be a multiple of the alignment and hold a block")
-    held = held_images(images)
-    whole = whole or ns is None
-    ns = sorted({n for n in ns or [] if n >= 1})
+    return pad
+
+
+def _segment_key(ns: list[int]) -> Column:
+    """Group and segment of an image: the checkpoints it lies behind."""
     bound = F.array(*(F.lit(n) for n in ns)).cast("array<int>")
-    seg = F.size(F.filter(bound, lambda n: n < F.col("rank")))
-    used = held if whole else held.filter(F.col("rank") <= ns[-1])  # what lies beyond the last N is a segment of its own
+    return F.concat_ws("\x1f", F.size(F.filter(bound, lambda n: n < F.col("rank"))).cast("string"), "grp").alias("key")
+
 
-    sizes = used.select("grp", "rank", F.octet_length("data").cast("bigint").alias("size"))
+def _checkpoints(sizes: DataFrame, ns: list[int], whole: bool) -> tuple[DataFrame, int]:
+    """Per group the Ns and the bytes that the first N images share (null with fewer images), and their number."""
     per_n = [F.when(F.max("rank") >= n, F.min(F.when(F.col("rank") <= n, F.col("size")))).alias(f"t{i}") for i, n in enumerate(ns)]
     points = [F.lit(n) for n in ns]
     if whole:
         per_n.append(F.when(~F.max("rank").isin(ns), F.min("size")).alias(f"t{len(ns)}"))
         points.append(F.col("images"))
-    totals = sizes.groupBy("grp").agg(F.max("rank").alias("images"), *per_n).select("grp", F.array(*points).alias("ns"), F.array(*(F.col(f"t{i}") for i in range(len(points)))).alias("totals"))
+    totals = sizes.groupBy("grp").agg(F.max("rank").alias("images"), *per_n)
+    return totals.select("grp", F.array(*points).alias("ns"), F.array(*(F.col(f"t{i}") for i in range(len(points)))).alias("totals")), len(points)
 
-    cut = used.select("grp", seg.alias("seg"), "dump_id", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
-    base = F.col("chunk_no") * chunk
-    own = cut.select(F.concat_ws("\x1f", F.col("seg").cast("string"), "grp").alias("key"), "chunk_no", F.least(F.lit(chunk), F.octet_length("data") - base).cast("int").alias("size"), F.substring("data", base + 1, F.lit(chunk)).alias("data"))
-    states = consensus_state(own, F.col("key"))
+
+def _funnel(states: DataFrame, ref: DataFrame, points: int, p: Params, pad: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Stage counts and regions from segment states and the reference's padded chunks."""
     split = F.split("grp", "\x1f", 2)
     states = states.select(F.get(split, F.lit(1)).alias("grp"), F.get(split, F.lit(0)).cast("int").alias("seg"), "chunk_no", "n", "sums", "squares")
     edged = states.mapInArrow(_edges(pad), "grp string, seg int, chunk_no int, side int, n bigint, sums binary, squares binary")
-
-    ref = held.filter("rank = 1").select("grp", "data", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / chunk).cast("int"))).alias("chunk_no"))
-    start = F.greatest(F.lit(0), F.col("chunk_no") * chunk - pad)
-    ref = ref.select("grp", "chunk_no", F.substring("data", start + 1, F.col("chunk_no") * chunk + chunk + pad - start).alias("data")).join(totals, "grp")
     blank = lambda kind: F.lit(None).cast(kind)
     ref = ref.select("grp", blank("int").alias("seg"), "chunk_no", blank("int").alias("side"), blank("bigint").alias("n"), blank("binary").alias("sums"), blank("binary").alias("squares"), "data", "ns", "totals")
     rows = edged.select("*", blank("binary").alias("data"), blank("array<int>").alias("ns"), blank("array<bigint>").alias("totals")).unionByName(ref)
-    pieces = rows.repartition("grp", "chunk_no").sortWithinPartitions("grp", "chunk_no").mapInArrow(_reduce(len(points), p, pad, chunk), _PIECES)
+    pieces = rows.repartition("grp", "chunk_no").sortWithinPartitions("grp", "chunk_no").mapInArrow(_reduce(points, p, pad, chunk), _PIECES)
 
     stages = pieces.filter("start is null").groupBy("grp", "n").agg(*(F.sum(c).alias(c) for c in ("total", "variance", "aligned", "high_entropy")))
+    # Pieces inside their chunk are final; only those at a chunk's edge are put together over the image.
+    parts = pieces.filter("start is not null").withColumn("raws", F.array(F.col("raw")))
+    edge = (F.col("start") % chunk == 0) | (F.col("end") % chunk == 0)
     along = Window.partitionBy("grp", "n").orderBy("start")
-    joined = pieces.filter("start is not null").withColumn("_new", F.coalesce((F.lag("end").over(along) != F.col("start")).cast("int"), F.lit(1))).withColumn("_g", F.sum("_new").over(along))
-    regions = joined.groupBy("grp", "n", "_g").agg(F.min("start").alias("off"), F.max("end").alias("end"), F.sum("v").alias("v"), F.sum("e").alias("e"), F.sum("points").alias("points"), F.transform(F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("start", "raw")))), lambda s: s["raw"]).alias("raw"))
-    regions = regions.withColumn("length", F.col("end") - F.col("off")).filter(F.col("length") >= p["min_region"]).withColumn("mean_variance", F.col("v") / F.col("length"))
+    new = F.coalesce((F.lag("end").over(along) != F.col("start")).cast("int"), F.lit(1))
+    met = parts.filter(edge).withColumn("_new", new).withColumn("_g", F.sum("_new").over(along)).groupBy("grp", "n", "_g")
+    raws = F.transform(F.array_sort(F.collect_list(F.when(F.col("raw").isNotNull(), F.struct("start", "raw")))), lambda s: s["raw"])
+    met = met.agg(F.min("start").alias("off"), F.max("end").alias("end"), F.sum("v").alias("v"), F.sum("e").alias("e"), F.sum("points").alias("points"), raws.alias("raw"))
+    alone = parts.filter(~edge).select("grp", "n", F.col("start").alias("off"), "end", "v", "e", "points", F.col("raws").alias("raw"))
+    regions = alone.unionByName(met.drop("_g")).withColumn("length", F.col("end") - F.col("off")).filter(F.col("length") >= p["min_region"]).withColumn("mean_variance", F.col("v") / F.col("length"))
     regions = regions.select("grp", "n", "off", "length", "e", "points", "raw", "mean_variance").mapInArrow(_finish, "grp string, n int, off bigint, length bigint, mean_entropy double, mean_variance double")
     return stages, regions
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,24 +28,56 @@ class Stretch(InputPartition):
         self.path, self.first, self.chunks = path, first, chunks
 
 
+def open_image(path: str):
+    """A seekable file of a path or address: local, or any file system that Arrow knows (hdfs, s3, gs)."""
+    local = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+    if "://" not in local:
+        return open(local, "rb", buffering=0)
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    return system.open_input_file(place)
+
+
+def list_images(options: dict) -> list[tuple[str, int]]:
+    """Paths and sizes below ``path`` (several with commas) that match ``glob``."""
+    out, pattern = [], options.get("glob", "*")
+    for part in options["path"].split(","):
+        if "://" in part and not part.startswith("file:"):
+            from pyarrow import fs
+
+            system, place = fs.FileSystem.from_uri(part.replace("s3a://", "s3://", 1))
+            scheme = part.split("://")[0]
+            info = system.get_file_info(place)
+            found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(place, recursive="**" in pattern))
+            kept = [f for f in found if f.type == fs.FileType.File and (info.type == fs.FileType.File or fnmatch(f.base_name, pattern.rsplit("/", 1)[-1]))]
+            out += [(f"{scheme}://{f.path}" if scheme != "hdfs" else f"{part.split('://')[0]}://{part.split('://')[1].split('/')[0]}{f.path}", f.size) for f in kept]
+            continue
+        local = part.removeprefix("file://") if part.startswith("file://") else part.removeprefix("file:")
+        names = [local] if os.path.isfile(local) else glob.glob(os.path.join(local, pattern), recursive=True)
+        out += [(p, os.path.getsize(p)) for p in names if os.path.isfile(p)]
+    return sorted(out)
+
+
 class ImageReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.paths = sorted(p for part in options["path"].split(",") for p in ([part] if os.path.isfile(part) else glob.glob(os.path.join(part, options.get("glob", "*")), recursive=True)) if os.path.isfile(p))
+        self.files = list_images(options)
+        self.paths = [p for p, _ in self.files]
         self.chunk = int(options.get("chunk", CHUNK))
         self.halo = int(options.get("halo", 0))
         self.per_task = max(1, int(options.get("bytespertask", 64 << 20)) // self.chunk)
 
     def partitions(self) -> list[Stretch]:
         out = []
-        for p in self.paths:
-            n = -(-os.path.getsize(p) // self.chunk)
+        for p, size in self.files:
+            n = -(-size // self.chunk)
             out += [Stretch(p, i, min(self.per_task, n - i)) for i in range(0, n, self.per_task)]
         return out or [Stretch("", 0, 0)]
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
         if not part.chunks:
             return
-        with open(part.path, "rb") as file:
+        with open_image(part.path) as file:
             for n in range(part.first, part.first + part.chunks):
                 file.seek(n * self.chunk)
                 data = file.read(self.chunk + self.halo)
@@ -80,8 +113,9 @@ class ContainerReader(DataSourceReader):
 
         if not part.chunks:
             return
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as file:
+        with open_image(part.path) as file:
+            size = file.seek(0, os.SEEK_END)
+            file.seek(0)
             try:
                 head = codec.file_header(file.read(codec.FILE_HEADER))
             except codec.FormatError:
@@ -121,6 +155,95 @@ class ContainerSource(DataSource):
         return ContainerReader(dict(self.options))
 
 
+def image_files(spark: SparkSession, paths: list[str], pattern: str = "*") -> DataFrame:
+    """``dump_id, path, size`` of the files below some folders; listed by Spark, nothing is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(paths)
+    return files.select(F.col("path").alias("dump_id"), "path", F.col("length").alias("size"))
+
+
+#: Images that one task folds over one stretch; their sums fit 16 bits.
+FOLD_IMAGES = 256
+
+
+def _fold_files(chunk: int):
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from bytefold.operators.consensus import ChunkState, as_bytes, state_batch
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                files = [open_image(p) for p in r["paths"]]
+                try:
+                    held = {}
+                    for no in range(r["first"], r["last"] + 1):
+                        size = min(chunk, r["least"] - no * chunk)
+                        state = None
+                        for file in files:
+                            file.seek(no * chunk)
+                            one = ChunkState(1, as_bytes(file.read(size)), None)
+                            state = one if state is None else state.add(one)
+                        held[r["grp"], no] = state
+                        if len(held) == 64:
+                            yield state_batch(held)
+                            held = {}
+                    if held:
+                        yield state_batch(held)
+                finally:
+                    for file in files:
+                        file.close()
+
+    return fold
+
+
+def file_states(files: DataFrame, chunk: int = CHUNK, task_bytes: int = 64 << 20, group: Column | None = None) -> DataFrame:
+    """Consensus states of image files ``(path, size)`` by group, each file read once and in ranges.
+
+    A task reads the same stretch of up to ``FOLD_IMAGES`` files of a group and folds them on the
+    spot, so images never cross an exchange; groups of more files exchange one state for each so
+    many.  Only the bytes that all images of a group hold are read: sizes are known from the
+    listing.  Empty files are left out.
+    """
+    from bytefold.operators.consensus import STATE, merge_states
+
+    spark = files.sparkSession
+    g = (F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit(""))).alias("grp")
+    known = files.filter("size > 0").select(g, "path", F.col("size").cast("bigint").alias("size"))
+    least = known.groupBy("grp").agg(F.min("size").alias("least"), F.count(F.lit(1)).alias("images"))
+    # Blocks of files by a hash of their path: no order over a group is needed to cut it.
+    cut = known.join(least, "grp").withColumn("block", F.pmod(F.xxhash64("path"), F.ceil(F.col("images") / (FOLD_IMAGES // 2))))
+    blocks = cut.groupBy("grp", "block", "least").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    per = F.greatest(F.lit(1), F.floor(F.lit(task_bytes) / (F.size("paths") * F.lit(chunk)))).cast("int")
+    chunks = F.ceil(F.col("least") / chunk).cast("int")
+    work = blocks.select("grp", "paths", "least", per.alias("per"), F.explode(F.sequence(F.lit(0), chunks - 1, per)).alias("first"))
+    work = work.select("grp", "paths", "least", "first", F.least(F.col("first") + F.col("per"), F.ceil(F.col("least") / chunk)).cast("int").alias("last"))
+    work = work.withColumn("last", F.col("last") - 1)
+    size = known.agg(F.sum("size"), F.max(F.struct("path"))).first()[0] or 0
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+    states = work.repartition(int(tasks)).mapInArrow(_fold_files(chunk), STATE)
+    several = least.filter(F.col("images") > FOLD_IMAGES // 2).limit(1).count()
+    return merge_states(states) if several else states
+
+
+def file_windows(files: DataFrame, chunk: int, before: int, after: int, task_bytes: int = 16 << 20) -> DataFrame:
+    """Chunks of files ``(grp, path, size)`` with the bytes around them: ``grp, chunk_no, data``.
+
+    ``data`` runs from ``before`` bytes ahead of the chunk (or the file's start) to ``after`` beyond it.
+    """
+    per = max(1, task_bytes // chunk)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with open_image(r["path"]) as file:
+                    for no in range(r["first"], min(r["first"] + per, -(-r["size"] // chunk))):
+                        start = max(0, no * chunk - before)
+                        file.seek(start)
+                        data = file.read((no + 1) * chunk + after - start)
+                        yield pa.RecordBatch.from_arrays([pa.array([r["grp"]], pa.string()), pa.array([no], pa.int32()), pa.array([data], pa.binary())], names=["grp", "chunk_no", "data"])
+
+    work = files.filter("size > 0").select("grp", "path", "size", F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / chunk).cast("int") - 1, F.lit(per))).alias("first"))
+    return work.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "grp", "first").mapInArrow(windows, "grp string, chunk_no int, data binary")
+
+
 def register(spark: SparkSession) -> None:
     """Add the formats ``byteimage`` and ``blockcontainer`` to a session."""
     spark.dataSource.register(ImageSource)

@@ -2,10 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from bytefold.functions.kernels import aligned, as_bytes, covered, runs_of, shannon
 from bytefold.plans import convergence as V
-from bytefold.plans.funnel import Params, brute_force, candidate_slices, load_oracle, nsweep, reduce_images, report_markdown, top_regions
+from bytefold.operators.chunks import chunked
+from bytefold.operators.consensus import consensus_state, expand
+from bytefold.plans.funnel import Params, brute_force, candidate_slices, load_oracle, nsweep, reduce_files, reduce_images, report_markdown, top_regions
+from bytefold.sources.images import file_states, image_files
 
 SCHEMA = "grp string, rank int, dump_id string, data binary"
 
@@ -191,3 +195,39 @@ def test_empty_images_take_no_rank(spark, datas, empty):
     body = [bytearray(bytes(256) + bytes((b + 128 * (i % 2) + 5 * i) % 256 for b in key) + bytes(736)) for i in range(5)]
     df = spark.createDataFrame([("g", i + 1, str(i), d) for i, d in enumerate([*body[: empty - 1], None, *body[empty - 1 :]])], SCHEMA)
     assert [(p.n, p.hits, p.hit_off) for p in nsweep(df, [5], lambda: lambda v: bytes(v) == key).collect()] == [(5, 1, 256)]
+
+
+def test_files_give_what_images_give(spark, tmp_path):
+    """Image files read in ranges against whole images, over several checkpoints and uneven sizes."""
+    rng = np.random.RandomState(3)
+    rows, files = [], []
+    for g in ("a", "b"):
+        base = rng.randint(0, 256, 5000).astype(np.uint8)
+        for rank, size in ((1, 5000), (2, 4800), (3, 4999), (4, 3000), (5, 0)):
+            image = base.copy()
+            image[1000:1064] = rng.randint(0, 256, 64)
+            image[::17] = rng.randint(0, 256, len(image[::17]))
+            path = tmp_path / f"{g}{rank}.bin"
+            path.write_bytes(image[:size].tobytes())
+            rows.append((g, rank, f"{g}{rank}", bytearray(image[:size].tobytes())))
+            files.append((g, rank, str(path), size))
+    images, listed = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(files, "grp string, rank int, path string, size bigint")
+    options = {"chunk": 512, "whole": True, "min_variance": 100.0, "entropy_threshold": 3.5, "min_region": 8}
+    for a, b in zip(reduce_images(images, [1, 2, 3], **options), reduce_files(listed, [1, 2, 3], **options)):
+        left, right = ({tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()} for df in (a, b))
+        assert left == right and left
+    state = {(r.grp, r.off, round(r.variance, 6)) for r in expand(file_states(listed, 512, group=F.col("grp")), 512, whole=True).collect()}
+    assert state == {(r.grp, r.off, round(r.variance, 6)) for r in expand(consensus_state(chunked(images, 0, 512, ["grp"]), F.col("grp")), 512).collect()}
+    listing = image_files(spark, [str(tmp_path)], "*.bin")
+    assert {r["size"] for r in listing.collect()} == {5000, 4800, 4999, 3000, 0}
+
+
+def test_many_files_of_a_group_merge(spark, tmp_path, monkeypatch):
+    from bytefold.sources import images as source
+
+    monkeypatch.setattr(source, "FOLD_IMAGES", 4)
+    rng = np.random.RandomState(4)
+    for i in range(11):
+        (tmp_path / f"{i}.bin").write_bytes(rng.randint(0, 256, 700).astype(np.uint8).tobytes())
+    rows = expand(file_states(image_files(spark, [str(tmp_path)], "*.bin"), 256), 256, whole=True)
+    assert rows.count() == 700 and {r.n for r in rows.collect()} == {11}
