@@ -11,13 +11,23 @@ from pyspark.sql import functions as F
 from bytefold.functions.normalize import instant_micros, norm_id, trimmed
 from bytefold.operators.nested import integer, nodes, ordinal, parent
 from bytefold.operators.references import OrphanTracker
-from bytefold.session import table
+from bytefold.session import scratch_path, table
 from bytefold.streaming.dedupe import surplus_messages
 
 
+def _arrivals(spark: SparkSession, d: str, increments: int = 3) -> tuple[str, int]:
+    """The deliveries as files in the order of their batches, and how many files make an increment."""
+    files = max(2 * increments, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, "arrivals")
+    rows = table(spark, d, "nsweep_events").select("batch_id", "delivery_id", "received_at", "task_id", "type", "seq")
+    rows.repartitionByRange(files, "batch_id", "delivery_id").drop("batch_id").write.parquet(path)
+    return path, -(-files // increments)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The surplus deliveries of progress messages."""
-    return surplus_messages(spark, f"{d}/nsweep_events.parquet").select(F.col("id").alias("delivery_id"))
+    """The surplus deliveries of progress messages, which arrive in several increments."""
+    path, per_trigger = _arrivals(spark, d)
+    return surplus_messages(spark, path, files_per_trigger=per_trigger).select(F.col("id").alias("delivery_id"))
 
 
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Exactly one copy of each message, on Structured Streaming.
 
-State lives in the keyed state store: one entry per bucket of message keys, holding for every live
-key the copy that remains so far (earliest event time, then smallest id).  Each copy that loses is
-emitted as surplus, so the outcome doesn't depend on the order of arrival.  Keys that saw no copy
-for ``retention`` behind the watermark leave the state: their remaining copy goes to the output
-as an archive row and only a 4-byte fingerprint stays.  A copy whose key is not live but has a
-fingerprint goes to the output as a probe and is settled against the archive (late-arrival lookup).
-State and output are committed together by the checkpoint and the file sink's log.
+State lives in the keyed state store.  Its keys are prefixes of the messages' hashes, as many as it
+takes to keep every state small (``STATE_MESSAGES``); a state holds, for every live message, the copy
+that remains so far (earliest event time, then smallest id).  Each copy that loses is emitted as
+surplus at once, so the outcome doesn't depend on the order of arrival.  A message that saw no copy
+for ``retention`` behind the watermark leaves the state, by a timer if its prefix gets no more rows:
+its remaining copy goes to the archive, and nothing of it stays in memory.  Late arrivals are looked
+up: copies of one message that met in no state are told apart in the archive and the live states
+(``settle``).  State and output are committed together by the checkpoint and the file sink's log.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from bytefold.functions.normalize import micros_of, norm_id, trimmed
 from bytefold.session import scratch_path
 
-SURPLUS, ARCHIVED, PROBE = 0, 1, 2
+SURPLUS, ARCHIVED = 0, 1
 
 #: Event time of a copy that has none: it ranks after all others and never moves the watermark.
 NO_TIME = np.iinfo(np.int64).max
@@ -49,11 +50,21 @@ def _entries(h1, h2, ts, ids) -> np.ndarray:
     return rows
 
 
-def _print(rows: np.ndarray) -> np.ndarray:
-    return ((rows["h2"] ^ (rows["h1"] >> 20)) & 0xFFFFFFFF).astype(np.uint32)
+#: Messages that one state holds about, were all of the input live at once.
+STATE_MESSAGES = 2048
+#: Bits of the prefixes: 512 states for small inputs, 16 million at most.
+_LEAST_BITS, _MOST_BITS = 9, 24
+_HASH_BITS = 60
+#: Key of the rows that move the watermark.
+_CLOCK = -(1 << 40)
 
 
-def _combine(buckets: int):
+def prefix_bits(messages: int) -> int:
+    """Bits of the hash prefix that keep the states of so many messages small."""
+    return min(_MOST_BITS, max(_LEAST_BITS, (messages // STATE_MESSAGES).bit_length()))
+
+
+def _combine(bits: int):
     """Settle copies that meet within one block, so that a hot message is one row per block."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,29 +72,30 @@ def _combine(buckets: int):
             if not b.num_rows:
                 continue
             rows, first = _by_key(_entries(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "ts", "id"))))
-            bucket = np.where(first, rows["h1"] % buckets, -1 - rows["id"] % buckets)
-            at = np.where(rows["ts"] == NO_TIME, 0, rows["ts"])
-            arrays = [pa.array(x) for x in (bucket, rows["h1"].copy(), rows["h2"].copy(), rows["ts"].copy(), rows["id"].copy())]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(at).cast(pa.timestamp("us", tz="UTC"))], names=["bucket", "h1", "h2", "ts", "id", "at"])
+            again = np.zeros(len(rows), dtype=bool)  # the same copy read twice
+            again[1:] = ~first[1:] & (rows["id"][1:] == rows["id"][:-1])
+            rows, first = rows[~again], first[~again]
+            prefix = np.where(first, rows["h1"] >> (_HASH_BITS - bits), -1 - (rows["h1"] >> (_HASH_BITS - bits)))
+            newest = int(np.where(rows["ts"] == NO_TIME, 0, rows["ts"]).max())
+            # Rows of messages have no time for the watermark, so none is dropped as late; one row
+            # per block moves it.
+            columns = [np.append(x, y) for x, y in ((prefix, _CLOCK), *((rows[c], 0) for c in ("h1", "h2", "ts", "id")))]
+            at = pa.array([None] * len(rows) + [newest], pa.int64()).cast(pa.timestamp("us", tz="UTC"))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), at], names=["prefix", "h1", "h2", "ts", "id", "at"])
 
     return combine
 
 
-def merge_block(live: np.ndarray, prints: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Merge new copies into a bucket: the live entries after it, and the rows to emit."""
+def merge_block(live: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merge new copies into a state: the live entries after it, and the copies that lost."""
     rows, first = _by_key(np.concatenate([live, new]))
-    old = np.isin(rows["id"], live["id"]) if len(live) else np.zeros(len(rows), dtype=bool)
     key = np.cumsum(first) - 1
-    known = np.zeros(int(key[-1]) + 1 if len(rows) else 0, dtype=bool)
-    np.logical_or.at(known, key, old)
-    gone = ~known[key] & np.isin(_print(rows), prints)
-    kept = rows[first & ~gone].copy()
-    last = np.zeros(len(known), dtype=np.int64)
+    kept = rows[first].copy()
+    last = np.zeros(len(kept), dtype=np.int64)
     np.maximum.at(last, key, rows["last"])
-    kept["last"] = last[key[first & ~gone]]
-    best = rows["id"][np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))]
-    lost = ~first & ~gone & (rows["id"] != best)  # the same copy read twice is not surplus
-    return kept, [(SURPLUS, rows[lost]), (PROBE, rows[gone])]
+    kept["last"] = last
+    lost = ~first & (rows["id"] != kept["id"][key])  # the same copy read twice is not surplus
+    return kept, rows[lost]
 
 
 def _frame(parts: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
@@ -96,21 +108,22 @@ def _frame(parts: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
 def _keep(retention_us: int):
     def keep(key: tuple, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if key[0] < 0:  # settled before: only passed on
-            for b in blocks:
+            for b in blocks if key[0] != _CLOCK else ():
                 yield _frame([(SURPLUS, _entries(*(b[c].to_numpy() for c in ("h1", "h2", "ts", "id"))))])
             return
-        blob, marks = state.get if state.exists else (b"", b"")
-        live, prints = np.frombuffer(blob, dtype=_ENTRY), np.frombuffer(marks, dtype=np.uint32)
-        for b in blocks:
-            live, out = merge_block(live, prints, _entries(*(b[c].to_numpy() for c in ("h1", "h2", "ts", "id"))))
-            yield _frame(out)
-        horizon = state.getCurrentWatermarkMs() * 1000 - retention_us
-        old = live["last"] < horizon
-        if old.any():
-            yield _frame([(ARCHIVED, live[old])])
-            prints = np.union1d(prints, _print(live[old]))
-            live = live[~old]
-        state.update((live.tobytes(), prints.tobytes()))
+        live = np.frombuffer(state.get[0], dtype=_ENTRY) if state.exists else np.zeros(0, dtype=_ENTRY)
+        if not state.hasTimedOut:
+            for b in blocks:
+                live, lost = merge_block(live, _entries(*(b[c].to_numpy() for c in ("h1", "h2", "ts", "id"))))
+                yield _frame([(SURPLUS, lost)])
+        old = live["last"] < state.getCurrentWatermarkMs() * 1000 - retention_us
+        yield _frame([(ARCHIVED, live[old])])
+        live = live[~old]
+        if len(live):
+            state.update((live.tobytes(),))
+            state.setTimeoutTimestamp(int(live["last"].min() + retention_us) // 1000 + 1)
+        elif state.exists:
+            state.remove()
 
     return keep
 
@@ -137,7 +150,7 @@ def _files(spark: SparkSession, path: str, schema, per_trigger: int) -> DataFram
     return reader.parquet(path)
 
 
-def surplus_copies(spark: SparkSession, path: str, key: list[Column], at: Column, copy_id: Column, delay: str = "1 day", retention: str = "30 days", buckets: int = 512, files_per_trigger: int = 8, work_dir: str | None = None) -> DataFrame:
+def surplus_copies(spark: SparkSession, path: str, key: list[Column], at: Column, copy_id: Column, delay: str = "1 day", retention: str = "30 days", files_per_trigger: int = 8, work_dir: str | None = None) -> DataFrame:
     """The ids of all copies but one of each message in the Parquet files at ``path``.
 
     The copy of the earliest time ``at`` (microseconds) remains, then of the smallest ``copy_id``.
@@ -149,32 +162,60 @@ def surplus_copies(spark: SparkSession, path: str, key: list[Column], at: Column
     named in the expressions are never read.
     """
     work = work_dir or scratch_path(spark, "dedupe")
-    schema = spark.read.parquet(path).schema
-    source = _files(spark, path, schema, files_per_trigger)
+    known = spark.read.parquet(path)
+    source = _files(spark, path, known.schema, files_per_trigger)
+    bits = _prefix_bits(spark, work, known)
     whole = F.lit(True)
     for c in key:
         whole = whole & c.isNotNull()
     digest = F.md5(F.concat_ws("\x1f", *(c.cast("string") for c in key)))
     number = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint")
     rows = source.filter(whole & copy_id.isNotNull()).select(number(1).alias("h1"), number(16).alias("h2"), F.coalesce(at, F.lit(int(NO_TIME))).alias("ts"), copy_id.cast("bigint").alias("id"))
-    blocks = rows.mapInArrow(_combine(buckets), "bucket bigint, h1 bigint, h2 bigint, ts bigint, id bigint, at timestamp").withWatermark("at", delay)
+    blocks = rows.mapInArrow(_combine(bits), "prefix bigint, h1 bigint, h2 bigint, ts bigint, id bigint, at timestamp").withWatermark("at", delay)
     span = int(pd.Timedelta(retention).total_seconds() * 1_000_000)
-    events = blocks.groupBy("bucket").applyInPandasWithState(_keep(span), _OUT, "live binary, prints binary", "append", GroupStateTimeout.NoTimeout)
+    events = blocks.groupBy("prefix").applyInPandasWithState(_keep(span), _OUT, "live binary", "append", GroupStateTimeout.EventTimeTimeout)
     # State stores are opened for every batch whether or not they have rows: two per core do.
     partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     with settings(spark, {"spark.sql.streaming.stateStore.providerClass": _ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}):
         query = events.writeStream.format("parquet").option("path", f"{work}/events").option("checkpointLocation", f"{work}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
-    return settle(spark.read.schema(_OUT).parquet(f"{work}/events"))
+    return settle(spark.read.schema(_OUT).parquet(f"{work}/events"), live_copies(spark, f"{work}/checkpoint"))
+
+
+def _prefix_bits(spark: SparkSession, work: str, known: DataFrame) -> int:
+    """The prefix length of a work folder, set when the stream is started first."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{work}/prefix")
+    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return spark.read.schema("bits int").json(f"{work}/prefix").first()["bits"]
+    bits = prefix_bits(known.count())  # from the files' footers
+    spark.range(1).select(F.lit(bits).alias("bits")).coalesce(1).write.json(f"{work}/prefix")
+    return bits
 
 
-def settle(events: DataFrame) -> DataFrame:
-    """Surplus ids from the stream's output: those emitted, and the probes' and archive's losers."""
-    probes = events.filter(F.col("kind") == PROBE)
-    asked = probes.select("h1", "h2").distinct()
-    copies = probes.unionByName(events.filter(F.col("kind") == ARCHIVED).join(asked, ["h1", "h2"], "left_semi"))
-    best = copies.groupBy("h1", "h2").agg(F.min(F.struct("ts", "id")).alias("best"))
-    late = copies.join(best, ["h1", "h2"]).filter(F.col("id") != F.col("best.id")).select("id")
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for blob in b.column("live"):
+            rows = np.frombuffer(blob.as_buffer(), dtype=_ENTRY) if blob.is_valid else np.zeros(0, dtype=_ENTRY)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), ARCHIVED, dtype=np.int32)), *(pa.array(rows[c].copy()) for c in ("h1", "h2", "ts", "id"))], names=["kind", "h1", "h2", "ts", "id"])
+
+
+def live_copies(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The remaining copies of the messages that are still in the state store, as archive rows."""
+    states = spark.read.format("statestore").load(checkpoint)
+    value = F.col("value.groupState.live") if "groupState" in states.schema["value"].dataType.names else F.col("value.live")
+    return states.select(value.alias("live")).mapInArrow(_unpack, _OUT)
+
+
+def settle(events: DataFrame, live: DataFrame) -> DataFrame:
+    """Surplus ids: those the stream emitted, and all but the best of the copies that met in no state.
+
+    Such copies are of one key in the archive and the live states; only keys with several come out
+    of the aggregate, so the join behind it is small.
+    """
+    apart = events.filter(F.col("kind") == ARCHIVED).unionByName(live).select("h1", "h2", "ts", "id")
+    several = apart.groupBy("h1", "h2").agg(F.min(F.struct("ts", "id")).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    late = apart.join(several, ["h1", "h2"]).filter(F.col("id") != F.col("best.id")).select("id")
     return events.filter(F.col("kind") == SURPLUS).select("id").unionByName(late).distinct()
 
 

@@ -73,19 +73,40 @@ def test_surplus_is_exact_whatever_expires(spark, tmp_path, files, retention):
     rows = events(files)
     for k in range(files):
         spark.createDataFrame(rows[k::files], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = M.surplus_messages(spark, str(tmp_path / "in"), files_per_trigger=1, retention=retention, delay="1 hour", buckets=3, work_dir=str(tmp_path / "w"))
+    got = M.surplus_messages(spark, str(tmp_path / "in"), files_per_trigger=1, retention=retention, delay="1 hour", work_dir=str(tmp_path / "w"))
     ids = [r.id for r in got.collect()]
     assert len(ids) == len(set(ids)) and set(ids) == surplus(rows)
-    kinds = {r.kind for r in spark.read.parquet(str(tmp_path / "w/events")).select("kind").distinct().collect()}
+    out = spark.read.parquet(str(tmp_path / "w/events"))
+    kinds = {r.kind for r in out.select("kind").distinct().collect()}
     if files > 1:
-        assert kinds == {M.SURPLUS, M.ARCHIVED, M.PROBE}  # expiry and the late lookup took part
+        assert kinds == {M.SURPLUS, M.ARCHIVED}  # expiry took part
+        assert set(ids) - {r.id for r in out.filter(F.col("kind") == M.SURPLUS).collect()}  # and the late lookup
+
+
+def test_timers_expire_states_without_rows(spark, tmp_path):
+    """A message whose prefix gets no more rows leaves the state when the watermark has passed it."""
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    row = lambda i, task, days: (i, start + datetime.timedelta(days=days), task, "p", 1, "x", 1.0)
+    for k, rows in enumerate(([row(1, "a", 0)], [row(2, "b", 100)], [row(3, "c", 101)], [row(4, "a", 102)])):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = M.surplus_messages(spark, str(tmp_path / "in"), files_per_trigger=1, work_dir=str(tmp_path / "w"))
+        assert [r.id for r in got.collect()] == ([] if k < 3 else [4])  # found by the lookup: a is not live
+    archived = spark.read.parquet(str(tmp_path / "w/events")).filter(F.col("kind") == M.ARCHIVED)
+    assert [r.id for r in archived.collect()] == [1]
+    assert {r.id for r in M.live_copies(spark, str(tmp_path / "w/checkpoint")).collect()} == {2, 3, 4}
+
+
+def test_states_stay_small():
+    assert M.prefix_bits(0) == 9 and M.prefix_bits(10**7) == 13 and 10**10 >> M.prefix_bits(10**10) <= M.STATE_MESSAGES
 
 
 def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     rows = events(9, 120)
     for half in (rows[:60], rows[60:]):
         spark.createDataFrame(half, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        got = M.surplus_messages(spark, str(tmp_path / "in"), buckets=2, work_dir=str(tmp_path / "w"))
+        got = M.surplus_messages(spark, str(tmp_path / "in"), work_dir=str(tmp_path / "w"))
     assert {r.id for r in got.collect()} == surplus(rows)
 
 
@@ -96,10 +117,10 @@ def test_no_messages(spark, tmp_path):
 
 def test_block_merge_keeps_the_best():
     new = lambda *r: M._entries(*(np.array(c, dtype=np.int64) for c in zip(*r)))
-    live, out = M.merge_block(np.zeros(0, M._ENTRY), np.zeros(0, np.uint32), new((1, 1, 5, 7), (1, 1, 3, 9), (2, 2, 4, 4)))
-    assert sorted(live["id"].tolist()) == [4, 9] and out[0][1]["id"].tolist() == [7]
-    live, out = M.merge_block(live, np.zeros(0, np.uint32), new((1, 1, 1, 11), (2, 2, 4, 4)))
-    assert sorted(live["id"].tolist()) == [4, 11] and out[0][1]["id"].tolist() == [9]
+    live, lost = M.merge_block(np.zeros(0, M._ENTRY), new((1, 1, 5, 7), (1, 1, 3, 9), (2, 2, 4, 4)))
+    assert sorted(live["id"].tolist()) == [4, 9] and lost["id"].tolist() == [7]
+    live, lost = M.merge_block(live, new((1, 1, 1, 11), (2, 2, 4, 4)))
+    assert sorted(live["id"].tolist()) == [4, 11] and lost["id"].tolist() == [9]
 
 
 # ---- nested records
