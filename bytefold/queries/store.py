@@ -87,15 +87,20 @@ RELATIONS = [
 ]
 
 
+#: Parts of the tracker's tables.
+PARTS = 16
+
+
 def _tracked(spark: SparkSession, d: str, snapshot: bool = False) -> OrphanTracker:
-    """The tracker after two increments: the tables' rows, then the log of removals."""
-    refs, parents = [], []
+    """The tracker after three increments: references that come before their parents, the parents with further references, removals."""
+    refs, parents = {}, {}
     for child, own, ref, at, parent, key, since in RELATIONS:
-        refs.append(table(spark, d, child, own if child == "findings" else None).select(F.lit(child).alias("child_table"), norm_id(own).alias("child_key"), F.lit(parent).alias("parent_table"), norm_id(ref).alias("ref"), instant_micros(at).alias("micros")))
-        parents.append(table(spark, d, parent).select(F.lit(parent).alias("parent_table"), norm_id(key).alias("ref"), instant_micros(since).alias("parent_micros")))
+        refs[child] = table(spark, d, child, own if child == "findings" else None).select(F.lit(child).alias("child_table"), norm_id(own).alias("child_key"), F.lit(parent).alias("parent_table"), norm_id(ref).alias("ref"), instant_micros(at).alias("micros"))
+        parents[parent] = table(spark, d, parent).select(F.lit(parent).alias("parent_table"), norm_id(key).alias("ref"), instant_micros(since).alias("parent_micros"))
     removed = table(spark, d, "removed_keys").select(F.lower(trimmed("parent_table")).alias("parent_table"), norm_id("key_id").alias("ref"), F.coalesce(F.col("removed_at").cast("string"), F.lit("")).alias("removed_at"), F.col("restored_at").isNotNull().alias("restored"))
-    tracker = OrphanTracker(spark)
-    tracker.advance(reduce(DataFrame.unionByName, refs), reduce(DataFrame.unionByName, parents), snapshot=False)
+    tracker = OrphanTracker(spark, parts=PARTS)
+    tracker.advance(refs["dumps"].unionByName(refs["analysis_runs"]), parents["projects"], snapshot=False)
+    tracker.advance(refs["findings"], parents["dumps"].unionByName(parents["analysis_runs"]), snapshot=False)
     tracker.advance(removals=removed, snapshot=snapshot)
     return tracker
 

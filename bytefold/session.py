@@ -73,6 +73,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, by the Hadoop file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the Hadoop file system; a stopped session is no error."""
     try:

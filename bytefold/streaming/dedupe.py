@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bytefold.functions.normalize import micros_of, norm_id, trimmed
-from bytefold.session import scratch_path
+from bytefold.session import path_exists, scratch_path
 
 SURPLUS, ARCHIVED = 0, 1
 
@@ -184,9 +184,7 @@ def surplus_copies(spark: SparkSession, path: str, key: list[Column], at: Column
 
 def _prefix_bits(spark: SparkSession, work: str, known: DataFrame) -> int:
     """The prefix length of a work folder, set when the stream is started first."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{work}/prefix")
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if path_exists(spark, f"{work}/prefix"):
         return spark.read.schema("bits int").json(f"{work}/prefix").first()["bits"]
     bits = prefix_bits(known.count())  # from the files' footers
     spark.range(1).select(F.lit(bits).alias("bits")).coalesce(1).write.json(f"{work}/prefix")

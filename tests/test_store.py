@@ -207,7 +207,7 @@ def test_increments_equal_one_batch(spark, tmp_path):
     parents = [("runs", f"r{j}", rng.choice([None, 1, 20, 99])) for j in range(8)]
     removed = [("runs", f"r{j}", "t1", False) for j in (1, 3, 9)]
     restored = [("runs", "r3", "t1", True)]
-    tracker = OrphanTracker(spark, str(tmp_path / "s"))
+    tracker = OrphanTracker(spark, str(tmp_path / "s"), parts=4)
     seen = [[], [], []]
     for step in ((refs[:40], None, None), (None, parents[:5], None), (refs[40:], None, removed), (None, parents[5:], None), (None, None, restored), (None, None, None)):
         tracker.advance(**frames(spark, *step))
@@ -219,6 +219,39 @@ def test_increments_equal_one_batch(spark, tmp_path):
     assert again.version == 6 and found(again) == states(*seen)
 
 
+def test_small_increments_touch_little(spark, tmp_path):
+    """What an increment reads and writes follows from its own rows, not from what is kept."""
+    refs = [("f", f"c{i}", "runs", f"r{i % 900}", 5) for i in range(6000)]
+    parents = [("runs", f"r{j}", 1) for j in range(800)]
+    tracker = OrphanTracker(spark, str(tmp_path / "s"), parts=64)
+    tracker.advance(**frames(spark, refs, parents), snapshot=False)
+    size = lambda v: sum(f.stat().st_size for name in ("refs", "parents", "removals", "pending") for f in (tmp_path / "s" / name / f"v{v}").rglob("*.parquet"))
+    folders = lambda df: {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    assert len(folders(tracker._read("refs"))) == 64
+    seen = [refs, parents, []]
+    for k, step in enumerate((([("f", "n1", "runs", "r850", 5)], None, None), (None, [("runs", "r850", 1)], None), (None, None, [("runs", "r7", "t", False)])), 2):
+        tracker.advance(**frames(spark, *step), snapshot=False)
+        seen = [a + (b or []) for a, b in zip(seen, step)]
+        assert found(tracker) == states(*seen)
+        assert size(k) * 10 < size(1)
+        newest = tracker.tables["pending"][-1]
+        assert newest["version"] in (k, f"{k}-1") and (newest["level"] or len(newest["parts"]) == 1)
+    plan = tracker._read("refs", [3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan  # of older versions only the touched parts are opened
+
+
+def test_versions_are_merged(spark, tmp_path):
+    tracker = OrphanTracker(spark, str(tmp_path / "s"), parts=4, fan=2)
+    seen = [[], [], []]
+    for i in range(7):
+        step = ([("f", f"c{i}", "runs", f"r{i % 3}", 5)], [("runs", f"r{i}", 1)] if i % 2 else None, None)
+        tracker.advance(**frames(spark, *step), snapshot=False)
+        seen = [a + (b or []) for a, b in zip(seen, step)]
+        assert found(tracker) == states(*seen)
+    assert all(len(v) <= 4 for v in tracker.tables.values())
+    assert found(OrphanTracker(spark, str(tmp_path / "s"))) == states(*seen)
+
+
 def test_copies_and_empty_increment(spark):
     tracker = OrphanTracker(spark)
     tracker.advance(**frames(spark, [], [], []))
