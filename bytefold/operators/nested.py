@@ -114,14 +114,24 @@ def integer(kind: Column, value: Column) -> Column:
     return F.when(kind.isin("int", "text"), F.coalesce(plain, F.when(kind == "text", hexed))).when(kind == "float", whole)
 
 
-def flat_table(all_nodes: DataFrame, path: str, columns: list[str]) -> DataFrame:
+def _depth(path: str) -> int:
+    """Ordinals in the label of a node at a schema path."""
+    return path.count("[]") + sum(bool(name.rstrip("[]")) for name in path.split("."))
+
+
+def flat_table(all_nodes: DataFrame, path: str, columns: list[str], above: str = "", prefix: str = "") -> DataFrame:
     """One table of the shredded records: a row per object at ``path`` with its scalar members.
 
-    Columns: ``doc, label, parent_label`` and one text column per member name; the members reach
-    their row by label truncation.
+    Columns: ``doc, label, parent_label`` and one text column per member name behind ``prefix``; a
+    member with the name of one of the first three is called ``member_…``.  ``parent_label`` is
+    the label of the row at the schema path ``above`` (the record itself by default) that holds the
+    object.  Members and parents are reached by cutting ordinals off a label; only the members of
+    one object meet in an exchange.
     """
     under = f"{path}." if path else ""
     own = all_nodes.filter((F.col("path") == path) & (F.col("kind") == "object")).select("doc", "label", F.lit(None).cast("string").alias("member"), F.lit(None).cast("string").alias("value"))
     leaf = all_nodes.filter(F.col("path").isin([under + c for c in columns]) & ~F.col("kind").isin("object", "array")).select("doc", parent("label").alias("label"), F.substring("path", len(under) + 1, 10_000).alias("member"), "value")
-    picked = [F.max(F.when(F.col("member") == c, F.col("value"))).alias(c) for c in columns]
-    return own.unionByName(leaf).groupBy("doc", "label").agg(*picked).select("doc", "label", parent("label").alias("parent_label"), *columns)
+    names = {c: f"member_{c}" if prefix + c in ("doc", "label", "parent_label") else prefix + c for c in columns}
+    picked = [F.max(F.when(F.col("member") == c, F.col("value"))).alias(names[c]) for c in columns]
+    cut = F.regexp_replace("label", rf"(\.?\d+){{{_depth(path) - _depth(above)}}}$", "")
+    return own.unionByName(leaf).groupBy("doc", "label").agg(*picked).select("doc", "label", (cut if path else F.lit(None).cast("string")).alias("parent_label"), *names.values())

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefold.functions.normalize import instant_micros, norm_id, trimmed
-from bytefold.operators.nested import integer, nodes, ordinal, parent
+from bytefold.operators.nested import flat_table, integer, nodes, ordinal, parent
 from bytefold.operators.references import OrphanTracker
 from bytefold.session import scratch_path, table
 from bytefold.streaming.dedupe import surplus_messages
@@ -36,7 +36,7 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nsweep_events").select("delivery_id", "extra").distinct()
+    return table(spark, d, "nsweep_events").select("delivery_id", "extra")
 
 
 def _sweep_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _dump_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _truth_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "gt_runs").select("gt_id", F.to_json(F.struct("dumps")).alias("body")).distinct()
+    return table(spark, d, "gt_runs").select("gt_id", F.to_json(F.struct("dumps")).alias("body"))
 
 
 def _truth_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -79,6 +79,30 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select(F.lit(src).alias("src"), "doc", "label", parent("label").alias("parent_label"), "path", "kind", "value") for src, df in sources.items()))
 
 
+#: Flat tables: name, source, schema path, columns, and the schema path of the parent rows.
+FLAT = [
+    ("p4_points", "nsweep_events", "points[]", ["n", "candidates_tried", "hits"], ""),
+    ("p4_regions", "dumps", "regions[]", ["base", "size", "prot"], ""),
+    ("p4_key_hints", "dumps", "regions[].key_hints[]", ["offset", "length", "kind"], "regions[]"),
+    ("p4_truth_dumps", "gt_runs", "dumps[]", ["label", "size_bytes", "format"], ""),
+]
+
+
+def _flat(source: str, path: str, columns: list[str], above: str) -> Callable[[SparkSession, str], DataFrame]:
+    rows, key, text, arrays = {
+        "nsweep_events": (_sweep_rows, "delivery_id", "extra", ["points"]),
+        "dumps": (_dump_rows, "dump_id", "metadata_json", ["regions", "regions[].key_hints"]),
+        "gt_runs": (_truth_rows, "gt_id", "body", ["dumps"]),
+    }[source]
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        """One flat table of the records of a source, with the label of its parent row."""
+        found = nodes(rows(spark, d), F.col(key), F.col(text), arrays, [path, *(f"{path}.{c}" for c in columns)])
+        return flat_table(found, path, columns, above, "v_")
+
+    return query
+
+
 #: Child table, its id, its reference, its time, and the parent table with its id and time.
 RELATIONS = [
     ("findings", "finding_id", "run_id", "created_at", "analysis_runs", "run_id", "started_at"),
@@ -117,14 +141,14 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_kept, p4_found, p4_nodes, p5_found, p5_counts)}
+    return {f.__name__: f for f in (p3_found, p3_kept, p4_found, p4_nodes, p5_found, p5_counts)} | {name: _flat(*rest) for name, *rest in FLAT}
 
 
 def _id(c: str) -> str:
     return f"nullif(replace(lower(trim({c})), '-', ''), '')"
 
 
-def _at(c: str) -> str:
+def _micros(c: str) -> str:
     return f"""CASE WHEN regexp_full_match({c}, '[0-9]{{8}}_[0-9]{{6}}_[0-9]{{1,6}}')
       THEN epoch_us(strptime(left({c}, 15), '%Y%m%d_%H%M%S')) + CAST(substr({c}, 17) AS BIGINT)
       WHEN regexp_matches({c}, '(Z|[+-][0-9][0-9]:?[0-9][0-9])$') THEN epoch_us(CAST({c} AS TIMESTAMPTZ))
@@ -138,8 +162,8 @@ def _orphans() -> str:
   SELECT '{child}' AS child_table, c.k AS child_key, c.us,
     CASE WHEN EXISTS (SELECT 1 FROM removed_keys r WHERE lower(trim(r.parent_table)) = '{parent}' AND {_id('r.key_id')} = c.r AND r.restored_at IS NULL) THEN 'deleted'
       WHEN p.k IS NULL THEN 'absent' WHEN p.us > c.us THEN 'late' END AS ref_state
-  FROM (SELECT {_id(own)} AS k, {_id(ref)} AS r, min({_at(at)}) AS us FROM {child} GROUP BY 1, 2) c
-  LEFT JOIN (SELECT {_id(key)} AS k, min({_at(since)}) AS us FROM {parent} GROUP BY 1) p ON p.k = c.r
+  FROM (SELECT {_id(own)} AS k, {_id(ref)} AS r, min({_micros(at)}) AS us FROM {child} GROUP BY 1, 2) c
+  LEFT JOIN (SELECT {_id(key)} AS k, min({_micros(since)}) AS us FROM {parent} GROUP BY 1) p ON p.k = c.r
   WHERE c.r IS NOT NULL AND c.k IS NOT NULL""")
     return "WITH o AS (" + " UNION ALL ".join(parts) + """),
 f AS (SELECT DISTINCT child_table, child_key, coalesce(strftime(make_timestamp(us), '%Y-%m'), 'unknown') AS month_utc, ref_state FROM o WHERE ref_state IS NOT NULL)
@@ -176,6 +200,32 @@ u AS (
 SELECT src, parent_key, CAST(pos_a AS INTEGER) AS pos_a, CAST(pos_b AS INTEGER) AS pos_b, leaf_value FROM u WHERE leaf_value IS NOT NULL"""
 
 
+def _member(j: str, columns: list[str]) -> str:
+    return ", ".join(f"CASE WHEN json_type({j} -> '$.{c}') NOT IN ('OBJECT', 'ARRAY') THEN {j} ->> '$.{c}' END AS v_{c}" for c in columns)
+
+
+def _at(j: str, name: str) -> str:
+    """The ordinal of a member in its object."""
+    return f"(list_position(json_keys({j}), '{name}') - 1)"
+
+
+def _tables() -> dict[str, str]:
+    """The flat tables, their labels counted from the members' and elements' places."""
+    columns = {name: cols for name, _, _, cols, _ in FLAT}
+    dumps = f"""d AS ({_json('dumps', _id('dump_id'), 'metadata_json')}),
+dr AS (SELECT k, {_at('j', 'regions')} || '.' || a AS label, x FROM (SELECT k, j, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS a FROM (SELECT k, j, {_elements("(j -> '$.regions')")} AS e FROM d)))"""
+    points = f"""n AS ({_json('nsweep_events', 'delivery_id', 'extra')}),
+np AS (SELECT k, {_at('j', 'points')} || '.' || a AS label, x FROM (SELECT k, j, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS a FROM (SELECT k, j, {_elements("(j -> '$.points')")} AS e FROM n)))"""
+    hints = f"""dk AS (SELECT k, label || '.' || {_at('r', 'key_hints')} || '.' || b AS label, label AS up, x FROM (SELECT k, label, r, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS b FROM (SELECT k, label, x AS r, {_elements("(x -> '$.key_hints')")} AS e FROM dr)))"""
+    row = "json_type(x) = 'OBJECT'"
+    return {
+        "p4_points": f"WITH {points} SELECT CAST(k AS VARCHAR) AS doc, label, '' AS parent_label, {_member('x', columns['p4_points'])} FROM np WHERE {row}",
+        "p4_regions": f"WITH {dumps} SELECT k AS doc, label, '' AS parent_label, {_member('x', columns['p4_regions'])} FROM dr WHERE {row}",
+        "p4_key_hints": f"WITH {dumps}, {hints} SELECT k AS doc, label, up AS parent_label, {_member('x', columns['p4_key_hints'])} FROM dk WHERE {row}",
+        "p4_truth_dumps": "SELECT CAST(gt_id AS VARCHAR) AS doc, '0.' || a AS label, '' AS parent_label, x.label AS v_label, CAST(x.size_bytes AS VARCHAR) AS v_size_bytes, x.format AS v_format FROM (SELECT gt_id, unnest(dumps) AS x, generate_subscripts(dumps, 1) - 1 AS a FROM gt_runs) WHERE x IS NOT NULL",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     ranked = f"""SELECT *, row_number() OVER (PARTITION BY {_id('task_id')}, seq, lower(trim(type)) ORDER BY received_at NULLS LAST, delivery_id) AS n
       FROM nsweep_events"""
@@ -184,6 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"SELECT delivery_id FROM ({ranked}) WHERE n > 1 AND NOT ({single})",
         "p3_kept": f"SELECT delivery_id, task_id, type, seq FROM ({ranked}) WHERE n = 1 OR {single}",
         "p4_found": _LEAVES,
+        **_tables(),
         "p5_found": _orphans() + "SELECT child_table, child_key, month_utc, ref_state FROM f",
         "p5_counts": _orphans() + "SELECT child_table, month_utc, ref_state, count(*) AS orphans FROM f GROUP BY 1, 2, 3",
     }

@@ -155,9 +155,13 @@ def test_flat_tables_link_to_their_parents(spark):
     text = json.dumps({"id": 1, "regions": [{"base": "b0", "hints": [{"o": 1}, {"o": 2}]}, {"base": None}]})
     n = nodes(spark, [text])
     regions = {r.label: r for r in D.flat_table(n, "regions[]", ["base"]).collect()}
-    hints = {r.label: r for r in D.flat_table(n, "regions[].hints[]", ["o"]).collect()}
-    assert {k: r.base for k, r in regions.items()} == {"1.0": "b0", "1.1": None}
-    assert {k: (r.o, r.parent_label) for k, r in hints.items()} == {"1.0.1.0": ("1", "1.0.1"), "1.0.1.1": ("2", "1.0.1")}
+    hints = {r.label: r for r in D.flat_table(n, "regions[].hints[]", ["o"], "regions[]").collect()}
+    assert {k: (r.base, r.parent_label) for k, r in regions.items()} == {"1.0": ("b0", ""), "1.1": (None, "")}
+    assert {k: (r.o, r.parent_label) for k, r in hints.items()} == {"1.0.1.0": ("1", "1.0"), "1.0.1.1": ("2", "1.0")}
+    assert set(r.parent_label for r in hints.values()) <= set(regions)
+    assert [r.parent_label for r in D.flat_table(n, "", ["id"]).collect()] == [None]
+    clash = nodes(spark, [json.dumps({"label": "x", "doc": 2})])
+    assert D.flat_table(clash, "", ["label", "doc"]).select("member_label", "member_doc").first() == ("x", "2")
     assert n.filter("label = '1.0.1.1'").select(D.ordinal("label", 1), D.ordinal("label", 3), D.ordinal("label", 9)).first() == (0, 1, None)
     assert nodes(spark, []).count() == 0
 
