@@ -25,8 +25,8 @@ def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_terms(spark: SparkSession, d: str) -> DataFrame:
-    """Every distinct type and byte value with its findings, runs and mark."""
-    return _marked_terms(spark, d).select("field_name", "term", F.col("n_items").alias("n_findings"), F.col("n_records").alias("n_runs"), "mark")
+    """Every distinct type and byte value with its integer, findings, runs and mark."""
+    return _marked_terms(spark, d).select("term_id", "field_name", "term", F.col("n_items").alias("n_findings"), F.col("n_records").alias("n_runs"), "mark")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +108,7 @@ marked AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_terms": _ONE + "SELECT field_name, term, n_findings, n_runs, mark FROM marked",
+        "p1_terms": _ONE + "SELECT row_number() OVER (ORDER BY field_name, term) - 1 AS term_id, field_name, term, n_findings, n_runs, mark FROM marked",
         "p1_found": _ONE + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
         "p2_found": f"""
 WITH f AS (

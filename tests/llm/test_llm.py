@@ -46,6 +46,22 @@ def test_terms_are_counted_exactly(spark, monkeypatch, block):
     assert len({r.term_id for r in got}) == len(got)
 
 
+def test_term_ids_are_ranks_and_hot_terms_are_looked_up(spark, monkeypatch):
+    """The integers are the terms' ranks whatever the partitions, ranges and hot terms are."""
+    rng = random.Random(4)
+    rows = [(f"i{k}", rng.choice(["r1", "r2", None]), "hot" if k % 3 else f"t{rng.randrange(40)}", rng.choice(["x", "y"])) for k in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    results = []
+    for share, span, parts in ((0.001, 1 << 16, 1), (0.2, 8, 5), (1.0, 3, 3)):
+        monkeypatch.setattr(terms, "HOT_SHARE", share)
+        monkeypatch.setattr(terms, "RANGE", span)
+        got = terms.term_counts(df.repartition(parts), {"a": "a", "b": "b"}, "rec", "item").collect()
+        results.append({(r.field_name, r.term): (r.term_id, r.n_items, r.n_records) for r in got})
+    assert results[0] == results[1] == results[2]
+    assert [k for k, _ in sorted(results[0].items(), key=lambda x: x[1][0])] == sorted(results[0])
+    assert sorted(v[0] for v in results[0].values()) == list(range(len(results[0])))
+
+
 def test_terms_edges_and_marks(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert terms.term_counts(df, {"a": "a"}, "rec", "item").count() == 0
