@@ -49,7 +49,7 @@ def test_terms_are_counted_exactly(spark, monkeypatch, block):
 def test_term_ids_are_ranks_and_hot_terms_are_looked_up(spark, monkeypatch):
     """The integers are the terms' ranks whatever the partitions, ranges and hot terms are."""
     rng = random.Random(4)
-    rows = [(f"i{k}", rng.choice(["r1", "r2", None]), "hot" if k % 3 else f"t{rng.randrange(40)}", rng.choice(["x", "y"])) for k in range(500)]
+    rows = [(f"i{k}", rng.choice(["r1", "r2", None]), "hot" if k % 3 else f"t{rng.randrange(40)}", rng.choice(["x", "y"]), "") for k in range(500)]
     df = spark.createDataFrame(rows, SCHEMA)
     results = []
     for share, span, parts in ((0.001, 1 << 16, 1), (0.2, 8, 5), (1.0, 3, 3)):
