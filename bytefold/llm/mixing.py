@@ -45,6 +45,41 @@ class FlowNetwork:
     def flow_on(self, edge: int) -> int:
         return self.room[edge + 1]
 
+    def fill(self, source: int, sink: int) -> int:
+        """Maximum flow whatever it costs: blocking flows over shortest layers."""
+        total = 0
+        while True:
+            layer = {source: 0}
+            for u in (order := [source]):
+                for e in self.out[u]:
+                    if self.room[e] > 0 and self.to[e] not in layer:
+                        layer[self.to[e]] = layer[u] + 1
+                        order.append(self.to[e])
+            if sink not in layer:
+                return total
+            tried = dict.fromkeys(layer, 0)
+            path: list[int] = []
+            while True:
+                u = self.to[path[-1]] if path else source
+                if u == sink:
+                    push = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= push
+                        self.room[e ^ 1] += push
+                    total += push
+                    path = path[: next(i for i, e in enumerate(path) if not self.room[e])]
+                    continue
+                edges = self.out[u]
+                while tried[u] < len(edges) and not (self.room[edges[tried[u]]] > 0 and layer.get(self.to[edges[tried[u]]]) == layer[u] + 1):
+                    tried[u] += 1
+                if tried[u] < len(edges):
+                    path.append(edges[tried[u]])
+                elif path:
+                    path.pop()
+                    tried[self.to[path[-1]] if path else source] += 1
+                else:
+                    break
+
     def run(self, source: int, sink: int) -> int:
         total = 0
         while True:
@@ -73,12 +108,8 @@ class FlowNetwork:
             total += push
 
 
-def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
-    """Route ``total`` tokens to the quotas of the targets; the tokens routed and each pattern's flow.
-
-    The r-th use of a pattern's tokens costs r squared, so texts are repeated only where fresh
-    ones are spent.
-    """
+def _network(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> tuple[FlowNetwork, int, int, dict[tuple[tuple[str, ...], str], int]]:
+    """Start -> pattern (cost r squared for the r-th use) -> target -> end, and the middle edges."""
     net = FlowNetwork()
     start, end = net.node(), net.node()
     sinks = {s: net.node() for s in targets}
@@ -92,6 +123,16 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float,
             net.edge(start, node, tokens, r * r)
         for s in p:
             arcs[p, s] = net.edge(node, sinks[s], tokens * targets[s][1])
+    return net, start, end, arcs
+
+
+def route(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]], total: int) -> tuple[int, dict[tuple[tuple[str, ...], str], int]]:
+    """Route ``total`` tokens to the quotas of the targets; the tokens routed and each pattern's flow.
+
+    The r-th use of a pattern's tokens costs r squared, so texts are repeated only where fresh
+    ones are spent.
+    """
+    net, start, end, arcs = _network(patterns, targets, total)
     done = net.run(start, end)
     return done, {k: net.flow_on(e) for k, e in arcs.items() if net.flow_on(e)}
 
@@ -106,7 +147,8 @@ def largest_total(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple
     low, high = 0, int(sum(n * max(held[s][1] for s in p) for p, n in usable.items()) / sum(t[0] for t in held.values())) + 1
     while high - low > max(1, high // 1_000_000):
         middle = (low + high) // 2
-        low, high = (middle, high) if route(usable, held, middle)[0] >= need(middle) else (low, middle)
+        net, start, end, _ = _network(usable, held, middle)
+        low, high = (middle, high) if net.fill(start, end) >= need(middle) else (low, middle)
     return low
 
 
@@ -119,7 +161,11 @@ def _count(vocab: str):
     return count
 
 
-def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, buckets: int = 4096, vocab: str = DEFAULT_VOCAB, max_targets: int = 200) -> tuple[DataFrame, DataFrame]:
+#: Sets of sources that the flow tells apart; texts of rarer sets serve one source of theirs.
+MAX_PATTERNS = 1024
+
+
+def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, buckets: int = 4096, vocab: str = DEFAULT_VOCAB, max_targets: int = 200, max_patterns: int = MAX_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """Combine ``documents(doc_id, text, source)`` to the shares of ``targets(source, target_share, max_repeats)``.
 
     Returns the selection ``doc_id, source, repeats, n_tokens`` (``doc_id`` the smallest that holds
@@ -132,7 +178,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     target and a null source take no part; a target without texts is reported with share 0;
     null and empty texts hold no tokens and aren't selected; a target given twice counts by its
     larger share; null shares count as 0 and null repeats as 1; a cap below 1 bars the source;
-    more than ``max_targets`` targets are refused; empty tables give no selection.
+    more than ``max_targets`` targets are refused; of the sets of sources that hold one text the
+    ``max_patterns`` with the most tokens are told apart, and a text of another set serves one of
+    its sources, chosen by its hash, so the network is bounded and no text is lost; empty tables
+    give no selection.
     """
     goal = targets.select(norm_source("source").alias("source"), F.coalesce(F.col("target_share"), F.lit(0.0)).cast("double").alias("target_share"), F.coalesce(F.col("max_repeats"), F.lit(1)).cast("int").alias("max_repeats"))
     goal = goal.filter("source is not null").groupBy("source").agg(F.max(F.struct("target_share", "max_repeats")).alias("t")).select("source", "t.*")
@@ -148,11 +197,14 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
     # sources is bounded by the targets.
     units = sized.groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"), F.array_sort(F.collect_set("source")).alias("pattern")).filter("n_tokens > 0")
     place = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "print")), 1, 15), 16, 10).cast("bigint")
-    units = units.select("doc_id", "n_tokens", F.array_join("pattern", "|").alias("pattern"), place.alias("place"))
+    units = units.select("doc_id", "n_tokens", F.col("pattern").alias("members"), place.alias("place"))
     units = materialize(units.withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int")), "mixing")
+    common = units.groupBy("members").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "members").limit(max_patterns).select("members", F.lit(True).alias("kept"))
+    alone = F.array(F.get("members", F.pmod("place", F.size("members"))))
+    units = units.join(F.broadcast(common), "members", "left").withColumn("pattern", F.when(F.col("kept"), F.col("members")).otherwise(alone)).drop("kept")
 
-    # At most one row for each set of targets that occurs: bounded by the targets, not the rows.
-    tokens = {tuple(r["pattern"].split("|")): int(r["n"]) for r in units.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
+    # At most max_patterns rows and one for each target.
+    tokens = {tuple(r["pattern"]): int(r["n"]) for r in units.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     total = largest_total(tokens, aims) if total_tokens is None else total_tokens
     flows = route(tokens, aims, total)[1] if tokens and total > 0 else {}
     segments = []
@@ -160,10 +212,10 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
         at = 0
         for s in p:  # the pattern's uses laid end to end: each source has one stretch of them
             if amount := flows.get((p, s), 0):
-                segments.append(("|".join(p), s, at, at + amount, n))
+                segments.append((list(p), s, at, at + amount, n))
                 at += amount
     spark = documents.sparkSession
-    stretch = spark.createDataFrame(segments, "pattern string, source string, low bigint, high bigint, size bigint")
+    stretch = spark.createDataFrame(segments, "pattern array<string>, source string, low bigint, high bigint, size bigint")
 
     per_bucket = units.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("n"))
     before = per_bucket.withColumn("from", F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")).drop("n")
@@ -182,4 +234,4 @@ def mix_sources(documents: DataFrame, targets: DataFrame, total_tokens: int | No
 
 def per_source_tokens(units: DataFrame) -> DataFrame:
     """Tokens of the distinct texts each source holds."""
-    return units.select(F.explode(F.split("pattern", r"\|")).alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))
+    return units.select(F.explode("members").alias("source"), "n_tokens").groupBy("source").agg(F.sum("n_tokens").alias("available_tokens"))

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.functions.normalize import norm_hex, norm_id, norm_label
+from bytefold.functions.normalize import norm_hex, norm_id, norm_label, norm_source
 from bytefold.llm.mixing import mix_sources
 from bytefold.llm.packing import fill_report, pack_texts
 from bytefold.llm.reading import reading_levels, train
 from bytefold.llm.terms import mark_terms, term_counts
+from bytefold.llm.tokens import token_counts
 from bytefold.llm.topn import top_n_per_group
-from bytefold.session import table
+from bytefold.session import materialize, table
 
 
 def _marked_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +69,49 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets"))[1]
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing, per capacity: the documents laid, and how often something is wrong."""
+    documents = table(spark, d, "documents", "doc_id")
+    given = token_counts(documents.select("doc_id", "text")).select("doc_id", F.col("n_tokens").alias("given"))
+    laid = materialize(pack_texts(documents, table(spark, d, "pack_sizes")), "packing-check")
+    texts = laid.groupBy("pack_id", "capacity_tokens", "doc_id").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("parts"), F.max("part_no").alias("last"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"))
+    texts = texts.join(given, "doc_id")
+    wrong = lambda c: F.sum(c.cast("bigint"))
+    split = (F.col("parts") > 1) & (F.col("parts") != F.ceil(F.col("given") / F.col("capacity_tokens")))
+    of_texts = texts.groupBy("pack_id", "capacity_tokens").agg(F.count(F.lit(1)).alias("documents"), wrong((F.col("tokens") != F.col("given")) | (F.col("end") != F.col("given"))).alias("not_whole"), wrong(split | (F.col("last") != F.col("parts") - 1)).alias("needless_splits"))
+    boxes = laid.filter("container_id is not null").groupBy("pack_id", "container_id", "capacity_tokens").agg(F.sum("n_tokens").alias("tokens"), F.max(F.col("container_offset") + F.col("n_tokens")).alias("end"))
+    of_boxes = boxes.groupBy("pack_id").agg(wrong((F.col("tokens") > F.col("capacity_tokens")) | (F.col("end") != F.col("tokens"))).alias("bad_containers"), (F.sum("tokens") >= 0.95 * F.sum("capacity_tokens")).alias("well_filled"))
+    return of_texts.join(of_boxes, "pack_id").select("pack_id", "capacity_tokens", "documents", "not_whole", "needless_splits", "bad_containers", "well_filled")
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of a mix, per target: uses within the cap, texts of the source, the share reached to within one text."""
+    documents, targets = table(spark, d, "documents", "doc_id"), table(spark, d, "mix_targets")
+    chosen, report = mix_sources(documents, targets)
+    held = documents.select(norm_source("source").alias("source"), F.md5("text").alias("print")).distinct()
+    texts = documents.select("doc_id", F.md5("text").alias("print"))
+    goal = targets.select(norm_source("source").alias("source"), "max_repeats")
+    foreign = chosen.join(texts, "doc_id").join(held, ["source", "print"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("foreign_texts"))
+    over = chosen.join(goal, "source").filter((F.col("repeats") > F.col("max_repeats")) | (F.col("repeats") < 1)).groupBy("source").agg(F.count(F.lit(1)).alias("over_cap"))
+    reachable = report.filter("available_tokens > 0").agg(F.sum("target_share")).scalar()
+    sizes = chosen.agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("total"), F.max("n_tokens").alias("longest"))
+    off = F.abs(F.col("tokens") - F.col("target_share") / reachable * sizes.select("total").scalar())
+    reached = off <= sizes.select("longest").scalar()
+    rows = report.withColumn("share_reached", F.when(F.col("available_tokens") > 0, reached).otherwise(F.col("tokens") == 0))
+    return rows.join(foreign, "source", "left").join(over, "source", "left").na.fill(0, ["foreign_texts", "over_cap"]).select("source", "max_repeats", "over_cap", "foreign_texts", "share_reached")
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the levels: every document once, a level of 1 to 5 exactly where there is prose, near the ratings."""
+    levels = _levels(spark, d)
+    rated = table(spark, d, "doc_labels").filter("reading_level between 1 and 5").groupBy("doc_id").agg(F.min("reading_level").alias("low"), F.max("reading_level").alias("high"))
+    rows = levels.join(rated, "doc_id", "left")
+    none = F.col("reading_level").isNull()
+    bad = (none != (F.col("prose_words") == 0)) | (~none & ~F.col("reading_level").between(1, 5))
+    near = F.col("reading_level").between(F.col("low") - 1, F.col("high") + 1)
+    return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("doc_id").alias("ids"), F.sum(bad.cast("bigint")).alias("bad_levels"), (F.avg(F.when(F.col("low").isNotNull() & ~none, near.cast("double"))) >= 0.9).alias("near_ratings"))
+
+
 def _levels(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents", "doc_id")
     return reading_levels(documents, train(documents, table(spark, d, "doc_labels")))
@@ -84,7 +128,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_packing, p6_fill, p7_mix, p7_shares, p8_found, p8_levels)}
+    return {f.__name__: f for f in (p1_found, p1_terms, p2_found, p6_packing, p6_fill, p6_check, p7_mix, p7_shares, p7_check, p8_found, p8_levels, p8_check)}
 
 
 _RUN = "nullif(replace(lower(trim(run_id)), '-', ''), '')"
@@ -110,6 +154,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_terms": _ONE + "SELECT row_number() OVER (ORDER BY field_name, term) - 1 AS term_id, field_name, term, n_findings, n_runs, mark FROM marked",
         "p1_found": _ONE + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
+        "p6_check": "SELECT pack_id, capacity_tokens, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS not_whole, 0::BIGINT AS needless_splits, 0::BIGINT AS bad_containers, true AS well_filled FROM pack_sizes",
+        "p7_check": "SELECT regexp_replace(trim(lower(source)), '[ _-]+', '_', 'g') AS source, max_repeats, 0::BIGINT AS over_cap, 0::BIGINT AS foreign_texts, true AS share_reached FROM mix_targets",
+        "p8_check": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS ids, 0::BIGINT AS bad_levels, true AS near_ratings FROM documents",
         "p2_found": f"""
 WITH f AS (
   SELECT DISTINCT {_RUN} AS run_id, replace(lower(trim(finding_id)), '-', '') AS item_id, confidence, byte_offset

@@ -137,11 +137,11 @@ def train(documents: DataFrame, labels: DataFrame, max_texts: int = MAX_TRAINING
     rated = labels.filter(F.col("doc_id").isNotNull() & F.col("reading_level").between(1, LEVELS))
     rated = rated.select("doc_id", "rater", F.col("reading_level").cast("int").alias("level")).distinct()
     rated = rated.groupBy("doc_id").agg(F.array_sort(F.collect_list("level")).alias("ratings"))
-    # A fixed share of the id space when there are too many labels, then an exact top by hash.
+    # The exact top by hash: each task keeps its own first max_texts, and these are merged.
     sample = rated.withColumn("h", F.md5(F.concat(F.lit(seed), F.col("doc_id").cast("string")))).orderBy("h", "doc_id").limit(max_texts).drop("h")
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "ratings")
     counts = texts.mapInArrow(_train_counts, "level int, word string, n double").groupBy("level", "word").agg(F.sum("n").alias("n"))
-    return ReadingModel.fit([tuple(r) for r in counts.orderBy("level", "word").collect()], smoothing)
+    return ReadingModel.fit(sorted(tuple(r) for r in counts.collect()), smoothing)
 
 
 def _score(model_words: list[str], table: bytes, prior: list[float]):

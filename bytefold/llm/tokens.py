@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 #: Where the vocabulary file lies on every machine; a parameter of each operator.
 DEFAULT_VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -26,3 +31,13 @@ def count_tokens(texts: list[str | None], vocab: str = DEFAULT_VOCAB) -> list[in
     """The number of tokens of each text; null and empty texts have none."""
     encode = encoder(vocab).encode_ordinary
     return [len(encode(t)) if t else 0 for t in texts]
+
+
+def token_counts(documents: DataFrame, vocab: str = DEFAULT_VOCAB) -> DataFrame:
+    """``doc_id, n_tokens`` of ``documents(doc_id, text)``, one row for each row."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(count_tokens(b.column("text").to_pylist(), vocab), pa.int64())], names=["doc_id", "n_tokens"])
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id bigint, n_tokens bigint")

@@ -302,3 +302,28 @@ def test_nothing_else_imports_this_package():
 
     root = pathlib.Path(packing.__file__).parents[1]
     assert not [p for p in root.rglob("*.py") if p.parent.name != "llm" and "bytefold.llm" in p.read_text()]
+
+
+def test_mix_takes_any_source_name_and_bounds_its_patterns(spark):
+    """Names with separators, and fewer patterns told apart than there are: nothing is lost."""
+    rows = [(i, f"text {i % 40} of the sources", ["a|b", "c", "d"][i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    goal = spark.createDataFrame([("a|b", 0.5, 3), ("c", 0.25, 2), ("d", 0.25, 1)], "source string, target_share double, max_repeats int")
+    reports = []
+    for patterns in (1024, 1):
+        chosen, report = mixing.mix_sources(docs, goal, max_patterns=patterns)
+        reports.append({r.source: (r.available_tokens, r.most_repeats) for r in report.collect()})
+        held = {(r[2], r[1]) for r in rows}
+        texts = {r[0]: r[1] for r in rows}
+        assert all((r.source, texts[r.doc_id]) in held for r in chosen.collect()) and chosen.count() > 0
+    assert {s: n for s, (n, _) in reports[0].items()} == {s: n for s, (n, _) in reports[1].items()}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_fill_and_cheapest_flow_agree(seed):
+    rng = random.Random(seed)
+    targets = {s: (0.25, rng.randint(1, 3)) for s in "abcd"}
+    patterns = {p: rng.randint(1, 500) for p in {tuple(sorted(rng.sample("abcd", rng.randint(1, 3)))) for _ in range(8)}}
+    for total in (100, 1000, 5000):
+        net, start, end, _ = mixing._network(patterns, targets, total)
+        assert net.fill(start, end) == mixing.route(patterns, targets, total)[0]
