@@ -105,6 +105,39 @@ def find_all(data: bytes, needle: bytes) -> Iterator[int]:
         at = data.find(needle, at + 1)
 
 
+class Automaton:
+    """Finds many needles in one pass over the data.
+
+    The needles make one regular expression with a lookahead, so that overlapping occurrences are
+    seen; its alternatives are a trie by first byte.  With the package pyahocorasick the automaton
+    is that of Aho and Corasick; both give the same hits.
+    """
+
+    def __init__(self, needles: list[bytes]) -> None:
+        self.machine = self.by_first = None
+        try:
+            import ahocorasick
+        except ImportError:
+            self.by_first = {}
+            for n in needles:
+                self.by_first.setdefault(n[:1], []).append(n)
+            self.pattern = re.compile(b"[" + b"".join(map(re.escape, sorted(self.by_first))) + b"]") if needles else None
+            return
+        self.machine = ahocorasick.Automaton()
+        for n in needles:
+            self.machine.add_word(n.decode("latin-1"), n)
+        self.machine.make_automaton()
+
+    def find(self, data: bytes) -> Iterator[tuple[int, bytes]]:
+        """(offset, needle) of every occurrence."""
+        if self.machine is not None:
+            if len(self.machine):
+                yield from ((end - len(n) + 1, n) for end, n in self.machine.iter(data.decode("latin-1")))
+            return
+        for m in self.pattern.finditer(data) if self.pattern else ():
+            yield from ((m.start(), n) for n in self.by_first[m.group()] if data.startswith(n, m.start()))
+
+
 _PRINTABLE = np.zeros(256, dtype=bool)
 _PRINTABLE[0x20:0x7F] = True
 _PRINTABLE[[0x09, 0x0A, 0x0D]] = True

@@ -118,7 +118,7 @@ def entropy_scan(images: DataFrame, context: Context) -> DataFrame:
     chunks = chunked(images, max(sizes) - 1)
     found = None
     for w in sizes:
-        one = entropy_profile(chunks, w, step).filter(F.col("entropy") >= least).select("dump_id", "off", F.lit(w).alias("length"), (F.col("entropy") / 8.0).alias("confidence"))
+        one = entropy_profile(chunks, w, step).filter(F.col("entropy") >= least).select("dump_id", "off", F.lit(w).alias("length"), (F.round("entropy", 9) / 8.0).alias("confidence"))
         found = one if found is None else found.unionByName(one)
     return merge_overlapping(found).withColumn("label", F.concat(F.lit("high_entropy_"), F.col("length").cast("string"), F.lit("B"))).select(*_COLUMNS)
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytefold.functions.kernels import ascii_strings, find_all, utf8_strings
+from bytefold.functions.kernels import Automaton, as_bytes, ascii_strings, utf8_strings
 
-#: Needles are shipped to every task; a larger set goes through ``contains_join`` in slices.
+#: Needles that are shipped to every task; a table of any size goes through ``contains_join``.
 MAX_NEEDLES = 100_000
+#: Bytes by which needles of a table meet the data.
+PREFIX = 4
 
 
 def needle_halo(needles: list[tuple[str, bytes]]) -> int:
@@ -31,26 +34,12 @@ def _exact(needles: list[tuple[str, bytes]]):
             kinds.setdefault(value, []).append(kind)  # equal values keep all their types
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None
-        if len(kinds) > 8:
-            try:
-                import ahocorasick
-
-                machine = ahocorasick.Automaton()
-                for value in kinds:
-                    machine.add_word(value.decode("latin-1"), value)
-                machine.make_automaton()
-            except ImportError:
-                machine = None
+        machine = Automaton(list(kinds))
         for batch in batches:
             at, kind, off, length = [], [], [], []
             base, sizes = batch.column("base_off").to_pylist(), batch.column("size").to_pylist()
             for i, data in enumerate(batch.column("data").to_pylist()):
-                if machine is not None:
-                    found = ((end - len(v) + 1, v) for end, v in machine.iter(data.decode("latin-1")))
-                else:
-                    found = ((o, v) for v in kinds for o in find_all(data, v))
-                for o, v in found:
+                for o, v in machine.find(data):
                     if o < sizes[i]:
                         for k in kinds[v]:
                             at.append(i)
@@ -70,11 +59,56 @@ def exact_hits(chunks: DataFrame, needles: list[tuple[str, bytes]]) -> DataFrame
     needle has no hit.  Chunks need ``needle_halo`` bytes of halo.
     """
     if len(needles) > MAX_NEEDLES:
-        raise ValueError(f"more than {MAX_NEEDLES} needles")
+        raise ValueError(f"more than {MAX_NEEDLES} needles: put them into a table for contains_join")
     kind = dict(chunks.dtypes)["dump_id"]
     return chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_exact(needles), f"dump_id {kind}, secret_type string, off bigint, length int")
 
 
+def _prefixes(size: int, step_rows: int = 1 << 16):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, sizes = batch.column("base_off").to_pylist(), batch.column("size").to_pylist()
+            for i, data in enumerate(batch.column("data")):
+                values = as_bytes(data.as_buffer()).astype(np.int64)
+                own = min(sizes[i], len(values) - size + 1)
+                if own <= 0:
+                    continue
+                key = sum(values[k : own + k] << (8 * k) for k in range(size))
+                for a in range(0, own, step_rows):
+                    part = key[a : a + step_rows]
+                    off = np.arange(a, a + len(part), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("dump_id").take(pa.array(np.full(len(part), i))), pa.array(np.full(len(part), base[i])), pa.array(off + base[i]), pa.array(part)], names=["dump_id", "base_off", "off", "key"])
+
+    return prefixes
+
+
+def contains_join(chunks: DataFrame, needles: DataFrame, prefix: int = PREFIX) -> DataFrame:
+    """``exact_hits`` for a table of needles ``(secret_type, value)`` of any number.
+
+    Needles of one length of prefix meet the windows of the data that begin with their first bytes
+    by a join on these bytes; only windows whose first bytes occur in the needles leave the scan
+    (a semi join that Catalyst may broadcast), and the rest of a needle is compared in its chunk.
+    Chunks need a halo of the longest needle less one byte.  An empty needle has no hit.
+    """
+    kind = dict(chunks.dtypes)["dump_id"]
+    body = needles.select("secret_type", F.col("value").cast("binary").alias("value")).filter(F.octet_length("value") > 0).distinct()
+    out = None
+    for size in range(1, prefix + 1):
+        part = body.filter(F.octet_length("value") >= size if size == prefix else F.octet_length("value") == size)
+        byte = lambda i: F.conv(F.hex(F.substring("value", i + 1, 1)), 16, 10).cast("bigint")  # noqa: E731, B023
+        keyed = part.withColumn("key", sum((F.shiftleft(byte(i), 8 * i) for i in range(1, size)), byte(0)))
+        found = chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_prefixes(size), f"dump_id {kind}, base_off bigint, off bigint, key bigint")
+        near = found.join(keyed, "key").select("dump_id", "base_off", "off", "secret_type", "value")
+        if size == prefix:  # longer needles are compared with the bytes of their chunk
+            whole = near.filter(F.octet_length("value") == size).select("dump_id", "secret_type", "off", "value")
+            rest = near.filter(F.octet_length("value") > size).join(chunks.select("dump_id", "base_off", "data"), ["dump_id", "base_off"])
+            same = F.substring("data", (F.col("off") - F.col("base_off") + 1).cast("int"), F.octet_length("value")) == F.col("value")
+            near = whole.unionByName(rest.filter(same).select("dump_id", "secret_type", "off", "value"))
+        one = near.select("dump_id", "secret_type", "off", F.octet_length("value").alias("length"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _regex(patterns: list[tuple[str, bytes]]):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(name, re.compile(p, re.DOTALL)) for name, p in patterns]

@@ -128,8 +128,8 @@ def _reduce(points: int, p: Params, pad: int, chunk: int):
                 pieces = []
                 for a, b in zip(lo.tolist(), hi.tolist()):
                     mine = profile[inside & (starts >= base + a) & (starts + p["alignment"] <= base + b)]
-                    tail = base + b > total - p["entropy_window"] - p["alignment"]
-                    pieces.append((base + a, base + b, float(var[pad + a : pad + b].sum()), float(mine.sum(dtype=np.float64)), len(mine), ref["data"][left + a : left + b] if tail else None))
+                    alone = not len(mine)  # its region may hold no point at all; such a piece is short
+                    pieces.append((base + a, base + b, float(var[pad + a : pad + b].sum()), float(mine.sum(dtype=np.float64)), len(mine), ref["data"][left + a : left + b] if alone else None))
                 counts = (size, int(mask[own].sum()), int(dense[own].sum()), int(keep.sum()))
                 out.append((grp, n, no, *counts, None, None, 0.0, 0.0, 0, None))
                 out.extend((grp, n, no, 0, 0, 0, 0, *piece) for piece in pieces)

@@ -1,4 +1,4 @@
-"""Queries on the catalog of dumps, on containers made of it, and the detection algorithms."""
+"""Queries on the catalog of dumps and on containers made of it."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefold.functions.normalize import norm_id
-from bytefold.operators.algorithms import REGISTRY, Context
 from bytefold.operators.intervals import point_join
 from bytefold.operators.nested import read_json
 from bytefold.queries.findings import dumps
-from bytefold.queries.images import texts, vector_images
+from bytefold.queries.images import texts
 from bytefold.session import table
 from bytefold.sources import catalog as K
 from bytefold.sources import container as M
@@ -55,10 +54,11 @@ def dataset_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folder_listing(spark: SparkSession, d: str) -> DataFrame:
-    """Folders first, then files by name: the first page of a listing."""
-    files = _files(spark, d).select(K.base_name(F.col("path")).alias("name"), F.lit(False).alias("is_dir"))
-    folders = _files(spark, d).select(F.element_at(F.split("path", "/"), -2).alias("name"), F.lit(True).alias("is_dir"))
-    return K.browse(folders.unionByName(files).distinct())
+    """The first page of every directory: folders first, then files by name."""
+    files = _files(spark, d).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("directory"), K.base_name(F.col("path")).alias("name"), F.lit(False).alias("is_dir"))
+    parent = F.regexp_extract("path", "^(.*)/[^/]+/[^/]+$", 1)
+    folders = _files(spark, d).select(parent.alias("directory"), F.element_at(F.split("path", "/"), -2).alias("name"), F.lit(True).alias("is_dir"))
+    return K.browse(folders.unionByName(files), 20)
 
 
 def text_digests(spark: SparkSession, d: str) -> DataFrame:
@@ -155,39 +155,9 @@ def container_strings(spark: SparkSession, d: str) -> DataFrame:
     return M.strings(M.blocks(_containers(spark, d))).groupBy("origin").agg(F.count(F.lit(1)).alias("strings"))
 
 
-def _run(name: str, spark: SparkSession, images: DataFrame, **extra) -> DataFrame:
-    return REGISTRY[name].run(images, Context(extra=extra, **{})).withColumn("confidence", F.round("confidence", 4))
-
-
-def entropy_scan(spark: SparkSession, d: str) -> DataFrame:
-    """High-entropy windows of the texts, overlaps merged."""
-    return _run("entropy_scan", spark, texts(spark, d).filter("data is not null"), entropy_threshold=4.3)
-
-
-def change_point(spark: SparkSession, d: str) -> DataFrame:
-    """Key-wide entropy plateaus of the texts."""
-    return _run("change_point", spark, texts(spark, d).filter("data is not null"), entropy_threshold=3.5)
-
-
-def structure_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Known structures in the texts."""
-    return _run("structure_scan", spark, texts(spark, d).filter("data is not null"), entropy_threshold=4.0).groupBy("label").agg(F.count(F.lit(1)).alias("matches"))
-
-
-def pattern_match(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates after a blank that are followed by one."""
-    pattern = {"name": "between_blanks", "key_spec": {"length": 32, "entropy_min": 4.2}, "pattern": {"before": [{"offset": -1, "bytes": "20"}], "after": [{"offset": 32, "bytes": "20", "mask": "df"}]}}
-    return _run("pattern_match", spark, texts(spark, d).filter("data is not null"), patterns=[pattern])
-
-
-def differential(spark: SparkSession, d: str) -> DataFrame:
-    """Key-wide regions that vary within each capture set."""
-    return _run("differential", spark, vector_images(spark, d).select("dump_id", "grp", "data"))
-
-
 _QUERIES = (
     dump_files, canonical_phases, first_of_phase, dataset_summary, folder_listing, text_digests, address_lookup, capture_formats, container_modules, container_regions,
-    container_hints, container_secrets, container_chain, container_report, container_keys, container_strings, entropy_scan, change_point, structure_scan, pattern_match, differential,
+    container_hints, container_secrets, container_chain, container_report, container_keys, container_strings,
 )
 
 
@@ -221,7 +191,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY library, run_number, o IS NULL O
 SELECT dump_id, concat(phase_prefix, '_', coalesce(o, CASE k WHEN 1 THEN 'handshake_end' WHEN 2 THEN 'second_event' ELSE concat('event_', k) END)) AS canonical_phase FROM dfi JOIN k USING (library, run_number, phase_name) WHERE phase_prefix <> 'full'""",
         "first_of_phase": f"WITH {tree} SELECT library, run_number, dump_id FROM dfi WHERE phase_prefix = 'post' AND phase_name = 'handshake' QUALIFY row_number() OVER (PARTITION BY library, run_number ORDER BY timestamp, path) = 1",
         "dataset_summary": f"WITH {tree}, m AS (SELECT library, min(run_number) AS f FROM dfi GROUP BY 1) SELECT library, count(DISTINCT run_number) AS runs, count(*) AS dumps, string_agg(DISTINCT CASE WHEN run_number = f THEN concat(phase_prefix, '_', phase_name) END, ',' ORDER BY CASE WHEN run_number = f THEN concat(phase_prefix, '_', phase_name) END) AS phases FROM dfi JOIN m USING (library) GROUP BY 1",
-        "folder_listing": f"WITH {tree}, e AS (SELECT concat(stamp, '_', base) AS name, false AS is_dir FROM fil UNION SELECT concat(library, '_run_1_', run_number), true FROM fil) SELECT name, is_dir FROM e ORDER BY is_dir DESC, lower(name), name LIMIT 500",
+        "folder_listing": f"""WITH {tree}, e AS (SELECT concat('/data/', library, '/', library, '_run_1_', run_number) AS directory, concat(stamp, '_', base) AS name, false AS is_dir FROM fil UNION SELECT concat('/data/', library), concat(library, '_run_1_', run_number), true FROM fil)
+SELECT *, CAST(row_number() OVER (PARTITION BY directory ORDER BY is_dir DESC, lower(name), name) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY directory) AS total FROM e QUALIFY position < 20""",
         "text_digests": "SELECT doc_id AS path, CAST(octet_length(encode(text)) AS INTEGER) AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
         "address_lookup": "WITH x AS (SELECT gt_id, CAST(i - 1 AS INTEGER) AS pos, dumps[i].va_info.va AS va, dumps[i].va_info.extra.region_start_va AS s, dumps[i].va_info.extra.region_end_va AS e FROM (SELECT *, unnest(generate_series(1, len(dumps))) AS i FROM gt_runs)) SELECT gt_id, pos, va - s AS inside FROM x WHERE va >= s AND va < e",
         "capture_formats": "SELECT x.format AS format, count(*) AS captures, CAST(sum(x.size_bytes) AS BIGINT) AS bytes, CAST(sum(coalesce(len(x.hits_raw), 0)) AS BIGINT) AS hits, round(sum(x.strings_bench.wall_seconds), 6) AS seconds FROM (SELECT unnest(dumps) AS x FROM gt_runs) WHERE x IS NOT NULL GROUP BY 1",
@@ -232,5 +203,18 @@ SELECT dump_id, concat(phase_prefix, '_', coalesce(o, CASE k WHEN 1 THEN 'handsh
 x AS (SELECT dump_id, unnest(r) AS j FROM o), h AS (SELECT dump_id, list_filter({els('$.key_hints')}, lambda e: json_type(e) = 'OBJECT') AS h FROM x WHERE json_type(j) = 'OBJECT'),
 n AS (SELECT dump_id, count(*) AS regions, CAST(sum(len(h)) AS BIGINT) AS hints FROM h GROUP BY 1)
 SELECT o.dump_id, coalesce(n.regions, 0) AS regions, len(list_filter(m, lambda e: json_type(e) = 'OBJECT')) AS modules, coalesce(n.hints, 0) AS key_hints, 2 * coalesce(n.regions, 0) AS captured_pages FROM o LEFT JOIN n USING (dump_id)""",
+        "container_secrets": f"""WITH {meta}, r AS (SELECT dump_id, list_filter({els('$.regions')}, lambda e: json_type(e) = 'OBJECT') AS r FROM obj WHERE json_type(j) = 'OBJECT'),
+m AS (SELECT dump_id, unnest(r) AS j, generate_subscripts(r, 1) - 1 AS n FROM r),
+h AS (SELECT dump_id, n, unnest({els('$.key_hints')}) AS x FROM m),
+o AS (SELECT DISTINCT dump_id, n, CAST(coalesce(trim(x ->> '$.offset'), '0') AS BIGINT) % 900 AS o FROM h WHERE json_type(x) = 'OBJECT')
+SELECT DISTINCT dump_id, 'SESSION_KEY' AS secret_type, 'TLS' AS protocol, string_agg(format('{{:02x}}', CAST((n + o + i) % 256 AS INTEGER)), '' ORDER BY i) AS value FROM o, (SELECT unnest(generate_series(0, 31)) AS i) GROUP BY dump_id, n, o""",
+        "container_keys": f"""WITH {meta}, r AS (SELECT dump_id, len(list_filter({els('$.regions')}, lambda e: json_type(e) = 'OBJECT')) AS n FROM obj WHERE json_type(j) = 'OBJECT')
+SELECT concat('anon:ANONYMOUS:0xc00:', k) AS region_key, count(*) AS dumps FROM (SELECT dump_id, unnest(generate_series(0, n - 1)) AS k FROM r) GROUP BY 1""",
+        "container_strings": f"""WITH {meta}, o AS (SELECT dump_id, j, list_filter({els('$.regions')}, lambda e: json_type(e) = 'OBJECT') AS r, list_filter({els('$.modules')}, lambda e: json_type(e) = 'OBJECT') AS m FROM obj WHERE json_type(j) = 'OBJECT'),
+g AS (SELECT dump_id, unnest(r) AS x, generate_subscripts(r, 1) - 1 AS n FROM o),
+b AS (SELECT dump_id, n, page, i, (n + i) % 256 AS v FROM g, (SELECT unnest(generate_series(0, 1023)) AS i), (SELECT unnest([0, 2]) AS page)),
+s AS (SELECT dump_id, n, page, count(*) AS c FROM (SELECT *, i - row_number() OVER (PARTITION BY dump_id, n, page ORDER BY i) AS k FROM b WHERE v BETWEEN 32 AND 126 OR v IN (9, 10, 13)) GROUP BY dump_id, n, page, k HAVING count(*) >= 4)
+SELECT 'region' AS origin, count(*) AS strings FROM s UNION ALL SELECT 'module', count(*) FROM (SELECT unnest(m) AS x FROM o) WHERE length(x ->> '$.path') >= 4
+UNION ALL SELECT 'process', count(*) FROM o WHERE json_type(j -> '$.tool') = 'OBJECT' AND length(j ->> '$.tool.name') >= 4""",
         "container_chain": f"WITH {meta} SELECT true AS valid, count(*) AS containers FROM obj WHERE json_type(j) = 'OBJECT'",
     }

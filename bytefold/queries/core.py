@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytefold.queries import catalog, findings, images, store
+from bytefold.queries import catalog, detect, findings, images, store
 
-_MODULES = [store, images, findings, catalog]
+_MODULES = [store, images, findings, catalog, detect]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from bytefold.operators import hits as H
 from bytefold.operators import intervals as I
 from bytefold.session import table
 from bytefold.sources import catalog as K
-from bytefold.streaming.sessions import in_ring
+from bytefold.streaming.sessions import idle_sessions, in_ring
 
 
 def findings(spark: SparkSession, d: str) -> DataFrame:
@@ -178,15 +178,6 @@ def aes_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Per task: events kept in a ring of 20, and those of them after sequence number 10."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), "seq", "delivery_id").filter("task_id is not null and seq is not null")
-    n = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("seq"), "delivery_id"))
-    return rows.withColumn("n", n).filter("n <= 20").groupBy("task_id").agg(F.count(F.lit(1)).alias("kept"), F.sum((F.col("seq") > 10).cast("bigint")).alias("replayed"))
-
-
-def event_replay_ring(spark: SparkSession, d: str) -> DataFrame:
     """Per task: distinct messages, those kept in the reference's ring, those of them after sequence number 10."""
     rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), "seq", F.coalesce(F.lower(trimmed("type")), F.lit("\x00")).alias("type"), "received_at", "delivery_id").filter("task_id is not null and seq is not null")
     messages = rows.groupBy("task_id").agg(F.count_distinct("seq", "type").alias("messages"))
@@ -196,9 +187,8 @@ def event_replay_ring(spark: SparkSession, d: str) -> DataFrame:
 
 def idle_tasks(spark: SparkSession, d: str) -> DataFrame:
     """Tasks without an event for 90 days before the newest event."""
-    rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), micros_of("received_at").alias("at")).filter("task_id is not null")
-    newest = rows.agg(F.max("at")).scalar()
-    return rows.groupBy("task_id").agg(F.max("at").alias("last_at")).filter(F.col("last_at") < newest - 90 * 86_400_000_000)
+    rows = table(spark, d, "nsweep_events").select(norm_id("task_id").alias("task_id"), F.timestamp_micros(micros_of("received_at")).alias("at")).filter("task_id is not null")
+    return idle_sessions(rows, 90 * 86_400, "at").select("task_id", F.unix_micros("last_at").alias("last_at"))
 
 
 def survivors_by_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +208,7 @@ def downsample(spark: SparkSession, d: str) -> DataFrame:
 _QUERIES = (
     hit_key_candidates, hit_cross_library, hit_offset_variance, hit_summary, hit_presence, phase_presence, hit_rollup, detection_metrics, confidence_rollup,
     findings_by_type, findings_timeline, run_view, project_timeline, run_metadata, secrets, hits_in_regions, overlapping_regions, owner_lookup, view_offsets,
-    common_types, unresolved_dumps, aes_check, event_replay, event_replay_ring, idle_tasks, survivors_by_stage, downsample,
+    common_types, unresolved_dumps, aes_check, event_replay, idle_tasks, survivors_by_stage, downsample,
 )
 
 
@@ -284,8 +274,9 @@ FROM fnd f LEFT JOIN ent e ON e.run_id = f.run_id AND e.off <= f.off WHERE f.run
         "common_types": f"{w} SELECT secret_type FROM hit WHERE library IS NOT NULL AND secret_type IS NOT NULL GROUP BY 1 HAVING count(DISTINCT library) = (SELECT count(DISTINCT library) FROM hit WHERE secret_type IS NOT NULL)",
         "unresolved_dumps": f"{w} SELECT run_id, rn.dump_id, file_path FROM rn LEFT JOIN dmp USING (dump_id) WHERE rn.dump_id IS NOT NULL",
         "aes_check": f"{w} SELECT true AS own, false AS other, count(DISTINCT value) AS keys FROM fnd WHERE length(value) = 64",
-        "event_replay": f"""SELECT task_id, count(*) AS kept, CAST(sum(CASE WHEN seq > 10 THEN 1 ELSE 0 END) AS BIGINT) AS replayed FROM (SELECT {_id('task_id')} AS task_id, seq FROM nsweep_events WHERE {_id('task_id')} IS NOT NULL AND seq IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY {_id('task_id')} ORDER BY seq DESC, delivery_id) <= 20) GROUP BY 1""",
+        "event_replay": f"""WITH m AS (SELECT DISTINCT {_id('task_id')} AS task_id, seq, coalesce(lower(trim(type)), chr(0)) AS type FROM nsweep_events WHERE {_id('task_id')} IS NOT NULL AND seq IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC, type DESC) AS n FROM m)
+SELECT task_id, count(*) AS messages, count(*) FILTER (WHERE n <= 512) AS kept, count(*) FILTER (WHERE n <= 512 AND seq > 10) AS replayed FROM r GROUP BY 1""",
         "idle_tasks": f"""SELECT {_id('task_id')} AS task_id, max(epoch_us(received_at)) AS last_at FROM nsweep_events WHERE {_id('task_id')} IS NOT NULL GROUP BY 1 HAVING max(epoch_us(received_at)) < (SELECT max(epoch_us(received_at)) FROM nsweep_events WHERE {_id('task_id')} IS NOT NULL) - 90 * 86400000000""",
         "survivors_by_stage": "SELECT lower(trim(type)) AS kind, stage, count(*) AS events, round(avg(pct) FILTER (WHERE pct >= 0), 6) AS mean_pct FROM nsweep_events GROUP BY 1, 2",
         "downsample": f"{w} SELECT run_id, entry_id FROM ent QUALIFY (row_number() OVER (PARTITION BY run_id ORDER BY off, entry_id) - 1) % 16 = 0",

@@ -18,13 +18,12 @@ from bytefold.operators import runs as R
 from bytefold.operators import search as S
 from bytefold.operators.chunks import bytes_of, chunked
 from bytefold.plans import convergence as V
-from bytefold.plans.funnel import CONVERGENCE_NS, nsweep, reduce_images
+from bytefold.plans.funnel import CONVERGENCE_NS, brute_force, candidate_slices, held_images, neighborhood, nsweep, reduce_images
 from bytefold.plans.patterns import pattern_columns
 from bytefold.session import table
 
 CHUNK = 1 << 16
 NEEDLES = [("term_entropy", b"entropy scan"), ("term_keys", b"session keys"), ("term_table", b"table"), ("term_overlap", b"0000"), ("term_cfg", b"in der "), ("term_hex", b"0x")]
-NS = [2, 3, 5, 10, 20]
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +122,7 @@ def longest_run(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inferred_fields(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(R.infer_fields(_sets(spark, d), ["grp"], F.lit(16), F.lit(16)), "mean_variance", digits=2).drop("mean_variance")
+    return _rounded(R.infer_fields(_sets(spark, d), ["grp"], F.lit(16), F.lit(16)), "mean_variance", digits=1)
 
 
 def top_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -134,36 +133,18 @@ def top_offsets(spark: SparkSession, d: str) -> DataFrame:
 def neighborhoods(spark: SparkSession, d: str) -> DataFrame:
     """Variance around the most variable offset of each set."""
     rows = _sets(spark, d)
-    best = rows.groupBy("grp").agg(F.max_by("off", F.struct("variance", -F.col("off"))).alias("hit_off"))
-    span = best.select("grp", "hit_off", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("hit_off") - 4), F.col("hit_off") + 4)).alias("off"))
-    return _rounded(span.join(rows.select("grp", "off", "variance"), ["grp", "off"]).select("grp", "hit_off", "off", "variance"), "variance")
+    best = rows.groupBy("grp").agg(F.max_by("off", F.struct("variance", -F.col("off"))).alias("off")).withColumn("size", F.lit(1))
+    near = neighborhood(rows, best, 4)
+    return near.select("grp", "hit_off", "start", F.transform("variances", lambda x: F.round(x, 6)).alias("variances")).select("grp", "hit_off", F.posexplode("variances").alias("i", "variance"), "start").select("grp", "hit_off", (F.col("start") + F.col("i")).alias("off"), "variance")
 
 
 def prefix_variances(spark: SparkSession, d: str) -> DataFrame:
-    """Variance per label over its first N images, for every N."""
-    rows = vectors(spark, d)
-    order = rows.select("label", "vec_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    return _rounded(V.prefix_variance(rows.join(order, ["label", "vec_id"]), ["label"], NS), "variance")
-
-
-def convergence(spark: SparkSession, d: str) -> DataFrame:
-    """Precision and recall of three candidate sets by number of images, offsets 16 to 31 being true."""
-    rows = vectors(spark, d)
-    order = rows.select("label", "vec_id").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    ranked = rows.join(order, ["label", "vec_id"])
-    bright = ranked.filter("rank = 1 and v >= 100").select("label", "off")
-    truth = rows.filter(F.col("off").between(16, 31)).select("label", "off").distinct()
-    out = V.convergence(V.prefix_variance(ranked, ["label"], NS), bright, truth, NS, ["label"], 8, 4, 0.5)
-    return _rounded(out, "precision", "recall", "f1")
-
-
-def prefix_variances_whole(spark: SparkSession, d: str) -> DataFrame:
     """Variance per label over its first N images, for every N of the reference and for all its images."""
     return _rounded(V.prefix_variance(_ranked_bytes(spark, d), ["label"], CONVERGENCE_NS, whole=True), "variance")
 
 
-def convergence_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The query convergence with every N of the reference and all images of a label."""
+def convergence(spark: SparkSession, d: str) -> DataFrame:
+    """Precision and recall of three candidate sets by number of images, offsets 16 to 31 being true."""
     ranked = _ranked_bytes(spark, d)
     bright = ranked.filter("rank = 1 and v >= 100").select("label", "off")
     truth = ranked.filter(F.col("off").between(16, 31)).select("label", "off").distinct()
@@ -217,7 +198,11 @@ def entropy_bands(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entropy_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(E.entropy_stats(_profile(spark, d), ["dump_id"]).select("dump_id", "min_entropy", "max_entropy", "mean_entropy", "points", F.size("sample").alias("sampled")), "min_entropy", "max_entropy", "mean_entropy")
+    """Least, largest and mean entropy of each text with the sum of its sampled points' offsets and entropies."""
+    rows = E.entropy_stats(_profile(spark, d), ["dump_id"])
+    total = lambda f: F.aggregate("sample", F.lit(0.0), lambda a, x: a + x[f].cast("double"))
+    out = rows.select("dump_id", "min_entropy", "max_entropy", "mean_entropy", "points", F.size("sample").alias("sampled"), total("off").cast("bigint").alias("sample_offsets"), total("entropy").alias("sample_entropy"))
+    return _rounded(out, "min_entropy", "max_entropy", "mean_entropy", "sample_entropy", digits=5)
 
 
 def high_entropy_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -246,30 +231,36 @@ def aligned_block_set(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exact_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Occurrences of the needles per document."""
-    return S.exact_hits(chunked(texts(spark, d), S.needle_halo(NEEDLES)), NEEDLES).groupBy("dump_id", "secret_type").agg(F.count(F.lit(1)).alias("hits"))
+    """Every occurrence of the needles with its offset."""
+    return S.exact_hits(chunked(texts(spark, d), S.needle_halo(NEEDLES)), NEEDLES)
+
+
+def needle_join(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the needles in a table, joined by their first bytes."""
+    needles = spark.createDataFrame([(k, bytearray(v)) for k, v in NEEDLES], "secret_type string, value binary")
+    return S.contains_join(chunked(texts(spark, d), S.needle_halo(NEEDLES)), needles)
 
 
 def static_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the needles that touch no run of digits."""
     hits = S.exact_hits(chunked(texts(spark, d), S.needle_halo(NEEDLES)), NEEDLES)
     digits = R.islands(_digits(spark, d), ["dump_id"]).select("dump_id", "start", "end")
-    return S.hits_in_static(hits, digits, ["dump_id"]).groupBy("dump_id", "secret_type").agg(F.count(F.lit(1)).alias("hits"))
+    return S.hits_in_static(hits, digits, ["dump_id"])
 
 
 def regex_hits(spark: SparkSession, d: str) -> DataFrame:
     """Non-overlapping matches of a user's pattern."""
-    found = S.regex_search(texts(spark, d), [("offset", "0x[0-9a-f]+"), ("broken", "("), ("empty", "")])
-    return found.groupBy("dump_id", "label").agg(F.count(F.lit(1)).alias("matches"), F.sum("length").alias("bytes"))
+    return S.regex_search(texts(spark, d), [("offset", "0x[0-9a-f]+"), ("broken", "("), ("empty", "")])
 
 
 def ascii_strings(spark: SparkSession, d: str) -> DataFrame:
     """Printable runs of 4 or more bytes."""
-    return S.strings_of(texts(spark, d)).groupBy("dump_id").agg(F.count(F.lit(1)).alias("strings"), F.sum("length").cast("bigint").alias("bytes"))
+    return S.strings_of(texts(spark, d))
 
 
 def utf8_strings(spark: SparkSession, d: str) -> DataFrame:
-    return S.strings_of(texts(spark, d), 4, "utf-8").groupBy("dump_id").agg(F.count(F.lit(1)).alias("strings"), F.sum("length").cast("bigint").alias("bytes"), F.sum(F.length("value")).cast("bigint").alias("characters"))
+    """Runs of 4 or more printable or multi-byte characters."""
+    return S.strings_of(texts(spark, d), 4, "utf-8").select("dump_id", "off", "length", F.length("value").alias("characters"), F.md5("value").alias("digest"))
 
 
 def hex_dump(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +279,10 @@ def funnel_stages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def funnel_regions(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(reduce_images(_ranked(spark, d), CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1], "mean_entropy", "mean_variance", digits=4)
+    """The regions that the funnel leaves, per label and number of images."""
+    regions = reduce_images(_ranked(spark, d), CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1]
+    # Means of integers lie halfway between two roundings at times: a millionth up decides these alike everywhere.
+    return _rounded(regions.withColumn("mean_variance", F.col("mean_variance") + 1e-6), "mean_entropy", "mean_variance", digits=4)
 
 
 def sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -296,6 +290,14 @@ def sweep(spark: SparkSession, d: str) -> DataFrame:
     return nsweep(_ranked(spark, d), CONVERGENCE_NS, lambda: lambda value: 0 not in value, (16,), 8, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)
 
 
+def first_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The first slice without a zero byte of each label and N, by offset and size."""
+    images = _ranked(spark, d)
+    regions = reduce_images(images, CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1]
+    slices = candidate_slices(regions, held_images(images).filter("rank = 1").select("grp", "data"), [16, 8], 8)
+    return brute_force(slices, lambda: lambda value: 0 not in value, exhaustive=False).select("grp", "n", "off", "size", F.lower(F.hex("value")).alias("value"))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     images = vector_images(spark, d)
     return images.select(F.col("label").cast("string").alias("grp"), F.row_number().over(Window.partitionBy("label").orderBy("dump_id")).alias("rank"), "dump_id", "data")
@@ -303,9 +305,9 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     consensus_variance, consensus_by_set, consensus_by_label, welford_merge, variance_class_counts, variance_summary, variance_bands, static_runs, volatile_runs,
-    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, prefix_variances_whole, convergence_whole, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
-    entropy_profile, entropy_bands, entropy_stats, high_entropy_regions, entropy_coverage, aligned_block_filter, aligned_block_set, exact_hits, static_hits,
-    regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, sweep,
+    merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
+    entropy_profile, entropy_bands, entropy_stats, high_entropy_regions, entropy_coverage, aligned_block_filter, aligned_block_set, exact_hits, needle_join, static_hits,
+    regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, sweep, first_hits,
 )
 
 
@@ -339,6 +341,44 @@ cnt AS (SELECT w.doc_id, w.w, v, count(*) AS c FROM win w JOIN siz s USING (doc_
 pro AS (SELECT doc_id AS dump_id, w AS off, round(greatest(0, 5 - sum(c * log2(c)) / 32), 9) AS entropy FROM cnt GROUP BY ALL)"""
 
 
+_NS = f"""k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
+z AS (SELECT label, max(rank) AS size FROM k GROUP BY 1),
+n AS (SELECT DISTINCT label, n FROM (SELECT label, size, unnest({CONVERGENCE_NS} || [size]) AS n FROM z) WHERE n <= size)"""
+
+#: The whole funnel on images of 64 bytes: variance, dense blocks, covered bytes, regions with their means.
+_FUNNEL = f"""WITH {_VEC}, {_NS},
+vr AS (SELECT label, n, off, CASE WHEN n < 3 THEN 0 ELSE CAST(n * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (n * n) END AS variance FROM vec JOIN k USING (label, vec_id) JOIN n USING (label) WHERE rank <= n GROUP BY label, n, off),
+ma AS (SELECT *, n < 3 OR variance >= 500 AS m FROM vr),
+gr AS (SELECT unnest(generate_series(0, 32, 8)) AS w),
+bl AS (SELECT label, n, w FROM ma JOIN gr ON off BETWEEN w AND w + 31 WHERE m GROUP BY ALL HAVING count(*) >= 16),
+ref AS (SELECT label, off, v FROM vec JOIN k USING (label, vec_id) WHERE rank = 1),
+pro AS (SELECT label, w, greatest(0, 5 - sum(c * log2(c)) / 32) AS e FROM (SELECT label, w, v, count(*) AS c FROM ref JOIN gr ON off BETWEEN w AND w + 31 GROUP BY ALL) GROUP BY 1, 2),
+cov AS (SELECT DISTINCT label, off FROM ref JOIN pro USING (label) WHERE round(e, 9) >= 4.0 AND off BETWEEN w AND w + 31),
+kep AS (SELECT a.*, m AND b.off IS NOT NULL AS dense, m AND b.off IS NOT NULL AND c.off IS NOT NULL AS keep FROM ma a
+  LEFT JOIN (SELECT DISTINCT label, n, off FROM ma JOIN bl USING (label, n) WHERE off BETWEEN w AND w + 31) b USING (label, n, off) LEFT JOIN cov c USING (label, off)),
+isl AS (SELECT label, n, min(off) AS start, max(off) + 1 AS stop, count(*) AS length, avg(variance) AS mean_variance FROM (SELECT *, off - row_number() OVER (PARTITION BY label, n ORDER BY off) AS g FROM kep WHERE keep) GROUP BY label, n, g HAVING count(*) >= 8),
+own AS (SELECT label, n, start, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e FROM (SELECT i.label, n, start, v, count(*) AS c FROM isl i JOIN ref r ON r.label = i.label AND off >= start AND off < stop GROUP BY ALL) GROUP BY 1, 2, 3),
+reg AS (SELECT i.*, coalesce(p.e, o.e) AS mean_entropy FROM isl i JOIN own o USING (label, n, start)
+  LEFT JOIN (SELECT i.label, n, start, avg(e) AS e FROM isl i JOIN pro p ON p.label = i.label AND w >= start AND w + 8 <= stop GROUP BY 1, 2, 3) p USING (label, n, start))
+"""
+_SLICES = """,
+sli AS (SELECT r.label, r.n, r.off, r.size, count(*) FILTER (WHERE v = 0) = 0 AS hit, string_agg(format('{{:02x}}', v), '' ORDER BY f.off) AS value
+  FROM (SELECT label, n, stop, size, unnest(generate_series(CAST(ceil(start / 8) * 8 AS BIGINT), stop - size, 8)) AS off FROM reg, (SELECT unnest([{sizes}]) AS size)) r
+  JOIN ref f ON f.label = r.label AND f.off >= r.off AND f.off < r.off + r.size GROUP BY 1, 2, 3, 4)"""
+
+
+def _hits() -> str:
+    """Every occurrence of the needles: by the pieces between them, and by windows for the one that overlaps itself."""
+    parts = []
+    for kind, value in NEEDLES:
+        v, size = value.decode(), len(value)
+        if kind == "term_overlap":
+            parts.append(f"SELECT doc_id AS dump_id, '{kind}' AS secret_type, off, {size} AS length FROM (SELECT doc_id, off, v, lead(v, 1) OVER w AS a, lead(v, 2) OVER w AS b, lead(v, 3) OVER w AS c FROM byt WINDOW w AS (PARTITION BY doc_id ORDER BY off)) WHERE v = 48 AND a = 48 AND b = 48 AND c = 48")
+        else:
+            parts.append(f"SELECT doc_id AS dump_id, '{kind}' AS secret_type, CAST(sum(strlen(p)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {size} AS BIGINT) AS off, {size} AS length FROM (SELECT doc_id, unnest(string_split(text, '{v}')) AS p, generate_subscripts(string_split(text, '{v}'), 1) AS i, len(string_split(text, '{v}')) AS m FROM documents WHERE contains(text, '{v}')) QUALIFY i < m")
+    return " UNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     profile = f"WITH {_BYTES}, {_prof(16)}"
     ents = """ent AS (SELECT doc_id, count(*) AS c FROM byt GROUP BY doc_id, v)"""
@@ -346,8 +386,7 @@ def oracle_sql() -> dict[str, str]:
 den AS (SELECT doc_id, s FROM spr GROUP BY ALL HAVING count(*) >= {need})
 SELECT doc_id AS dump_id, count(DISTINCT off) AS kept FROM spr SEMI JOIN den USING (doc_id, s) GROUP BY 1"""
     dig = "dig AS (SELECT doc_id, off FROM byt WHERE v BETWEEN 48 AND 57)"
-    needle = " UNION ALL ".join(f"SELECT doc_id AS dump_id, '{k}' AS secret_type, CAST((length(text) - length(replace(text, '{v.decode()}', ''))) / {len(v)} AS BIGINT) AS hits FROM documents WHERE contains(text, '{v.decode()}')" for k, v in NEEDLES if k != "term_overlap")
-    overlap = "SELECT doc_id AS dump_id, 'term_overlap' AS secret_type, count(*) AS hits FROM (SELECT doc_id, v, lead(v, 1) OVER w AS a, lead(v, 2) OVER w AS b, lead(v, 3) OVER w AS c FROM byt WINDOW w AS (PARTITION BY doc_id ORDER BY off)) WHERE v = 48 AND a = 48 AND b = 48 AND c = 48 GROUP BY 1"
+    hits = f"hits AS ({_hits()})"
     clean = "upper(replace(value_hex, ' ', ''))"
     magic = {"elf": "7F454C46", "macho64_le": "CFFAEDFE", "macho32_le": "CEFAEDFE", "macho64_be": "FEEDFACF", "macho32_be": "FEEDFACE", "msl": "4D454D534C494345", "sqlite3": "53514C69746520666F726D6174203300", "gzip": "1F8B", "zip": "504B0304", "png": "89504E470D0A1A0A", "pdf": "25504446"}
     cases = " ".join(f"WHEN starts_with(h, '{m}') THEN '{n}'" for n, m in magic.items())
@@ -369,25 +408,25 @@ SELECT grp, min(start) AS start, max("end") AS "end", max("end") - min(start) AS
         "longest_run": f"""{_SETS}, {_RUNS.format(cond='class = 3')} SELECT grp, start, "end", length FROM runs QUALIFY row_number() OVER (PARTITION BY grp ORDER BY length DESC, start) = 1""",
         "inferred_fields": f"""{_SETS},
 r AS (SELECT *, CASE WHEN off >= 16 AND off < 32 THEN 'key' WHEN variance <= 2000 THEN 'static' ELSE 'dynamic' END AS role FROM con),
-i AS (SELECT grp, role, min(off) AS start, max(off) + 1 AS "end", count(*) AS length FROM (SELECT *, off - row_number() OVER (PARTITION BY grp, role ORDER BY off) AS g FROM r) GROUP BY grp, role, g)
+i AS (SELECT grp, role, min(off) AS start, max(off) + 1 AS "end", count(*) AS length, round(round(avg(variance), 2), 1) AS mean_variance FROM (SELECT *, off - row_number() OVER (PARTITION BY grp, role ORDER BY off) AS g FROM r) GROUP BY grp, role, g)
 SELECT *, concat(role, '_', row_number() OVER (PARTITION BY grp, role ORDER BY start) - 1) AS label FROM i""",
         "top_offsets": f"WITH {_VEC}, {_con('')} SELECT off, round(variance, 6) AS variance FROM con ORDER BY variance DESC, off LIMIT 5",
         "neighborhoods": f"""{_SETS}, b AS (SELECT grp, off AS hit_off FROM con QUALIFY row_number() OVER (PARTITION BY grp ORDER BY variance DESC, off) = 1)
 SELECT grp, hit_off, off, round(variance, 6) AS variance FROM b JOIN con USING (grp) WHERE off BETWEEN hit_off - 4 AND hit_off + 4""",
-        "prefix_variances": f"""WITH {_VEC}, k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings), n AS (SELECT unnest({NS}) AS n)
-SELECT label, off, n, round(CAST(n * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (n * n), 6) AS variance FROM vec JOIN k USING (label, vec_id) JOIN n ON rank <= n GROUP BY label, off, n HAVING count(*) = n""",
-        "convergence": f"""WITH {_VEC}, k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings), n AS (SELECT unnest({NS}) AS n),
-p AS (SELECT label, off, n FROM vec JOIN k USING (label, vec_id) JOIN n ON rank <= n GROUP BY ALL HAVING count(*) = n AND var_pop(v) > 3000),
+        "prefix_variances": f"""WITH {_VEC}, {_NS}
+SELECT label, off, CAST(n AS INTEGER) AS n, round(CAST(n * sum(v * v) - sum(v) * sum(v) AS DOUBLE) / (n * n), 6) AS variance FROM vec JOIN k USING (label, vec_id) JOIN n USING (label) WHERE rank <= n GROUP BY label, off, n HAVING count(*) = n""",
+        "convergence": f"""WITH {_VEC}, {_NS},
+p AS (SELECT label, off, n FROM vec JOIN k USING (label, vec_id) JOIN n USING (label) WHERE rank <= n GROUP BY ALL HAVING count(*) = n AND var_pop(v) > 3000),
 c AS (SELECT p.* FROM p JOIN (SELECT label, off FROM vec JOIN k USING (label, vec_id) WHERE rank = 1 AND v >= 100) USING (label, off)),
 lo AS (SELECT label, n, min(off) // 4 * 4 AS lo FROM c GROUP BY 1, 2),
 s AS (SELECT label, n, off, unnest(generate_series(greatest(lo, ((off - 8) // 4 + CASE WHEN (off - 8) % 4 < 0 THEN 0 ELSE 1 END) * 4), off // 4 * 4, 4)) AS s FROM c JOIN lo USING (label, n)),
 a AS (SELECT DISTINCT label, off, n FROM s SEMI JOIN (SELECT label, n, s FROM s GROUP BY ALL HAVING count(*) >= 4) USING (label, n, s)),
 f AS (SELECT *, 'variance' AS candidates FROM p UNION ALL SELECT *, 'combined' FROM c UNION ALL SELECT *, 'aligned' FROM a),
-t AS (SELECT label, off, n, candidates FROM (SELECT DISTINCT label FROM embeddings), (SELECT unnest(generate_series(16, 31)) AS off), n, (SELECT unnest(['variance', 'combined', 'aligned']) AS candidates)),
+t AS (SELECT label, off, n, candidates FROM n, (SELECT unnest(generate_series(16, 31)) AS off), (SELECT unnest(['variance', 'combined', 'aligned']) AS candidates)),
 m AS (SELECT label, n, candidates, count(*) FILTER (WHERE f.off IS NOT NULL AND t.off IS NOT NULL) AS tp, count(*) FILTER (WHERE t.off IS NULL) AS fp, count(*) FILTER (WHERE f.off IS NULL) AS fn
   FROM (SELECT *, off AS o FROM f) f FULL JOIN (SELECT *, off AS o FROM t) t USING (label, n, candidates, o) GROUP BY 1, 2, 3),
 q AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM m)
-SELECT label, n, candidates, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM q""",
+SELECT label, CAST(n AS INTEGER) AS n, candidates, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM q""",
         "xor_diff": f"WITH {_VEC} SELECT a.vec_id, count(*) AS compared, sum(CASE WHEN xor(a.v, b.v) <> 0 THEN 1 ELSE 0 END)::BIGINT AS different, round(sum(CASE WHEN a.v <> b.v THEN 100.0::DOUBLE ELSE 0 END) / count(*), 6) AS percent FROM vec a JOIN vec b ON b.vec_id = a.vec_id + 1 AND a.off = b.off GROUP BY a.vec_id",
         "static_mask": f"WITH {_VEC} SELECT grp, off, min(v) = max(v) AS is_static FROM vec GROUP BY grp, off",
         "byte_roles": f"WITH {_VEC} SELECT grp, off, CASE WHEN off >= 16 AND off < 32 THEN 'key' WHEN min(v) = max(v) THEN 'same' ELSE 'different' END AS role FROM vec GROUP BY grp, off",
@@ -396,17 +435,31 @@ SELECT grp, CAST(count(*) AS INTEGER) AS length, string_agg(CASE WHEN s THEN for
         "text_entropy": f"WITH {_BYTES}, {ents} SELECT d.doc_id AS dump_id, round(coalesce(log2(sum(c)) - sum(c * log2(c)) / sum(c), 0) + 0.0, 6) AS entropy FROM documents d LEFT JOIN ent USING (doc_id) GROUP BY 1",
         "entropy_profile": f"{profile} SELECT dump_id, off, round(entropy, 6) AS entropy FROM pro",
         "entropy_bands": f"WITH {_BYTES}, {_prof(1)} SELECT CASE WHEN entropy < 2 THEN 'low' WHEN entropy < 5 THEN 'medium' WHEN entropy < 7 THEN 'high' ELSE 'random' END AS band, count(*) AS windows FROM pro GROUP BY 1",
-        "entropy_stats": f"{profile}, z AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY off) - 1 AS i, count(*) OVER (PARTITION BY dump_id) AS n FROM pro) SELECT dump_id, round(min(entropy), 6) AS min_entropy, round(max(entropy), 6) AS max_entropy, round(avg(entropy), 6) AS mean_entropy, count(*) AS points, CAST(count(*) FILTER (WHERE i % greatest(1, n // 200) = 0) AS INTEGER) AS sampled FROM z GROUP BY 1",
+        "entropy_stats": f"{profile}, z AS (SELECT *, row_number() OVER (PARTITION BY dump_id ORDER BY off) - 1 AS i, count(*) OVER (PARTITION BY dump_id) AS n FROM pro) SELECT dump_id, round(min(entropy), 5) AS min_entropy, round(max(entropy), 5) AS max_entropy, round(avg(entropy), 5) AS mean_entropy, count(*) AS points, CAST(count(*) FILTER (WHERE i % greatest(1, n // 200) = 0) AS INTEGER) AS sampled, CAST(sum(off) FILTER (WHERE i % greatest(1, n // 200) = 0) AS BIGINT) AS sample_offsets, round(sum(entropy) FILTER (WHERE i % greatest(1, n // 200) = 0), 5) AS sample_entropy FROM z GROUP BY 1",
         "high_entropy_regions": f"""{profile}, l AS (SELECT dump_id, max(off) AS last FROM pro GROUP BY 1),
 r AS (SELECT dump_id, min(off) AS start, max(off) + 16 AS e, avg(entropy) AS me FROM (SELECT *, off // 16 - row_number() OVER (PARTITION BY dump_id ORDER BY off) AS g FROM pro WHERE entropy >= 4.0) GROUP BY dump_id, g)
 SELECT dump_id, start, least(e, last) AS "end", round(me, 6) AS mean_entropy FROM r JOIN l USING (dump_id) WHERE least(e, last) - start >= 32""",
         "entropy_coverage": f"{profile} SELECT dump_id, count(DISTINCT off + k) AS covered FROM pro, (SELECT unnest(generate_series(0, 31)) AS k) WHERE entropy >= 4.0 GROUP BY 1",
         "aligned_block_filter": f"WITH {_BYTES}, siz AS (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1), {dig}, " + blocks.format(low="0", a=8, high="least(off // 8 * 8, CASE WHEN n >= 32 THEN (n - 32) // 8 * 8 ELSE -1 END)", need=8),
         "aligned_block_set": f"WITH {_BYTES}, {dig}, siz AS (SELECT doc_id, min(off) // 16 * 16 AS lo FROM dig GROUP BY 1), " + blocks.format(low="lo", a=16, high="off // 16 * 16", need=16),
-        "exact_hits": f"WITH {_BYTES} {needle} UNION ALL {overlap}",
-        "regex_hits": "SELECT doc_id AS dump_id, 'offset' AS label, count(*) AS matches, CAST(sum(length(m)) AS BIGINT) AS bytes FROM (SELECT doc_id, unnest(regexp_extract_all(text, '0x[0-9a-f]+')) AS m FROM documents) GROUP BY 1",
-        "ascii_strings": "SELECT doc_id AS dump_id, count(*) AS strings, CAST(sum(length(m)) AS BIGINT) AS bytes FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x20-\\x7e\\t\\n\\r]{4,}')) AS m FROM documents) GROUP BY 1",
+        "exact_hits": f"WITH {_BYTES}, {hits} SELECT * FROM hits",
+        "needle_join": f"WITH {_BYTES}, {hits} SELECT * FROM hits",
+        "static_hits": f"WITH {_BYTES}, {hits}, {dig} SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, off - k AS o, k FROM dig, (SELECT unnest(generate_series(0, 11)) AS k)) g WHERE g.doc_id = h.dump_id AND g.o = h.off AND g.k < h.length)",
+        "regex_hits": """WITH m AS (SELECT doc_id, regexp_extract_all(text, '0x[0-9a-f]+') AS m, regexp_split_to_array(text, '0x[0-9a-f]+') AS p FROM documents WHERE regexp_matches(text, '0x[0-9a-f]+')),
+u AS (SELECT doc_id, unnest(m) AS x, unnest(p[:len(m)]) AS b, generate_subscripts(m, 1) AS i FROM m)
+SELECT doc_id AS dump_id, 'offset' AS label, CAST(sum(strlen(b) + strlen(x)) OVER (PARTITION BY doc_id ORDER BY i) - strlen(x) AS BIGINT) AS off, CAST(strlen(x) AS INTEGER) AS length FROM u""",
+        "ascii_strings": f"WITH {_BYTES}, p AS (SELECT *, off - row_number() OVER (PARTITION BY doc_id ORDER BY off) AS g FROM byt WHERE v BETWEEN 32 AND 126 OR v IN (9, 10, 13)) SELECT doc_id AS dump_id, min(off) AS off, CAST(count(*) AS INTEGER) AS length, string_agg(chr(CAST(v AS INTEGER)), '' ORDER BY off) AS value FROM p GROUP BY doc_id, g HAVING count(*) >= 4",
+        "utf8_strings": f"""WITH {_BYTES}, p AS (SELECT *, off - row_number() OVER (PARTITION BY doc_id ORDER BY off) AS g FROM byt WHERE v BETWEEN 32 AND 126 OR v IN (9, 10, 13) OR v > 127)
+SELECT doc_id AS dump_id, min(off) AS off, CAST(count(*) AS INTEGER) AS length, CAST(count(*) FILTER (WHERE v & 192 <> 128) AS INTEGER) AS characters, md5(CAST(unhex(string_agg(format('{{:02x}}', v), '' ORDER BY off)) AS BLOB)) AS digest FROM p GROUP BY doc_id, g HAVING count(*) FILTER (WHERE v & 192 <> 128) >= 4""",
         "hex_dump": "SELECT doc_id AS dump_id, CAST((o - 1) * 16 AS BIGINT) AS off, lower(trim(regexp_replace(substr(h, (o - 1) * 32 + 1, 32), '(..)', '\\1 ', 'g'))) AS hex FROM (SELECT doc_id, h, unnest(generate_series(1, CAST(ceil(length(h) / 32) AS BIGINT))) AS o FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''))",
+        "funnel_stages": _FUNNEL + "SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, count(*) AS total, count(*) FILTER (WHERE m) AS variance, count(*) FILTER (WHERE dense) AS aligned, count(*) FILTER (WHERE keep) AS high_entropy FROM kep GROUP BY 1, 2",
+        "funnel_regions": _FUNNEL + "SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, start AS off, length, round(mean_entropy, 4) AS mean_entropy, round(mean_variance + 1e-6, 4) AS mean_variance FROM reg",
+        "sweep": _FUNNEL + f"""{_SLICES.format(sizes="16")}
+SELECT CAST(s.label AS VARCHAR) AS grp, CAST(s.n AS INTEGER) AS n, s.total, s.variance, s.aligned, s.high_entropy, coalesce(r.c, 0) AS regions, coalesce(x.c, 0) AS candidates, coalesce(x.h, 0) AS hits, x.o AS hit_off, coalesce(x.c, 0) AS tried
+FROM (SELECT label, n, count(*) AS total, count(*) FILTER (WHERE m) AS variance, count(*) FILTER (WHERE dense) AS aligned, count(*) FILTER (WHERE keep) AS high_entropy FROM kep GROUP BY 1, 2) s
+LEFT JOIN (SELECT label, n, count(*) AS c FROM reg GROUP BY 1, 2) r USING (label, n)
+LEFT JOIN (SELECT label, n, count(*) AS c, count(*) FILTER (WHERE hit) AS h, min(off) FILTER (WHERE hit) AS o FROM sli GROUP BY 1, 2) x USING (label, n)""",
+        "first_hits": _FUNNEL + f"""{_SLICES.format(sizes="16, 8")} SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, off, CAST(size AS INTEGER) AS size, value FROM sli WHERE hit QUALIFY row_number() OVER (PARTITION BY label, n ORDER BY off, size) = 1""",
         "value_formats": f"""WITH x AS (SELECT CASE WHEN length({clean}) % 2 = 1 THEN '0' || {clean} ELSE {clean} END AS h FROM findings WHERE regexp_full_match({clean}, '[0-9A-F]*'))
 SELECT format, count(*) AS n FROM (SELECT CASE WHEN length(h) < 8 THEN 'none' {cases} WHEN starts_with(h, '3082') AND CAST(concat('0x', substr(h, 5, 4)) AS BIGINT) >= 64 THEN 'asn1_der' ELSE 'none' END AS format FROM x) GROUP BY 1""",
     }

@@ -131,9 +131,17 @@ def dataset_summary(dumps: DataFrame) -> DataFrame:
     return rows.groupBy("library").agg(F.count_distinct("version", "run_number").alias("runs"), F.count(F.lit(1)).alias("dumps"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("_first"), full))), ",").alias("phases"))
 
 
-def browse(entries: DataFrame, limit: int = 500) -> DataFrame:
-    """Folder entries for display: folders first, then by name."""
-    return entries.orderBy(F.desc("is_dir"), F.lower("name"), "name").limit(limit)
+def browse(entries: DataFrame, limit: int = 500, page: int = 0) -> DataFrame:
+    """One page of every directory's entries for display: folders first, then by name.
+
+    ``entries(directory, name, is_dir, …)``; adds ``position`` from 0 within the directory and
+    ``total``, its number of entries, so the next page is there to ask for.  An entry given twice
+    is one.
+    """
+    once = entries.dropDuplicates(["directory", "name", "is_dir"])
+    along = Window.partitionBy("directory").orderBy(F.desc("is_dir"), F.lower("name"), "name")
+    placed = once.withColumn("position", F.row_number().over(along) - 1).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("directory")))
+    return placed.filter((F.col("position") >= page * limit) & (F.col("position") < (page + 1) * limit))
 
 
 def flexible_int(text: Column) -> Column:

@@ -57,6 +57,32 @@ def test_aligned_mask(mask, block, alignment, density):
     assert (K.aligned(mask, block, alignment, density) == (mask & keep)).all()
 
 
+def test_contains_join_equals_the_automaton(spark):
+    """Needles of every length in a table, overlaps and chunk borders, equal values, empty and null ones."""
+    rng = random.Random(3)
+    data = [bytes(rng.choice(b"ab\x00\xff") for _ in range(700)), b"", None, b"a"]
+    needles = [(f"n{k}", bytes(rng.choice(b"ab\x00\xff") for _ in range(k % 9 + 1))) for k in range(24)] + [("same", b"ab"), ("other", b"ab"), ("none", b"")]
+    chunks = chunked(images(spark, *data), S.needle_halo(needles), 64)
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in needles] + [("null", None)], "secret_type string, value binary")
+    want = sorted(tuple(r) for r in S.exact_hits(chunks, needles).collect())
+    assert sorted(tuple(r) for r in S.contains_join(chunks, rows).collect()) == want
+    plain = sorted((0, k, o, len(v)) for k, v in needles for o in range(700) if v and data[0].startswith(v, o)) + [(3, k, 0, 1) for k, v in needles if v == b"a"]
+    assert want == sorted(plain)
+
+
+def test_automaton_without_the_package(monkeypatch):
+    import builtins
+
+    real = builtins.__import__
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a: (_ for _ in ()).throw(ImportError()) if name == "ahocorasick" else real(name, *a))
+    slow = K.Automaton([b"aa", b"aab", b"]", b"\xff"])
+    monkeypatch.undo()
+    fast = K.Automaton([b"aa", b"aab", b"]", b"\xff"])
+    data = b"aaab]\xff\xffaa"
+    assert slow.machine is None and sorted(slow.find(data)) == sorted(fast.find(data))
+    assert list(K.Automaton([]).find(data)) == []
+
+
 def test_find_all_overlaps_and_takes_no_empty_needle():
     assert list(K.find_all(b"aaaa", b"aa")) == [0, 1, 2]
     assert list(K.find_all(b"aaaa", b"")) == []

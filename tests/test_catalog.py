@@ -317,8 +317,8 @@ def test_ring_holds_distinct_messages(spark):
     assert W.in_ring(many).agg(F.min("seq"), F.count("seq")).first()[:] == (89, 512)
 
 
-def test_event_replay_ring(spark, data):
-    from bytefold.queries.findings import event_replay_ring
+def test_event_replay_counts(spark, data):
+    from bytefold.queries.findings import event_replay
 
-    got = event_replay_ring(spark, data).collect()
+    got = event_replay(spark, data).collect()
     assert got and all(r.kept == min(r.messages, 512) for r in got) and max(r.kept for r in got) > 20
