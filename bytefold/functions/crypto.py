@@ -10,10 +10,14 @@ from __future__ import annotations
 import hashlib
 import hmac
 import struct
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bytefold.functions.plugins import import_modules
+
 # Defaults of a decryption check.
 CHECK_IV = bytes(range(16))
 
@@ -101,17 +105,64 @@ TLS13_TRAFFIC = ("CLIENT_HANDSHAKE_TRAFFIC_SECRET", "SERVER_HANDSHAKE_TRAFFIC_SE
 LINK_CONFIDENCE = 0.95
 
 
+@dataclass(frozen=True)
+class Derivation:
+    """A key derivation scheme: the secrets it expands, and how."""
+
+    name: str
+    protocol: str
+    secret_types: tuple[str, ...]
+    expand: Callable[[str, bytes, str], list[tuple[str, bytes]]]
+
+
+DERIVATIONS: dict[str, Derivation] = {}
+
+
+def derivation(name: str, protocol: str, secret_types: tuple[str, ...]):
+    """Register a function ``(type, value, hash) -> [(type, value)]`` as a scheme."""
+
+    def add(fn):
+        DERIVATIONS[name] = Derivation(name, protocol, tuple(secret_types), fn)
+        return fn
+
+    return add
+
+
+def discover_derivations(package: str, prefix: str = "kdf_") -> list[str]:
+    """Import a package's modules of schemes; the names that are new."""
+    before = set(DERIVATIONS)
+    import_modules(package, prefix)
+    return sorted(set(DERIVATIONS) - before)
+
+
+def schemes_of(protocol: str) -> list[Derivation]:
+    return [d for d in DERIVATIONS.values() if d.protocol.upper() == protocol.upper()]
+
+
+def supports(kind: Column, protocol: str | None = None) -> Column:
+    """Whether a secret's type is one that a registered scheme (of a protocol) expands."""
+    known = sorted({t for d in DERIVATIONS.values() if protocol is None or d.protocol.upper() == protocol.upper() for t in d.secret_types})
+    return kind.isin(known)
+
+
 def expand_secret(kind: str, value: bytes, algo: str = "sha256") -> list[tuple[str, bytes]]:
-    """Secrets that follow from one: a traffic secret's keys of 16 and 32 bytes, vector and finished
-    key; a session key's six SSH keys, with zeros for the unknown exchange hash and session."""
-    if kind == "SSH2_SESSION_KEY":
-        return [(name, ssh_key(value, bytes(32), letter, bytes(32), 32, algo)) for letter, name in SSH_KEYS.items()]
-    if kind not in TLS13_TRAFFIC:
-        return []
+    """Secrets that follow from one by the first registered scheme for its type."""
+    return next((d.expand(kind, value, algo) for d in DERIVATIONS.values() if kind in d.secret_types), [])
+
+
+@derivation("tls13", "TLS", TLS13_TRAFFIC)
+def _expand_tls13(kind: str, value: bytes, algo: str = "sha256") -> list[tuple[str, bytes]]:
+    """A traffic secret's keys of 16 and 32 bytes, vector and finished key."""
     sizes = [(f"_KEY_{8 * n}", "key", n) for n in (16, 32)] + [("_IV", "iv", 12), ("_FINISHED", "finished", hashlib.new(algo).digest_size)]
     return [(kind + suffix, hkdf_expand_label(value, label, b"", n, algo)) for suffix, label, n in sizes]
 
 
+@derivation("ssh2", "SSH", ("SSH2_SESSION_KEY",))
+def _expand_ssh(kind: str, value: bytes, algo: str = "sha256") -> list[tuple[str, bytes]]:
+    """A session key's six SSH keys, with zeros for the unknown exchange hash and session."""
+    return [(name, ssh_key(value, bytes(32), letter, bytes(32), 32, algo)) for letter, name in SSH_KEYS.items()]
+
+
 def linked(a: bytes, b: bytes, protocol: str, algo: str = "sha256") -> float:
     """Confidence that one of two candidates derives from the other under a protocol's scheme."""
     zeros = bytes(32)

@@ -49,6 +49,25 @@ def detect_format(data: Column) -> Column:
     return c.when((_at(data, 0, 2) == "3082") & (F.conv(_at(data, 2, 2), 16, 10).cast("int") >= 64), "asn1_der")
 
 
+def suggest_formats(data: Column) -> Column:
+    """Formats that the first bytes suggest, as ``array<struct<format, reason, magic_ok>>``; none for an empty image.
+
+    Magic numbers come in the order of ``MAGICS`` behind ELF, then PE, then the two that share one.
+    """
+    one = lambda name, reason: F.struct(name.alias("format"), reason.alias("reason"), F.lit(True).alias("magic_ok"))
+    start, size = F.lit("magic at 0x0"), F.octet_length(data)
+    elf = F.when(_at(data, 4, 1) == "02", "elf64").when(_at(data, 4, 1) == "01", "elf32").otherwise("elf")
+    out = [F.when(_at(data, 0, 4) == "7F454C46", one(elf, start))]
+    out += [F.when(_at(data, 0, len(magic) // 2) == magic, one(F.lit(name), start)) for name, magic in MAGICS.items()]
+    header = _little(data, 0x3C, 4)
+    is_pe = (_at(data, 0, 2) == "4D5A") & (size >= 64) & (header < 0x7FFFFF00) & (_at(data, header.cast("int"), 4) == "50450000")
+    pe = F.when(_at(data, (header + 24).cast("int"), 2) == "0B02", "pe64").otherwise("pe32")
+    out.append(F.when(is_pe, one(pe, F.concat(F.lit("PE signature at 0x"), F.hex(header)))))
+    fat = F.conv(_at(data, 4, 4), 16, 10).cast("bigint")
+    out.append(F.when((size >= 8) & (_at(data, 0, 4) == "CAFEBABE"), one(F.when(fat <= 30, "macho_fat").otherwise("java_class"), start)))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
 def parse_hex_pattern(text: Column) -> Column:
     """Bytes of a hex pattern with blanks; null if it is none."""
     return F.try_to_binary(F.replace(text, F.lit(" "), F.lit("")), F.lit("hex"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from bytefold.functions import crypto
 from bytefold.functions.kernels import cusum_edges, plateaus
+from bytefold.functions.plugins import import_modules
 from bytefold.operators.chunks import chunked
 from bytefold.operators.consensus import INVARIANT, KEY_CANDIDATE, consensus_state, span_means, state_runs, whole_chunks
 from bytefold.operators.entropy import entropy_profile, high_regions
@@ -58,6 +59,16 @@ def algorithm(name: str, mode: str):
     return add
 
 
+def discover(package: str = "bytefold.operators") -> list[str]:
+    """Import every module of a package, so that its algorithms register; the names that are new.
+
+    A module that can't be imported is left out with a warning.
+    """
+    before = set(REGISTRY)
+    import_modules(package)
+    return sorted(set(REGISTRY) - before)
+
+
 def by_mode(mode: str) -> list[Algorithm]:
     return [a for a in REGISTRY.values() if a.mode == mode]
 
@@ -273,6 +284,11 @@ def structure_scan(images: DataFrame, context: Context) -> DataFrame:
     return found.select("dump_id", "off", "length", "confidence", F.concat(F.lit("struct:"), F.col("structure")).alias("label"))
 
 
+def matches_per_algorithm(matches: DataFrame) -> DataFrame:
+    """Hits of each algorithm of ``run_all``."""
+    return matches.groupBy("algorithm").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def run_all(images: DataFrame, context: Context, names: list[str] | None = None) -> DataFrame:
     """The matches of several algorithms, tagged by algorithm."""
     out = None

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytefold.functions.formats import MAGICS, parse_hex_pattern, suggest_formats
 from bytefold.functions.normalize import norm_id
 from bytefold.operators.intervals import point_join
 from bytefold.operators.nested import read_json
@@ -61,6 +62,18 @@ def folder_listing(spark: SparkSession, d: str) -> DataFrame:
     return K.browse(folders.unionByName(files), 20)
 
 
+def known_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The first two runs of each library."""
+    return K.discover_runs(K.parse_runs(K.parse_dumps(_files(spark, d))), 2).select("library", "run_number", "dumps")
+
+
+def format_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """How often the found values and the containers suggest each format."""
+    v = table(spark, d, "findings").select(parse_hex_pattern(F.col("value_hex")).alias("b")).filter("b is not null")
+    v = v.unionByName(_containers(spark, d).select(F.substring("data", 1, 64).alias("b")))
+    return v.select(F.explode(suggest_formats(F.col("b"))).alias("s")).groupBy("s.format", "s.reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def text_digests(spark: SparkSession, d: str) -> DataFrame:
     """Size and SHA-256 of every text as an artifact."""
     rows = texts(spark, d).filter("data is not null").select(F.col("dump_id").alias("path"), F.col("data").alias("content"))
@@ -156,7 +169,7 @@ def container_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    dump_files, canonical_phases, first_of_phase, dataset_summary, folder_listing, text_digests, address_lookup, capture_formats, container_modules, container_regions,
+    dump_files, canonical_phases, first_of_phase, dataset_summary, folder_listing, known_runs, format_suggestions, text_digests, address_lookup, capture_formats, container_modules, container_regions,
     container_hints, container_secrets, container_chain, container_report, container_keys, container_strings,
 )
 
@@ -193,6 +206,13 @@ SELECT dump_id, concat(phase_prefix, '_', coalesce(o, CASE k WHEN 1 THEN 'handsh
         "dataset_summary": f"WITH {tree}, m AS (SELECT library, min(run_number) AS f FROM dfi GROUP BY 1) SELECT library, count(DISTINCT run_number) AS runs, count(*) AS dumps, string_agg(DISTINCT CASE WHEN run_number = f THEN concat(phase_prefix, '_', phase_name) END, ',' ORDER BY CASE WHEN run_number = f THEN concat(phase_prefix, '_', phase_name) END) AS phases FROM dfi JOIN m USING (library) GROUP BY 1",
         "folder_listing": f"""WITH {tree}, e AS (SELECT concat('/data/', library, '/', library, '_run_1_', run_number) AS directory, concat(stamp, '_', base) AS name, false AS is_dir FROM fil UNION SELECT concat('/data/', library), concat(library, '_run_1_', run_number), true FROM fil)
 SELECT *, CAST(row_number() OVER (PARTITION BY directory ORDER BY is_dir DESC, lower(name), name) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY directory) AS total FROM e QUALIFY position < 20""",
+        "known_runs": f"WITH {tree}, r AS (SELECT library, run_number, count(*) AS dumps FROM dfi GROUP BY 1, 2) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY library ORDER BY run_number) <= 2",
+        "format_suggestions": f"""WITH {meta}, x AS (SELECT CASE WHEN length(h) % 2 = 1 THEN '0' || h ELSE h END AS h FROM (SELECT upper(replace(value_hex, ' ', '')) AS h FROM findings) WHERE regexp_full_match(h, '[0-9A-F]*')),
+m AS (SELECT unnest({list(MAGICS)}) AS format, unnest({list(MAGICS.values())}) AS magic)
+SELECT format, 'magic at 0x0' AS reason, count(*) AS n FROM x JOIN m ON starts_with(h, magic) GROUP BY 1
+UNION ALL SELECT CASE substr(h, 9, 2) WHEN '02' THEN 'elf64' WHEN '01' THEN 'elf32' ELSE 'elf' END, 'magic at 0x0', count(*) FROM x WHERE starts_with(h, '7F454C46') GROUP BY 1
+UNION ALL SELECT CASE WHEN CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) <= 30 THEN 'macho_fat' ELSE 'java_class' END, 'magic at 0x0', count(*) FROM x WHERE starts_with(h, 'CAFEBABE') AND length(h) >= 16 GROUP BY 1
+UNION ALL SELECT 'msl', 'magic at 0x0', count(*) FROM obj WHERE json_type(j) = 'OBJECT'""",
         "text_digests": "SELECT doc_id AS path, CAST(octet_length(encode(text)) AS INTEGER) AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
         "address_lookup": "WITH x AS (SELECT gt_id, CAST(i - 1 AS INTEGER) AS pos, dumps[i].va_info.va AS va, dumps[i].va_info.extra.region_start_va AS s, dumps[i].va_info.extra.region_end_va AS e FROM (SELECT *, unnest(generate_series(1, len(dumps))) AS i FROM gt_runs)) SELECT gt_id, pos, va - s AS inside FROM x WHERE va >= s AND va < e",
         "capture_formats": "SELECT x.format AS format, count(*) AS captures, CAST(sum(x.size_bytes) AS BIGINT) AS bytes, CAST(sum(coalesce(len(x.hits_raw), 0)) AS BIGINT) AS hits, round(sum(x.strings_bench.wall_seconds), 6) AS seconds FROM (SELECT unnest(dumps) AS x FROM gt_runs) WHERE x IS NOT NULL GROUP BY 1",

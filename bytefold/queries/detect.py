@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytefold.operators.algorithms import REGISTRY, Context
-from bytefold.operators.structures import Field, Structure
-from bytefold.queries.images import _BYTES, _SETS, NEEDLES, _hits, texts, vector_images
+from bytefold.functions.crypto import CHECK_IV
+from bytefold.operators import results
+from bytefold.operators.algorithms import REGISTRY, Context, run_all
+from bytefold.operators.chunks import chunked
+from bytefold.operators.structures import Field, Structure, apply_structure
+from bytefold.operators.verification import VERIFIERS, first_verified
+from bytefold.queries.images import _BYTES, _SETS, _VEC, NEEDLES, _con, _hits, ascii_strings, consensus_by_set, consensus_variance, texts, vector_images
 
 #: Structures for the texts: the scores of their constrained fields differ from place to place.
 STRUCTURES = [
@@ -63,8 +67,57 @@ def user_regex(spark: SparkSession, d: str) -> DataFrame:
     return _run("user_regex", _texts(spark, d), patterns=[("address", "0x[0-9a-f]+")])
 
 
+def algorithm_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Matches of each of three algorithms."""
+    context = Context(secrets=NEEDLES, extra={"patterns": [("address", "0x[0-9a-f]+")], "entropy_threshold": 4.4})
+    return results.counts_by_algorithm(run_all(_texts(spark, d), context, ["exact_match", "user_regex", "entropy_scan"]))
+
+
+def first_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The first three places of the needles in each text."""
+    return results.first_of_each(exact_match(spark, d), ["dump_id"], ["off", "label"], 3)
+
+
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty matches of highest confidence."""
+    return results.best_first(entropy_scan(spark, d)).limit(20)
+
+
+def strings_containing(spark: SparkSession, d: str) -> DataFrame:
+    """Strings that hold a word, whatever its case."""
+    return results.containing(ascii_strings(spark, d), "SESSION").select("dump_id", "off", "length")
+
+
+def class_range(spark: SparkSession, d: str) -> DataFrame:
+    """Classes of a range of offsets over all vector images."""
+    return results.class_range(consensus_variance(spark, d), 8, 24)
+
+
+def byte_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Static and dynamic offsets of each capture set."""
+    return results.byte_shares(consensus_by_set(spark, d), ["grp"])
+
+
+_PLAIN = b"a plaintext that the tool knows"
+
+
+def verified_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Per vector image the first 8-aligned place whose 32 bytes decrypt what was sealed by image 7."""
+    images = vector_images(spark, d)
+    key = F.substring("data", 17, 32)
+    sealed = images.filter("dump_id = 7").select(VERIFIERS["AES-256-CBC"].seal(key, F.lit(_PLAIN), CHECK_IV)).first()
+    places = images.select("dump_id", F.explode(F.array(*(F.lit(o).cast("bigint") for o in range(0, 48, 8)))).alias("off"))
+    return first_verified(chunked(images, 31), places, bytes(sealed[0]) if sealed else b"", _PLAIN)
+
+
+def structure_at(spark: SparkSession, d: str) -> DataFrame:
+    """A structure laid over two places of each text."""
+    at = _texts(spark, d).select("dump_id", F.explode(F.array(F.lit(0), F.lit(70000))).alias("off"))
+    return apply_structure(chunked(_texts(spark, d), 64), at, "spaced", STRUCTURES).select("dump_id", "off", "structure", "size", "confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (exact_match, entropy_scan, change_point, structure_scan, pattern_match, differential, user_regex)}
+    return {f.__name__: f for f in (exact_match, entropy_scan, change_point, structure_scan, pattern_match, differential, user_regex, algorithm_hits, first_matches, best_matches, strings_containing, class_range, byte_shares, verified_keys, structure_at)}
 
 
 def _windows(step: int, *sizes: int) -> str:
@@ -104,6 +157,21 @@ fit AS (SELECT dump_id, a, b, s, arg_min(w, (abs(b - a - span), n)) AS w, min(ab
 def oracle_sql() -> dict[str, str]:
     merged = f"WITH {_BYTES}, {_windows(1, 32, 48)}, {_merged(4.4)}"
     at = "LEFT JOIN byt {n} ON {n}.doc_id = k.dump_id AND {n}.off = k.off + {o}"
+    out = _algorithms(merged, at)
+    strings = f"WITH {_BYTES}, p AS (SELECT *, off - row_number() OVER (PARTITION BY doc_id ORDER BY off) AS g FROM byt WHERE v BETWEEN 32 AND 126 OR v IN (9, 10, 13))"
+    return out | {
+        "algorithm_hits": " UNION ALL ".join(f"SELECT '{n}' AS algorithm, count(*) AS hits FROM ({out[n]})" for n in ("exact_match", "user_regex", "entropy_scan")),
+        "first_matches": f"SELECT * FROM ({out['exact_match']}) QUALIFY row_number() OVER (PARTITION BY dump_id ORDER BY off, label) <= 3",
+        "best_matches": f"SELECT * FROM ({merged} SELECT dump_id, off, len AS length, round(conf, 4) AS confidence, concat('high_entropy_', len, 'B') AS label FROM kep) ORDER BY confidence DESC, dump_id, off, length LIMIT 20",
+        "strings_containing": f"{strings} SELECT doc_id AS dump_id, min(off) AS off, CAST(count(*) AS INTEGER) AS length FROM p GROUP BY doc_id, g HAVING count(*) >= 4 AND contains(lower(string_agg(chr(CAST(v AS INTEGER)), '' ORDER BY off)), 'session')",
+        "class_range": f"WITH {_VEC}, {_con('')} SELECT off, class FROM con WHERE off BETWEEN 8 AND 31",
+        "byte_shares": f"{_SETS} SELECT grp, count(*) FILTER (WHERE variance <= 2000) AS static, count(*) FILTER (WHERE variance > 2000) AS dynamic FROM con GROUP BY 1",
+        "verified_keys": f"WITH {_VEC} SELECT vec_id AS dump_id, CAST(16 AS BIGINT) AS off, string_agg(format('{{:02x}}', v), '' ORDER BY off) AS key_hex, 'AES-256-CBC' AS cipher FROM vec WHERE vec_id = 7 AND off BETWEEN 16 AND 47 GROUP BY 1",
+        "structure_at": f"WITH {_BYTES} SELECT a.doc_id AS dump_id, a.off, 'spaced' AS structure, 24 AS size, ((a.v = 32)::INT + coalesce(b.v BETWEEN 97 AND 122, false)::INT) / 2 AS confidence FROM byt a LEFT JOIN byt b ON b.doc_id = a.doc_id AND b.off = a.off + 8 WHERE a.off IN (0, 70000)",
+    }
+
+
+def _algorithms(merged: str, at: str) -> dict[str, str]:
     return {
         "exact_match": f"WITH {_BYTES}, hits AS ({_hits()}) SELECT dump_id, off, length, round(c / {len(NEEDLES)}, 4) AS confidence, secret_type AS label FROM hits JOIN (SELECT dump_id, count(DISTINCT secret_type) AS c FROM hits GROUP BY 1) USING (dump_id)",
         "entropy_scan": merged + " SELECT dump_id, off, len AS length, round(conf, 4) AS confidence, concat('high_entropy_', len, 'B') AS label FROM kep",

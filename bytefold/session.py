@@ -1,8 +1,8 @@
 """Session helpers: a tuned local session and the shared scratch folder.
 
 Every intermediate table that cuts lineage goes to the folder that the cluster names in
-``spark.checkpoint.dir``.  Only where that setting is absent (tests, a laptop) a folder of
-this process is made and used instead, so nothing ever lands on one executor's own disk.
+``spark.checkpoint.dir``.  Only on a local master (tests, a laptop) without that setting a folder
+of this process is made and used instead; a cluster without it is refused.
 """
 
 from __future__ import annotations
@@ -56,11 +56,13 @@ def local_session(cores: int = 8, partitions: int = 8, app: str = "bytefold", me
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; made here only when the session names none."""
+    """The folder all executors share; made here only on a local master that names none."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="bytefold-")
     return _local_dir

@@ -123,6 +123,64 @@ def parse_sidecars(files: DataFrame) -> DataFrame:
     return rows.select("folder", "path", F.coalesce(F.when(name.endswith(".json"), scalars).otherwise(meta), F.create_map().cast("map<string,string>")).alias("fields"))
 
 
+# Names of dump kinds in run metadata, and what they mean.
+DUMP_KINDS = {"gcore": "gcore", "gdb_raw": "gdb_raw", "lldb_raw": "lldb_raw", "memslicer": "msl", "msl": "msl"}
+
+
+def run_metadata(files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """``meta.json`` files ``(path, content)``, one row per run: ``run_dir, run_id, cipher, password, master_key, aslr_base, pid, dumps``.
+
+    Numbers may be decimal or ``0x`` hex, a key of odd length gets a leading zero, ``dumps`` maps
+    the canonical kind to ``path, size``.  A relative path counts from the folder above the run if
+    ``listing(path)`` has it there, else from the run itself.  Files that aren't JSON objects give
+    no row.
+    """
+    text = F.col("content").cast("string")
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rows = files.filter(base_name(F.col("path")) == "meta.json").select(folder.alias("run_dir"), text.alias("t"))
+    rows = rows.filter(F.get_json_object("t", "$").startswith("{"))
+    get = lambda name: F.get_json_object("t", f"$.{name}")
+    key = F.regexp_replace(F.lower(F.coalesce(get("master_key_hex"), F.lit(""))), "^0x", "")
+    kinds = F.create_map(*(F.lit(x) for kv in DUMP_KINDS.items() for x in kv))
+    dumps = F.from_json(get("dumps"), "map<string, struct<path: string, size: string>>")
+    out = rows.select("run_dir", F.coalesce(get("run_id"), base_name(F.col("run_dir"))).alias("run_id"), F.coalesce(get("cipher"), F.lit("")).alias("cipher"), F.coalesce(get("password"), F.lit("")).alias("password"), F.coalesce(padded_hex(key), F.lit(b"")).alias("master_key"), F.coalesce(flexible_int(get("aslr_base")), F.lit(0)).alias("aslr_base"), F.coalesce(flexible_int(get("pid")), F.lit(0)).alias("pid"), F.explode_outer(dumps).alias("kind", "dump"))
+    root, path = F.regexp_extract("run_dir", r"^(.*)/[^/]*$", 1), F.coalesce(F.col("dump.path"), F.lit(""))
+    out = out.withColumn("_above", F.concat_ws("/", root, path))
+    if listing is not None:
+        out = out.join(listing.select(F.col("path").alias("_above"), F.lit(True).alias("_there")).distinct(), "_above", "left")
+    else:
+        out = out.withColumn("_there", F.lit(False))
+    resolved = F.when(path == "", F.col("run_dir")).when(path.startswith("/"), path).when(F.col("_there"), F.col("_above")).otherwise(F.concat_ws("/", "run_dir", base_name(path)))
+    entry = F.struct(F.coalesce(kinds[F.col("kind")], F.col("kind")).alias("kind"), F.struct(resolved.alias("path"), F.coalesce(flexible_int(F.col("dump.size")), F.lit(0)).alias("size")).alias("dump"))
+    keys = ["run_dir", "run_id", "cipher", "password", "master_key", "aslr_base", "pid"]
+    grouped = out.groupBy(*keys).agg(F.collect_list(F.when(F.col("dump").isNotNull(), entry)).alias("_d"))
+    once = F.transform(F.array_distinct(F.transform("_d", lambda x: x["kind"])), lambda k: F.struct(k.alias("key"), F.element_at(F.filter("_d", lambda x: x["kind"] == k), -1)["dump"].alias("value")))
+    return grouped.select(*keys, F.map_from_entries(once).alias("dumps"))
+
+
+def discover_runs(dumps: DataFrame, max_runs: int | None = None) -> DataFrame:
+    """Runs of each library in order of their number, at most the first ``max_runs``: ``library, version, run_number, dumps``."""
+    runs = dumps.groupBy("library", "version", "run_number").agg(F.count(F.lit(1)).alias("dumps"))
+    if max_runs is None:
+        return runs
+    n = F.row_number().over(Window.partitionBy("library").orderBy("run_number", "version"))
+    return runs.withColumn("_n", n).filter(F.col("_n") <= max_runs).drop("_n")
+
+
+def scan_level(paths: DataFrame) -> DataFrame:
+    """What a folder is, by the run folders below it: ``level`` of ``run, library, scenario, protocol, dataset, none``.
+
+    ``paths(root, path)``: a listing below each root.  The number of folders between the root and
+    the run folders tells the level.
+    """
+    below = F.split(F.expr("substring(path, length(root) + 2)"), "/")
+    at = F.array_position(F.transform(below, lambda x: x.rlike(r"_run_[^_]+_\d+$|^run_\d+$")), F.lit(True))
+    inside = F.when(F.element_at(F.split("root", "/"), -1).rlike(r"_run_[^_]+_\d+$|^run_\d+$"), F.lit(0)).otherwise(F.nullif(at, F.lit(0)))
+    depth = paths.select("root", inside.alias("_d")).groupBy("root").agg(F.max("_d").alias("_d"))
+    names = F.array(*(F.lit(x) for x in ("run", "library", "scenario", "protocol", "dataset")))
+    return depth.select("root", F.when(F.col("_d").isNull(), "none").otherwise(F.get(names, F.least("_d", F.lit(4)).cast("int"))).alias("level"))
+
+
 def dataset_summary(dumps: DataFrame) -> DataFrame:
     """Per library: versions, runs, dumps, and the phases of its first run."""
     first = F.min("run_number").over(Window.partitionBy("library"))

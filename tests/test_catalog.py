@@ -64,9 +64,15 @@ def test_formats(spark):
 
 def test_structures():
     lib = T.builtin()
-    data = bytes(16) + (0x0303).to_bytes(2, "little") + bytes(range(1, 49)) + bytes(64)
-    best = T.best_match(data, 16, lib, "TLS")
-    assert best[0].name == "tls12_master_secret" and best[2] == 1.0
+    data = bytes(16) + (0x0303).to_bytes(2, "big") + bytes(range(1, 47)) + bytes(64)
+    best = T.best_match(data, 16, [s for s in lib if "tls12" in s.tags], "TLS")
+    assert best[0].name in ("tls12_key_block_aes128_gcm", "tls12_key_block_aes256_gcm", "tls12_master_secret", "tls12_pre_master_secret_rsa") and best[2] == 1.0
+    sizes = {s.name: (s.total_size, len(s.fields)) for s in lib}
+    assert sizes["tls12_master_secret"] == (48, 1) and sizes["tls12_key_block_aes128_gcm"] == (40, 4) and sizes["tls12_key_block_aes256_gcm"] == (72, 4)
+    probed13 = [s for s in lib if s.name.startswith("tls13_")]
+    assert len(probed13) == 12 and all(s.auto_offsets and s.fields[0].size_choices == (48, 32) for s in probed13)
+    assert all(T.structure_named(f"ssh2_{n}").fields[0].size_choices == (64, 32, 20) for n in ("session_id", "exchange_hash"))
+    assert T.structure_named("boringssl_tls13_handshake_traffic_secrets_sha256").stability == "experimental" and {"aes256_key", "aes_gcm_iv", "elf64_header"} <= set(sizes)
     assert T.best_match(b"\x7fELF\x02" + bytes(11) + b"\x02\0" + bytes(60), 0, [s for s in lib if s.name == "elf64_header"])[2] == 1.0
     probed = T.Structure("p", 32, (T.Field("s", "bytes", 0, 32, {"not_zero": True}, (48, 32)),), auto_offsets=True)
     assert T.overlay(b"\1" * 32 + bytes(16), probed)[1] == 32 and T.overlay(b"\1" * 48, probed)[1] == 48
@@ -322,3 +328,96 @@ def test_event_replay_counts(spark, data):
 
     got = event_replay(spark, data).collect()
     assert got and all(r.kept == min(r.messages, 512) for r in got) and max(r.kept for r in got) > 20
+
+
+def test_first_verified_key(spark):
+    from bytefold.functions.crypto import CHECK_IV, encrypt
+    from bytefold.operators import verification as V
+    from bytefold.operators.chunks import chunked
+
+    key, plain = bytes(range(32)), b"known"
+    image = bytearray(1024)
+    image[0x100:0x120] = key
+    image[0x1F0:0x210] = key
+    df = spark.createDataFrame([("a", image), ("b", bytearray(1024)), ("c", bytearray(64)), ("d", None)], "dump_id string, data binary")
+    sealed = bytes(spark.range(1).select(encrypt(F.lit(key), F.lit(plain))).first()[0])
+    places = spark.createDataFrame([(i, o, p) for i in "abcd" for p, o in enumerate((0, 0x1F0, 0x100, 0x800))], "dump_id string, off bigint, position int")
+    for chunk in (1 << 16, 256):
+        chunks = chunked(df, 31, chunk)
+        assert [(r.dump_id, r.off, r.key_hex) for r in V.first_verified(chunks, places, sealed, plain, chunk=chunk).collect()] == [("a", 0x1F0, key.hex())]
+        assert [r.off for r in V.first_verified(chunks, places.drop("position"), sealed, plain, chunk=chunk).collect()] == [0x100]
+        assert V.verified(chunks, places, b"ct", plain, chunk=chunk).count() == 0
+    V.register_verifier(V.Verifier("first-byte", 1, lambda k, c, e, iv: k == c, lambda k, p, iv: k))
+    assert V.first_verified(chunked(df), places, b"\x01", b"", "first-byte").count() == 0 and CHECK_IV
+    del V.VERIFIERS["first-byte"]
+
+
+def test_views_of_results(spark):
+    from bytefold.operators import results as V
+
+    rows = spark.createDataFrame([("a", 5, 32, 0.5, "x", "one"), ("a", 1, 48, 0.9, "y", "two"), ("b", 7, 16, None, "X y", "one"), ("b", 9, 8, 0.9, None, "two")], "dump_id string, off bigint, length int, confidence double, label string, algorithm string")
+    assert [r.off for r in V.best_first(rows).collect()] == [1, 9, 5, 7]
+    assert [r.off for r in V.ordered(rows, "length").collect()] == [9, 7, 5, 1]
+    assert V.of_algorithms(rows, ["one"]).count() == 2 and V.of_algorithms(rows).count() == 4 and V.of_algorithms(rows, []).count() == 0
+    assert {r.algorithm: r.hits for r in V.counts_by_algorithm(rows).collect()} == {"one": 2, "two": 2}
+    assert [r.off for r in V.containing(rows, "x", "label").orderBy("off").collect()] == [5, 7] and V.containing(rows, "", "label").count() == 4
+    assert [r.off for r in V.first_of_each(rows, ["dump_id"], ["off"], 1).orderBy("off").collect()] == [1, 7]
+    assert [r.off for r in V.next_page(rows, 1, 2).collect()] == [5, 7] and [r.off for r in V.next_page(rows, None, 1).collect()] == [1]
+    assert V.where_equal(rows, dump_id="b", label=None).count() == 1
+    for bad in ((-1, 5), (0, 0), (0, V.RANGE_LIMIT + 1)):
+        with pytest.raises(ValueError):
+            V.class_range(rows, *bad)
+    with pytest.raises(ValueError):
+        V.ordered(rows, "colour")
+
+
+def test_run_metadata_and_levels(spark):
+    good = {"run_id": "r", "master_key_hex": "0xabc", "aslr_base": "0x400000", "pid": "7", "dumps": {"memslicer": {"path": "run_0001/m.msl", "size": "0x10"}, "gcore": {"path": "else/g.core", "size": 5}, "other": {"path": "/abs/o"}, "none": {}}}
+    files = [("/d/run_0001/meta.json", json.dumps(good)), ("/d/run_0002/meta.json", "{}"), ("/d/run_0003/meta.json", "no json"), ("/d/run_0004/meta.json", "[1]"), ("/d/run_0001/x.json", "{}")]
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files], "path string, content binary")
+    listing = spark.createDataFrame([("/d/run_0001/m.msl",)], "path string")
+    got = {r.run_dir: r for r in K.run_metadata(df, listing).collect()}
+    one = got["/d/run_0001"]
+    assert (one.run_id, bytes(one.master_key), one.aslr_base, one.pid) == ("r", b"\x0a\xbc", 0x400000, 7)
+    assert {k: (v.path, v.size) for k, v in one.dumps.items()} == {"msl": ("/d/run_0001/m.msl", 16), "gcore": ("/d/run_0001/g.core", 5), "other": ("/abs/o", 0), "none": ("/d/run_0001", 0)}
+    assert set(got) == {"/d/run_0001", "/d/run_0002"} and got["/d/run_0002"].run_id == "run_0002" and not got["/d/run_0002"].dumps
+    runs = spark.createDataFrame([("lib", "1", n, f"d{i}") for i, n in enumerate((3, 1, 2, 1))], "library string, version string, run_number int, dump_id string")
+    assert sorted((r.run_number, r.dumps) for r in K.discover_runs(runs, 2).collect()) == [(1, 2), (2, 1)] and K.discover_runs(runs).count() == 3
+    path = "/data/TLS13/scen/lib/lib_run_13_1/20240101_000000_0_pre_x.dump"
+    roots = ["/data", "/data/TLS13", "/data/TLS13/scen", "/data/TLS13/scen/lib", "/data/TLS13/scen/lib/lib_run_13_1"]
+    levels = {r.root: r.level for r in K.scan_level(spark.createDataFrame([(r, path) for r in roots] + [("/x", "/x/a.txt")], "root string, path string")).collect()}
+    assert [levels[r] for r in roots] == ["dataset", "protocol", "scenario", "library", "run"] and levels["/x"] == "none"
+
+
+def test_suggestions_and_plug_ins(spark, tmp_path, monkeypatch):
+    import sys
+
+    from bytefold.functions import crypto
+    from bytefold.functions.formats import suggest_formats
+    from bytefold.operators import algorithms as G
+
+    pe = bytearray(256)
+    pe[0:2], pe[0x3C], pe[128:132], pe[152:154] = b"MZ", 128, b"PE\0\0", b"\x0b\x02"
+    cases = [b"\x7fELF\x02", b"\x1f\x8b00", bytes(pe), b"\xca\xfe\xba\xbe\0\0\0\x02", b"", b"zz"]
+    df = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate(cases)], "i int, d binary").select("i", suggest_formats(F.col("d")).alias("s"))
+    got = {r.i: [(x.format, x.reason) for x in r.s] for r in df.collect()}
+    assert got[0] == [("elf64", "magic at 0x0")] and got[1] == [("gzip", "magic at 0x0")] and got[2] == [("pe64", "PE signature at 0x80")]
+    assert got[3] == [("macho_fat", "magic at 0x0")] and got[4] == got[5] == []
+    folder = tmp_path / "plugpack"
+    folder.mkdir()
+    (folder / "__init__.py").write_text("")
+    (folder / "kdf_mine.py").write_text("from bytefold.functions.crypto import derivation\n@derivation('mine', 'X', ('A',))\ndef f(kind, value, algo):\n    return [('A2', value)]\n")
+    (folder / "algo_mine.py").write_text("from bytefold.operators.algorithms import algorithm\n@algorithm('mine', 'unknown_key')\ndef f(images, context):\n    return images\n")
+    (folder / "kdf_broken.py").write_text("import no_such_module\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning):
+        assert crypto.discover_derivations("plugpack") == ["mine"]
+    with pytest.warns(UserWarning):
+        assert G.discover("plugpack") == ["mine"]
+    try:
+        assert crypto.expand_secret("A", b"z") == [("A2", b"z")] and [s.name for s in crypto.schemes_of("x")] == ["mine"]
+        assert [r.y for r in spark.createDataFrame([("A",), ("B",), ("SSH2_SESSION_KEY",)], "t string").select(crypto.supports(F.col("t")).alias("y")).collect()] == [True, False, True]
+        assert len(crypto.expand_secret("SSH2_SESSION_KEY", b"k")) == 6 and crypto.expand_secret("none", b"") == []
+    finally:
+        del crypto.DERIVATIONS["mine"], G.REGISTRY["mine"]
+        sys.modules.pop("plugpack", None)
