@@ -11,6 +11,7 @@ from bytefold.functions.crypto import encrypt, verifies
 from bytefold.functions.normalize import instant_micros, micros_of, norm_hex, norm_id, norm_label, trimmed
 from bytefold.operators import hits as H
 from bytefold.operators import intervals as I
+from bytefold.operators.running import running
 from bytefold.session import table
 from bytefold.sources import catalog as K
 from bytefold.streaming.sessions import idle_sessions, in_ring
@@ -96,10 +97,9 @@ def findings_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 def findings_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Order of each run's findings in time."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("run_id").orderBy(F.col("micros").asc_nulls_last(), "finding_id")
-    return findings(spark, d).filter("run_id is not null").select("run_id", "finding_id", F.row_number().over(w).alias("position"))
+    rows = findings(spark, d).filter("run_id is not null").select("run_id", "finding_id", "micros")
+    placed = running(rows, ["run_id"], [F.col("micros").isNull(), "micros", "finding_id"], position="position")
+    return placed.select("run_id", "finding_id", F.col("position").cast("int").alias("position"))
 
 
 def run_view(spark: SparkSession, d: str) -> DataFrame:
@@ -199,10 +199,8 @@ def survivors_by_stage(spark: SparkSession, d: str) -> DataFrame:
 
 def downsample(spark: SparkSession, d: str) -> DataFrame:
     """Every 16th candidate region of a run in address order, for display."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("off", "entry_id")) - 1
-    return entries(spark, d).withColumn("n", n).filter("n % 16 = 0").select("run_id", "entry_id")
+    placed = running(entries(spark, d), ["run_id"], ["off", "entry_id"], position="position")
+    return placed.filter("position % 16 = 1").select("run_id", "entry_id")
 
 
 _QUERIES = (

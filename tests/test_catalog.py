@@ -199,7 +199,7 @@ def test_interval_joins(spark):
     right = [("g", i, a, a + rng.randrange(1, 40)) for i, a in enumerate(rng.sample(range(100), 20))]
     ls, rs = spark.createDataFrame(left, "g string, id int, s bigint, e bigint"), spark.createDataFrame(right, "g string, id int, s bigint, e bigint")
     want = {(a[1], b[1]) for a in left for b in right if a[2] < a[3] and a[2] < b[3] and b[2] < a[3]}
-    rows = I.overlap_join(ls, rs, ["g"], ("s", "e"), ("s", "e"), width=8).collect()
+    rows = I.overlap_join(ls, rs, ["g"], ("s", "e"), ("s", "e")).collect()
     assert {(r.id, r.r_id) for r in rows} == want and len(rows) == len(want)
     semi = I.overlap_join(ls, rs, ["g"], ("s", "e"), ("s", "e"), how="left_semi").collect()
     assert {r.id for r in semi} == {a for a, _ in want} and len(semi) == len({a for a, _ in want})
@@ -421,3 +421,39 @@ def test_suggestions_and_plug_ins(spark, tmp_path, monkeypatch):
     finally:
         del crypto.DERIVATIONS["mine"], G.REGISTRY["mine"]
         sys.modules.pop("plugpack", None)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_running_equals_a_window(spark, seed):
+    """Groups within and across the sorted stretches, null groups, nulls and ties in the order."""
+    from pyspark.sql import Window
+
+    from bytefold.operators.running import running
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), rng.choice([None, *range(40)]), i, rng.choice([None, 1, 5]), rng.choice([None, None, f"x{i}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, i int, v int, s string")
+    got = running(df, ["g"], ["o", "i"], "pos", {"sum": F.col("v")}, {"last": F.col("s")}).collect()
+    w = Window.partitionBy("g").orderBy("o", "i")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.row_number().over(w).cast("bigint").alias("pos"), F.sum("v").over(upto).alias("sum"), F.last("s", True).over(upto).alias("last")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(got) == 400
+    assert running(df.limit(0), ["g"], ["o", "i"], "pos").count() == 0
+
+
+def test_uneven_intervals_join_without_explosion(spark):
+    """One interval of 2^47 bytes among small ones makes a few rows, and no pair is lost or doubled."""
+    from bytefold.operators import intervals as I
+
+    rng = random.Random(8)
+    left = [("a", i, s := rng.randrange(4000), s + rng.randrange(1, 70)) for i in range(120)] + [("a", 900, 0, 1 << 47), ("a", 901, 5, 5), ("a", 902, None, 9)]
+    right = [("a", i, s := rng.randrange(4000), s + rng.choice([1, 3, 64, 1000])) for i in range(60)] + [("a", 700, -50, 1 << 46), ("b", 701, 0, 10)]
+    schema = "g string, i int, s bigint, e bigint"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    want = sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and None not in (x[2], x[3]) and x[2] < x[3] and x[2] < y[3] and y[2] < x[3])
+    joined = I.overlap_join(a, b, ["g"], ("s", "e"), ("s", "e"))
+    assert sorted((r.i, r.r_i) for r in joined.collect()) == want
+    assert sorted(r.i for r in I.overlap_join(a, b, ["g"], ("s", "e"), ("s", "e"), how="left_semi").collect()) == sorted({i for i, _ in want})
+    points = spark.createDataFrame([("a", p) for p in (-60, -50, 0, 17, 3999, 1 << 45, 1 << 46)], "g string, p bigint")
+    got = sorted((r.p, r.r_i) for r in I.point_join(points, b, ["g"], "p", ("s", "e")).collect())
+    assert got == sorted((p, y[1]) for p in (-60, -50, 0, 17, 3999, 1 << 45, 1 << 46) for y in right if y[0] == "a" and y[2] <= p < y[3])
