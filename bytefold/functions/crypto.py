@@ -163,19 +163,39 @@ def _expand_ssh(kind: str, value: bytes, algo: str = "sha256") -> list[tuple[str
     return [(name, ssh_key(value, bytes(32), letter, bytes(32), 32, algo)) for letter, name in SSH_KEYS.items()]
 
 
+def _version(protocol: str) -> str:
+    """One spelling of a protocol's version: ``12``, ``13`` or ``2``; another is given back as it is."""
+    return {"TLS12": "12", "TLS13": "13", "SSH2": "2"}.get(protocol.upper(), protocol)
+
+
+def derived(value: bytes, protocol: str, algo: str = "sha256") -> list[bytes]:
+    """What a candidate derives to on its own under a protocol's scheme, with zeros for what isn't known."""
+    zeros = bytes(32)
+    if _version(protocol) == "12":
+        return [tls12_master_secret(value, zeros, zeros, algo)]
+    if _version(protocol) == "13":
+        return [hkdf_expand_label(value, label, zeros, 32, algo) for label in TLS13_LABELS]
+    return []
+
+
+def joined(a: bytes, b: bytes, protocol: str, algo: str = "sha256") -> bool:
+    """Whether two candidates together derive to one of them (extraction in TLS 1.3, the keys of SSH 2)."""
+    both = ((a, b), (b, a))
+    if _version(protocol) == "13":
+        return any(hkdf_extract(x, y, algo) in (a, b) for x, y in both)
+    if _version(protocol) == "2":
+        return any(ssh_key(x, y, letter, y, 32, algo) in (a, b) for letter in SSH_KEYS for x, y in both)
+    return False
+
+
+def joins(protocol: str) -> bool:
+    """Whether a protocol's scheme derives from two candidates at once."""
+    return _version(protocol) in ("13", "2")
+
+
 def linked(a: bytes, b: bytes, protocol: str, algo: str = "sha256") -> float:
     """Confidence that one of two candidates derives from the other under a protocol's scheme."""
-    zeros = bytes(32)
-    version = protocol.upper()
-    if version in ("TLS12", "12"):
-        hit = any(tls12_master_secret(x, zeros, zeros, algo) == y for x, y in ((a, b), (b, a)))
-    elif version in ("TLS13", "13"):
-        hit = any(hkdf_extract(x, y, algo) in (a, b) for x, y in ((a, b), (b, a))) or any(hkdf_expand_label(x, label, zeros, 32, algo) == y for label in TLS13_LABELS for x, y in ((a, b), (b, a)))
-    elif version in ("SSH2", "2"):
-        hit = any(ssh_key(x, y, c, y, 32, algo) in (a, b) for c in SSH_KEYS for x, y in ((a, b), (b, a)))
-    else:
-        hit = False
-    return LINK_CONFIDENCE if hit else 0.0
+    return LINK_CONFIDENCE if a in derived(b, protocol, algo) or b in derived(a, protocol, algo) or joined(a, b, protocol, algo) else 0.0
 
 
 PROBE_CONFIDENCE = 0.70

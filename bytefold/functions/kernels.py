@@ -143,6 +143,11 @@ _PRINTABLE[0x20:0x7F] = True
 _PRINTABLE[[0x09, 0x0A, 0x0D]] = True
 
 
+def string_bytes(encoding: str = "ascii") -> np.ndarray:
+    """Which byte values a string of an encoding may hold."""
+    return _PRINTABLE | (np.arange(256) > 0x7F) if encoding == "utf-8" else _PRINTABLE
+
+
 def ascii_strings(data: bytes, min_length: int = 4) -> list[tuple[int, int, str]]:
     """Printable runs as (offset, length, text)."""
     starts, ends = runs_of(_PRINTABLE[as_bytes(data)])

@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from bytefold.functions import crypto
 from bytefold.functions.kernels import cusum_edges, plateaus
 from bytefold.functions.plugins import import_modules
-from bytefold.operators.chunks import chunked
+from bytefold.operators.chunks import around, chunked
 from bytefold.operators.consensus import INVARIANT, KEY_CANDIDATE, consensus_state, span_means, state_runs, whole_chunks
 from bytefold.operators.entropy import entropy_profile, high_regions
 from bytefold.operators.runs import merge_near
-from bytefold.operators.search import exact_hits, masked_score, needle_halo, regex_search
-from bytefold.operators.structures import match_structures
+from bytefold.operators.search import contains_join, exact_hits, masked_score, needle_halo, regex_search
+from bytefold.operators.structures import builtin, match_structures
 
 _COLUMNS = ["dump_id", "off", "length", "confidence", "label"]
 
@@ -188,37 +188,47 @@ def differential(images: DataFrame, context: Context) -> DataFrame:
 def _pairs(protocol: str):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            links = [crypto.linked(x, y, protocol) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(links, pa.float64())], names=[*b.schema.names, "link"])
+            links = [crypto.joined(x, y, protocol) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+            yield b.select(["dump_id", "off", "off_b"]).filter(pa.array(links, pa.bool_()))
 
     return test
 
 
-def _probes(protocol: str, size: int):
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _derived(derive: Callable[[bytes], list[bytes]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            derived = [crypto.probe(x, protocol, size) for x in b.column("value").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(derived, pa.binary())], names=[*b.schema.names, "derived"])
+            values = [derive(x) for x in b.column("value").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(values)), [len(v) for v in values]))
+            yield pa.RecordBatch.from_arrays([b.column("dump_id").take(at), b.column("off").take(at), pa.array([x for v in values for x in v], pa.binary())], names=["dump_id", "off", "derived"])
 
-    return test
+    return run
 
 
 @algorithm("constraint_validator", "unknown_key")
 def constraint_validator(images: DataFrame, context: Context) -> DataFrame:
     """Candidates of the protocol's key size that derive from one another, or to bytes of the image.
 
-    ``extra["candidates"]`` is ``dump_id, off, value``; pairs are formed within an image and key
-    size only.  A candidate equal to a known secret has confidence 1.
+    ``extra["candidates"]`` is ``dump_id, off, value``.  What a candidate derives to on its own is
+    computed once and joined to the candidates of its image; only schemes that join two candidates
+    (extraction, SSH) test pairs, within an image and key size.  Probes are searched in the chunks.
+    A candidate equal to a known secret has confidence 1.
     """
-    size = crypto.KEY_SIZES[context.protocol_version.upper()]
+    protocol, size = context.protocol_version, crypto.KEY_SIZES[context.protocol_version.upper()]
     candidates = context.extra["candidates"].filter(F.octet_length("value") == size).select("dump_id", "off", "value")
-    right = candidates.select("dump_id", F.col("off").alias("off_b"), F.col("value").alias("b"))
-    pairs = candidates.select("dump_id", "off", F.col("value").alias("a")).join(right, "dump_id").filter("off < off_b")
     kind = _kind(candidates)
-    linked = pairs.select("dump_id", "off", "off_b", "a", "b").mapInArrow(_pairs(context.protocol_version), f"dump_id {kind}, off bigint, off_b bigint, a binary, b binary, link double").filter("link > 0")
-    both = linked.select("dump_id", F.col("off"), "link").unionByName(linked.select("dump_id", F.col("off_b").alias("off"), "link")).groupBy("dump_id", "off").agg(F.max("link").alias("link"))
-    rest = candidates.join(both, ["dump_id", "off"], "left_anti").mapInArrow(_probes(context.protocol_version, size), f"dump_id {kind}, off bigint, value binary, derived binary")
-    probed = rest.join(images.select("dump_id", F.col("data").cast("binary").alias("data")), "dump_id").filter(F.contains("data", "derived")).select("dump_id", "off", F.lit(crypto.PROBE_CONFIDENCE).alias("link"))
+    schema = f"dump_id {kind}, off bigint, derived binary"
+    other = candidates.select("dump_id", F.col("off").alias("off_b"), F.col("value").alias("b"))
+    alone = candidates.mapInArrow(_derived(lambda x: crypto.derived(x, protocol)), schema).withColumnRenamed("derived", "b")
+    links = alone.join(other, ["dump_id", "b"]).filter("off <> off_b").select("dump_id", "off", "off_b")
+    if crypto.joins(protocol):
+        pairs = candidates.withColumnRenamed("value", "a").join(other, "dump_id").filter("off < off_b")
+        links = links.unionByName(pairs.select("dump_id", "off", "off_b", "a", "b").mapInArrow(_pairs(protocol), f"dump_id {kind}, off bigint, off_b bigint"))
+    both = links.select("dump_id", "off").unionByName(links.select("dump_id", F.col("off_b").alias("off"))).distinct().withColumn("link", F.lit(crypto.LINK_CONFIDENCE))
+    rest = candidates.join(both, ["dump_id", "off"], "left_anti").mapInArrow(_derived(lambda x: [crypto.probe(x, protocol, size)]), schema)
+    # A needle carries its own image and place; hits in other images are none.
+    named = rest.select(F.to_json(F.struct(F.col("dump_id").cast("string").alias("d"), F.col("off").alias("o"))).alias("secret_type"), F.col("derived").alias("value"))
+    hits = contains_join(chunked(images, size + 64), named).select("dump_id", F.from_json("secret_type", "d string, o bigint").alias("n"))
+    probed = hits.filter(F.col("n.d").eqNullSafe(F.col("dump_id").cast("string"))).select("dump_id", F.col("n.o").alias("off")).distinct().withColumn("link", F.lit(crypto.PROBE_CONFIDENCE))
     found = both.unionByName(probed).join(candidates, ["dump_id", "off"])
     known = F.col("value").isin([v for _, v in context.secrets]) if context.secrets else F.lit(False)
     return found.select("dump_id", "off", F.lit(size).alias("length"), F.when(known, 1.0).otherwise(F.col("link")).alias("confidence"), F.lit("kdf_validated").alias("label"))
@@ -244,11 +254,11 @@ def _structural(rules: list[dict]):
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, off, score = [], [], []
-            for i, (data, offsets) in enumerate(zip(b.column("data").to_pylist(), b.column("offsets").to_pylist())):
+            for i, (base, data, offsets) in enumerate(zip(b.column("base_off").to_pylist(), b.column("data").to_pylist(), b.column("offsets").to_pylist())):
                 for o in offsets:
                     if (s := masked_score(data, o, rules)) > 0:
                         at.append(i)
-                        off.append(o)
+                        off.append(base + o)
                         score.append(s)
             yield pa.RecordBatch.from_arrays([b.column("dump_id").take(pa.array(at, pa.int64())), pa.array(off, pa.int64()), pa.array(score, pa.float64())], names=["dump_id", "off", "confidence"])
 
@@ -262,9 +272,11 @@ def pattern_match(images: DataFrame, context: Context) -> DataFrame:
     for p in applicable(context.extra.get("patterns", []), context.library, context.protocol_version):
         size = p["key_spec"]["length"]
         inner = Context(extra={"window_sizes": [size], "entropy_threshold": p["key_spec"].get("entropy_min", 7.0)})
-        at = entropy_scan(images, inner).groupBy("dump_id").agg(F.sort_array(F.collect_list("off")).alias("offsets"))
         rules = [*p.get("pattern", {}).get("before", []), *p.get("pattern", {}).get("after", [])]
-        found = images.select("dump_id", F.col("data").cast("binary").alias("data")).join(at, "dump_id").select("dump_id", "data", "offsets").mapInArrow(_structural(rules), f"dump_id {_kind(images)}, off bigint, confidence double")
+        before = max([0, *(-r["offset"] for r in rules)])
+        after = max([size, *(r["offset"] + len(r.get("bytes", "")) // 2 for r in rules)])
+        near = around(images, entropy_scan(images, inner).select("dump_id", "off"), before, after)
+        found = near.mapInArrow(_structural(rules), f"dump_id {_kind(images)}, off bigint, confidence double")
         out = out.unionByName(found.select("dump_id", "off", F.lit(size).alias("length"), "confidence", F.lit(p.get("name", "unknown_pattern")).alias("label")))
     return out
 
@@ -279,8 +291,10 @@ def structure_scan(images: DataFrame, context: Context) -> DataFrame:
     regions = high_regions(entropy_profile(chunked(whole, window - 1), window, step), least, 32, step)
     inside = regions.select("dump_id", F.explode(F.sequence("start", F.col("end") - 1, F.lit(step).cast("bigint"))).alias("o"))
     grid = whole.select("dump_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.octet_length("data"), F.lit(1024)).cast("bigint") - 1, F.lit(64).cast("bigint"))).alias("o"))
-    at = inside.unionByName(grid).groupBy("dump_id").agg(F.array_sort(F.collect_set("o")).alias("offsets"))
-    found = match_structures(whole.join(at, "dump_id"), context.extra.get("structures"), 0.5, protocol)
+    library = context.extra.get("structures") or builtin()
+    near = around(whole, inside.unionByName(grid).select("dump_id", F.col("o").alias("off")), 0, max(s.largest_size for s in library))
+    placed = near.select(F.struct("dump_id", "base_off").alias("dump_id"), "data", "offsets")
+    found = match_structures(placed, library, 0.5, protocol).select("dump_id.dump_id", (F.col("dump_id.base_off") + F.col("off")).alias("off"), "length", "confidence", "structure")
     return found.select("dump_id", "off", "length", "confidence", F.concat(F.lit("struct:"), F.col("structure")).alias("label"))
 
 

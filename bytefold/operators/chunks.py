@@ -49,3 +49,17 @@ def chunks_of_view(runs: DataFrame, halo: int = 0, chunk: int = CHUNK) -> DataFr
     parts = F.transform(F.array_sort(F.collect_list(F.struct("low", "p"))), lambda x: x["p"])
     met = pieces.groupBy("dump_id", "n").agg(parts.alias("parts"), F.sum("own").cast("int").alias("size")).filter("size > 0")
     return met.select("dump_id", F.col("n").cast("int").alias("chunk_no"), (F.col("n") * chunk).alias("base_off"), "size", F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x)).alias("data"))
+
+
+def around(images: DataFrame, places: DataFrame, before: int, after: int, chunk: int = CHUNK) -> DataFrame:
+    """Chunks with the places that are looked at in them: ``dump_id, base_off, data, offsets``.
+
+    Each of ``places(dump_id, off)`` comes out once, in a chunk that holds the bytes from ``before``
+    ahead of it to ``after`` behind it as far as the image goes; ``offsets`` count from the chunk.
+    Only chunks with places cross the exchange, never whole images.
+    """
+    at = places.select("dump_id", F.col("off").cast("bigint").alias("off")).withColumn("chunk_no", F.floor(F.greatest(F.lit(0), F.col("off") - before) / chunk).cast("int"))
+    met = at.groupBy("dump_id", "chunk_no").agg(F.array_sort(F.collect_set("off")).alias("_at"))
+    parts = chunked(images, before + after, chunk).select("dump_id", "chunk_no", "base_off", "data")
+    joined = parts.join(met, ["dump_id", "chunk_no"])
+    return joined.select("dump_id", "base_off", "data", F.transform("_at", lambda o: o - F.col("base_off")).alias("offsets"))

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytefold.functions.kernels import as_bytes, shannon, sliding_entropy
+from bytefold.functions.kernels import as_bytes, sliding_entropy
+from bytefold.operators.chunks import chunked
 
 
 def check_threshold(threshold: float, window: int) -> None:
@@ -18,15 +19,26 @@ def check_threshold(threshold: float, window: int) -> None:
         raise ValueError(f"threshold {threshold} can't be reached in a window of {window} bytes")
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each byte value occurs in each chunk; chunks of one image in a batch are added up."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shannon(x) for x in b.column(1).to_pylist()], pa.float64())], names=["dump_id", "entropy"])
+        held: dict[int, np.ndarray] = {}
+        ids = b.column("dump_id").dictionary_encode()
+        for code, data, size in zip(ids.indices.to_pylist(), b.column("data"), b.column("size").to_pylist()):
+            counts = np.bincount(as_bytes(data.as_buffer())[:size], minlength=256)
+            held[code] = held[code] + counts if code in held else counts
+        for code, counts in held.items():
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(np.full(len(seen), code))), pa.array(seen, pa.int32()), pa.array(counts[seen], pa.int64())], names=["dump_id", "v", "c"])
 
 
 def image_entropy(images: DataFrame) -> DataFrame:
-    """Bits per byte of each image; 0 for null and empty ones."""
+    """Bits per byte of each image; 0 for null and empty ones.  No image is held as a whole."""
     kind = dict(images.dtypes)["dump_id"]
-    return images.select("dump_id", F.col("data").cast("binary")).mapInArrow(_whole, f"dump_id {kind}, entropy double")
+    counts = chunked(images).select("dump_id", "size", "data").mapInArrow(_histogram, f"dump_id {kind}, v int, c bigint").groupBy("dump_id", "v").agg(F.sum("c").alias("c"))
+    none = images.select("dump_id", F.lit(None).cast("int").alias("v"), F.lit(0).cast("bigint").alias("c")).distinct()
+    n, weighted = F.sum("c"), F.sum(F.when(F.col("c") > 0, F.col("c") * F.log2("c")).otherwise(0.0))
+    return counts.unionByName(none).groupBy("dump_id").agg(F.when(n > 0, F.greatest(F.lit(0.0), F.log2(n) - weighted / n)).otherwise(0.0).alias("entropy"))
 
 
 def _profile(window: int, step: int):

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytefold.functions.kernels import Automaton, as_bytes, ascii_strings, utf8_strings
+from bytefold.functions.kernels import Automaton, as_bytes, ascii_strings, runs_of, string_bytes, utf8_strings
+from bytefold.operators.chunks import chunked
 
 #: Needles that are shipped to every task; a table of any size goes through ``contains_join``.
 MAX_NEEDLES = 100_000
@@ -155,26 +156,56 @@ def regex_search(images: DataFrame, patterns: list[tuple[str, str]]) -> DataFram
     return images.select("dump_id", F.col("data").cast("binary").alias("data")).mapInArrow(_regex(good), f"dump_id {kind}, label string, off bigint, length int")
 
 
-def _strings(min_length: int, encoding: str):
+def _string_pieces(min_length: int, encoding: str):
+    table = string_bytes(encoding)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, start, end, edge, piece = [], [], [], [], []
+            for i, (base, size, data) in enumerate(zip(batch.column("base_off").to_pylist(), batch.column("size").to_pylist(), batch.column("data").to_pylist())):
+                data = data[:size]
+                for a, b in zip(*map(np.ndarray.tolist, runs_of(table[as_bytes(data)]))):
+                    open_ended = (a == 0 and base > 0) or b == size
+                    if open_ended or b - a >= min_length:
+                        at.append(i)
+                        start.append(base + a)
+                        end.append(base + b)
+                        edge.append(open_ended)
+                        piece.append(data[a:b])
+            if at:
+                yield pa.RecordBatch.from_arrays([_by_id(batch, at), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(edge, pa.bool_()), pa.array(piece, pa.binary())], names=["dump_id", "start", "end", "edge", "piece"])
+
+    return pieces
+
+
+def _string_texts(min_length: int, encoding: str):
     extract = utf8_strings if encoding == "utf-8" else ascii_strings
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *s) for i, data in enumerate(batch.column("data").to_pylist()) for s in extract(data or b"", min_length)]
+            rows = [(i, base + off, length, text) for i, (base, piece) in enumerate(zip(batch.column("start").to_pylist(), batch.column("piece").to_pylist())) for off, length, text in extract(piece, min_length)]
             if rows:
                 at, off, length, text = zip(*rows)
                 yield pa.RecordBatch.from_arrays([_by_id(batch, list(at)), pa.array(off, pa.int64()), pa.array(length, pa.int32()), pa.array(text, pa.string())], names=["dump_id", "off", "length", "value"])
 
-    return search
+    return texts
 
 
 def strings_of(images: DataFrame, min_length: int = 4, encoding: str = "ascii") -> DataFrame:
     """Printable strings: ``dump_id, off, length, value``; lengths in bytes, ``min_length`` in characters.
 
-    A page of them is ``filter(off > cursor).orderBy(off).limit(n)``.
+    Takes images ``(dump_id, data)`` or their chunks.  Runs are found inside the chunks; only runs
+    at a chunk's edge are put together over the image.  A page of strings is ``results.next_page``.
     """
     kind = dict(images.dtypes)["dump_id"]
-    return images.select("dump_id", F.col("data").cast("binary").alias("data")).mapInArrow(_strings(min_length, encoding), f"dump_id {kind}, off bigint, length int, value string")
+    chunks = images if "base_off" in images.columns else chunked(images)
+    found = chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_string_pieces(min_length, encoding), f"dump_id {kind}, start bigint, end bigint, edge boolean, piece binary")
+    along = Window.partitionBy("dump_id").orderBy("start")
+    new = F.coalesce((F.lag("end").over(along) < F.col("start")).cast("int"), F.lit(1))
+    met = found.filter("edge").withColumn("_n", new).withColumn("_r", F.sum("_n").over(along)).groupBy("dump_id", "_r")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("start", "piece"))), lambda x: x["piece"])
+    met = met.agg(F.min("start").alias("start"), F.concat_ws("", F.transform(parts, lambda p: F.hex(p))).alias("_h")).select("dump_id", "start", F.unhex("_h").alias("piece"))
+    return found.filter("not edge").select("dump_id", "start", "piece").unionByName(met).mapInArrow(_string_texts(min_length, encoding), f"dump_id {kind}, off bigint, length int, value string")
 
 
 def hits_in_static(hits: DataFrame, volatile_runs: DataFrame, by: list[str]) -> DataFrame:

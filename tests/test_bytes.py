@@ -270,3 +270,16 @@ def test_masked_rules():
     assert S.masked_score(b"\x99\x20AAAA\x00", 2, rules) == 0.5
     assert S.masked_score(b"AAAA\xff", 0, rules) == 0.5  # a rule outside the data fails
     assert S.masked_score(b"AAAA", 0, []) == 0.0
+
+
+@pytest.mark.parametrize("encoding", ["ascii", "utf-8"])
+def test_strings_do_not_depend_on_the_chunks(spark, encoding):
+    rng = random.Random(2)
+    texts = ["plain text äöü ß that goes on ".encode() * 9, bytes(rng.choice(b"ab \x00\xff\xc3\xa4") for _ in range(900)), b"", None, b"x" * 64, "né".encode() * 40 + b"\x00abcd"]
+    df = images(spark, *texts)
+    extract = K.utf8_strings if encoding == "utf-8" else K.ascii_strings
+    want = sorted((i, *s) for i, t in enumerate(texts) for s in extract(t or b"", 4))
+    for source in (df, chunked(df, 0, 16), chunked(df, 7, 64)):
+        assert sorted(tuple(r) for r in S.strings_of(source, 4, encoding).collect()) == want
+    for r in E.image_entropy(df).collect():
+        assert abs(r.entropy - K.shannon(texts[r.dump_id])) < 1e-9
