@@ -59,8 +59,40 @@ def headers(files: DataFrame) -> DataFrame:
     return _flat(_images(files), ["dump_id", "data"], head, _HEADER)
 
 
+def read_errors(files: DataFrame) -> DataFrame:
+    """What keeps a container from being read whole: ``dump_id, file_off, error``, a row per faulty file.
+
+    No container, a sealed one (``open_sealed`` reads it), a block without its magic, one cut off
+    by the file's end, or bytes behind the last block.  ``blocks`` gives what comes before.
+    """
+
+    def check(dump, data):
+        data = data or b""
+        try:
+            head = codec.file_header(data[: codec.FILE_HEADER])
+        except codec.FormatError as e:
+            yield (dump, 0, str(e))
+            return
+        if head["flags"] & codec.ENCRYPTED:
+            yield (dump, 0, "the container is sealed")
+            return
+        at = head["header_size"]
+        while at < len(data):
+            raw = data[at : at + codec.BLOCK_HEADER]
+            if raw[:4] != codec.BLOCK_MAGIC or len(raw) < codec.BLOCK_HEADER:
+                yield (dump, at, "no block begins here")
+                return
+            length = codec.read(codec.BLOCK_LAYOUT, raw)[0]["length"]
+            if length < codec.BLOCK_HEADER or at + length > len(data):
+                yield (dump, at, "the block reaches beyond the file")
+                return
+            at += length
+
+    return _flat(_images(files), ["dump_id", "data"], check, "dump_id string, file_off bigint, error string")
+
+
 def blocks(files: DataFrame) -> DataFrame:
-    """All blocks of all containers in file order; files that are none have no row."""
+    """All blocks of all containers in file order, up to the first fault; ``read_errors`` lists the faults."""
 
     def walk(dump, data):
         try:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytefold.operators.hits import latest
+from bytefold.session import path_exists
 
 # Columns of the store's tables.
 SCHEMAS = {
@@ -39,10 +40,9 @@ class FindingsStore:
 
     def table(self, name: str) -> DataFrame:
         """A table as written; a table without rows yet is empty."""
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
-        except Exception:
+        if not path_exists(self.spark, f"{self.root}/{name}"):
             return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}")
 
     def create_project(self, name: str, description: str = "") -> str:
         key = uuid.uuid4().hex
@@ -76,18 +76,23 @@ class FindingsStore:
         self._append("findings", rows)
 
     def persist_hits(self, hits: DataFrame, phase: str = "") -> dict[str, str]:
-        """Hits of several libraries: a project and a finished run for each; all findings in one write."""
-        libraries = [r[0] for r in hits.select("library").distinct().orderBy("library").collect()]
-        runs = {}
-        for library in libraries:
-            runs[library] = self.start_run(self.create_project(str(library)), config={"phase": phase})
-        if runs:
-            names = F.create_map(*(F.lit(x) for kv in runs.items() for x in kv))
-            staged = hits.withColumn("run_id", names[F.col("library")])
-            rows = staged.select(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("finding_id"), "run_id", F.col("secret_type").alias("finding_type"), F.col("off").alias("byte_offset"), F.col("length").cast("int"), F.lit(None).cast("string").alias("value_hex"), F.lit(None).cast("string").alias("value_text"), F.lit(1.0).alias("confidence"), F.lit("{}").alias("metadata_json"), F.lit(self._now()).alias("created_at"))
-            self._append("findings", rows)
-            for run in runs.values():
-                self.finish_run(run)
+        """Hits of several libraries: a project and a finished run for each, three writes in all.
+
+        The runs are written last: a step that fails before leaves rows that no run names, so
+        nothing of it is seen.  A null library is one of its own, named ``None``.
+        """
+        name = F.coalesce(F.col("library").cast("string"), F.lit("None"))
+        libraries = [r[0] for r in hits.select(name.alias("l")).distinct().orderBy("l").collect()]
+        if not libraries:
+            return {}
+        now, projects, runs = self._now(), {n: uuid.uuid4().hex for n in libraries}, {n: uuid.uuid4().hex for n in libraries}
+        self._append("projects", self._rows("projects", [(projects[n], n, now, "") for n in libraries]))
+        names = F.create_map(*(F.lit(x) for kv in runs.items() for x in kv))
+        staged = hits.withColumn("run_id", names[name])
+        rows = staged.select(F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")).alias("finding_id"), "run_id", F.col("secret_type").alias("finding_type"), F.col("off").alias("byte_offset"), F.col("length").cast("int"), F.lit(None).cast("string").alias("value_hex"), F.lit(None).cast("string").alias("value_text"), F.lit(1.0).alias("confidence"), F.lit("{}").alias("metadata_json"), F.lit(now).alias("created_at"))
+        self._append("findings", rows)
+        config = json.dumps({"phase": phase})
+        self._append("analysis_runs", self._rows("analysis_runs", [(runs[n], projects[n], "", now, self._now(), "completed", config) for n in libraries]))
         return runs
 
     def query_findings(self, run_id: str, finding_type: str | None = None) -> DataFrame:

@@ -224,3 +224,15 @@ def test_source_kind(spark):
     rows = [("/x/a.msl", bytearray(b"raw bytes with a wrong name")), ("/x/y.bin", bytearray(b"MEMSLICE" + bytes(60))), ("/x/gcore.core", bytearray(core())), ("/x/gdb_raw.bin", bytearray(b"x")), ("/x/p.lldb_raw.bin", bytearray(b"x"))]
     df = spark.createDataFrame(rows, "path string, head binary")
     assert [r.k for r in df.select(I.source_kind(F.col("path"), F.col("head")).alias("k")).collect()] == ["raw", "msl", "gcore", "gdb_raw", "lldb_raw"]
+
+
+def test_faults_are_listed(spark):
+    """Nothing that can't be read vanishes without a row that says so."""
+    w = C.ContainerWriter(algorithm=1)
+    w.add_record(0x0002, {"base": 1, "size": 2, "path": "/m.so"})
+    good = w.to_bytes()
+    files = {"good": good, "none": b"no container", "empty": b"", "cut": good[:-9], "tail": good + b"junk" * 30, "null": None}
+    df = spark.createDataFrame([(k, None if v is None else bytearray(v)) for k, v in files.items()], "dump_id string, data binary")
+    got = {r.dump_id: (r.file_off, r.error) for r in M.read_errors(df).collect()}
+    assert set(got) == {"none", "empty", "cut", "tail", "null"}
+    assert got["tail"] == (len(good), "no block begins here") and got["cut"][0] > 0
