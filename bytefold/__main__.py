@@ -22,6 +22,7 @@ from bytefold.operators.chunks import chunked
 from bytefold.plans import funnel, inspect, library, patterns, report
 from bytefold.session import local_session
 from bytefold.sources import catalog, codec
+from bytefold.sources.images import file_states
 from bytefold.streaming.sessions import ConsensusSession
 
 _FUNNEL = {"alignment": int, "block_size": int, "density_threshold": float, "min_variance": float, "entropy_window": int, "entropy_threshold": float, "min_region": int}
@@ -65,8 +66,14 @@ def cmd_analyze(spark, a):
     return {"hits": _rows(hits.orderBy("library", "run_number", "off", "secret_type")), "summary": _rows(library.library_report(hits))}
 
 
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files in the order given, to be read in ranges: ``grp, rank, path, size``."""
+    rows = [("", i + 1, os.path.abspath(p), os.path.getsize(p)) for i, p in enumerate(paths)]
+    return spark.createDataFrame(rows, "grp string, rank int, path string, size bigint")
+
+
 def _consensus(spark, paths):
-    return C.expand(C.consensus_state(chunked(_images(spark, paths))), 1 << 16)
+    return C.expand(file_states(_files(spark, paths)), 1 << 16, whole=True)
 
 
 def cmd_consensus(spark, a):
@@ -105,7 +112,7 @@ def cmd_consensus_finalize(spark, a):
 
 
 def cmd_search_reduce(spark, a):
-    stages, regions = funnel.reduce_images(_images(spark, _paths(a.dumps)), **_params(a))
+    stages, regions = funnel.reduce_files(_files(spark, _paths(a.dumps)), **_params(a))
     return {"stages": _rows(stages), "regions": _rows(regions.orderBy("off"))}
 
 

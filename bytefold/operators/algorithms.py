@@ -88,21 +88,21 @@ def exact_match(images: DataFrame, context: Context) -> DataFrame:
 
 
 def _keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold candidates in (image, offset, longer first) order; the state is the last one kept."""
+    """Fold candidates in (image, part, offset, longer first) order; the state is the last one kept."""
     kept = None
     for b in batches:
         out = []
-        for row in zip(*(b.column(c).to_pylist() for c in ("dump_id", "off", "length", "confidence"))):
-            if kept is not None and row[0] == kept[0] and row[1] < kept[1] + kept[2]:
+        for row in zip(*(b.column(c).to_pylist() for c in ("dump_id", "off", "length", "confidence", "_part"))):
+            if kept is not None and (row[0], row[4]) == (kept[0], kept[4]) and row[1] < kept[1] + kept[2]:
                 if row[3] > kept[3]:
                     kept = row
                 continue
             if kept is not None:
-                out.append(kept)
+                out.append(kept[:4])
             kept = row
         yield _matches(out, b.schema)
     if kept is not None:
-        yield _matches([kept], b.schema)
+        yield _matches([kept[:4]], b.schema)
 
 
 def _matches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -111,14 +111,59 @@ def _matches(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, schema.field(n).type) for c, n in zip(columns, names)], names=names)
 
 
+#: Offsets of a block whose candidates are merged on their own.
+_BLOCK = 1 << 16
+
+
+def _block_clusters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the clusters of overlapping candidates that lie inside a block; pass the others on.
+
+    A candidate behind the end of all before it starts anew whatever came before.  Only a block's
+    first cluster may go on from the block before, and one that reaches beyond the block into the next.
+    """
+    rows = ((*row, b.schema) for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("dump_id", "_b", "off", "length", "confidence"))))
+    for (_, block), group in groupby(rows, key=lambda r: (r[0], r[1])):
+        clusters: list[list[tuple]] = []
+        top = None
+        for dump, _, off, length, confidence, schema in group:
+            if top is None or off >= top:
+                clusters.append([])
+                top = off + length
+            clusters[-1].append((dump, off, length, confidence))
+            top = max(top, off + length)
+        done, open_rows = [], []
+        for i, cluster in enumerate(clusters):
+            alone = (i > 0 or block == 0) and max(off + length for _, off, length, _ in cluster) <= (block + 1) * _BLOCK
+            if alone:
+                kept = cluster[0]
+                for row in cluster[1:]:
+                    if row[1] >= kept[1] + kept[2]:
+                        done.append(kept)
+                        kept = row
+                    elif row[3] > kept[3]:
+                        kept = row
+                done.append(kept)
+            else:
+                open_rows += cluster
+        flags = pa.array([True] * len(done) + [False] * len(open_rows), pa.bool_())
+        made = _matches(done + open_rows, schema)
+        yield pa.RecordBatch.from_arrays([*made.columns, flags], names=[*made.schema.names, "final"])
+
+
 def merge_overlapping(candidates: DataFrame) -> DataFrame:
     """Of overlapping candidates the one of higher confidence, decided from left to right.
 
-    The fold carries one candidate only, so a task streams through its images' candidates in
-    order; nothing is held per image.
+    Clusters of overlapping candidates are independent.  Those inside a block are merged with the
+    block; only clusters at a block's edge are folded over the image, by a task that streams
+    through them and carries one candidate.
     """
-    schema = ", ".join(f"{n} {t}" for n, t in candidates.select("dump_id", "off", "length", "confidence").dtypes)
-    ordered = candidates.select("dump_id", "off", "length", "confidence").repartition("dump_id").sortWithinPartitions("dump_id", "off", F.desc("length"))
+    body = candidates.select("dump_id", "off", "length", "confidence")
+    schema = ", ".join(f"{n} {t}" for n, t in body.dtypes)
+    blocks = body.withColumn("_b", F.floor(F.col("off") / _BLOCK)).repartition("dump_id", "_b").sortWithinPartitions("dump_id", "_b", "off", F.desc("length"))
+    merged = blocks.mapInArrow(_block_clusters, f"{schema}, final boolean")
+    # What is final is disjoint and stays as it is; a part of its own keeps it apart from the open rows.
+    parts = merged.withColumn("_part", F.when(F.col("final"), F.floor(F.col("off") / _BLOCK)).otherwise(-1)).drop("final")
+    ordered = parts.repartition("dump_id", "_part").sortWithinPartitions("dump_id", "_part", "off", F.desc("length"))
     return ordered.mapInArrow(_keep_best, schema)
 
 

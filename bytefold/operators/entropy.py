@@ -86,11 +86,14 @@ def high_regions(profile: DataFrame, threshold: float = 7.5, min_width: int = 32
 def coverage(profile: DataFrame, threshold: float, window: int = 32, step: int = 1) -> DataFrame:
     """Byte ranges covered by windows at or over the threshold: ``dump_id, start, end``.
 
-    The union of equal-width intervals: a new range starts where the window before ends earlier.
+    The union of equal-width intervals: windows at most a width apart are one range.  Blocks are
+    merged on their own, and over an image only the first and last range of each block meet.
     """
-    along = Window.partitionBy("dump_id").orderBy("off")
-    high = profile.filter(F.col("entropy") >= threshold).withColumn("_new", F.coalesce((F.col("off") - F.lag("off").over(along) > window).cast("int"), F.lit(1)))
-    return high.withColumn("_g", F.sum("_new").over(along)).groupBy("dump_id", "_g").agg(F.min("off").alias("start"), (F.max("off") + window).alias("end")).drop("_g")
+    from bytefold.operators.runs import merge_near
+
+    points = profile.filter(F.col("entropy") >= threshold).select("dump_id", F.col("off").alias("start"), (F.col("off") + 1).alias("end"))
+    merged = merge_near(points, ["dump_id"], F.lit(True), window - 1)
+    return merged.select("dump_id", "start", (F.col("end") - 1 + window).alias("end"))
 
 
 def entropy_stats(profile: DataFrame, by: list[str], sample: int = 200) -> DataFrame:

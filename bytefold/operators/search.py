@@ -65,8 +65,26 @@ def exact_hits(chunks: DataFrame, needles: list[tuple[str, bytes]]) -> DataFrame
     return chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_exact(needles), f"dump_id {kind}, secret_type string, off bigint, length int")
 
 
-def _prefixes(size: int, step_rows: int = 1 << 16):
+#: Bits of the map of needle prefixes that the scan looks at first: 2 MB, whatever the number of needles.
+_MAP_BITS = 24
+_MAP_PART = 32_768
+
+
+def _prefix_map(keys: DataFrame) -> np.ndarray | None:
+    """A map of the prefixes ``key`` (by their low bits), put together in the executors; None without any."""
+    at = F.pmod("key", F.lit(1 << _MAP_BITS)) + 1
+    parts = keys.select(F.bitmap_bucket_number(at).alias("b"), F.bitmap_bit_position(at).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m")).collect()
+    if not parts:
+        return None
+    bits = np.zeros(1 << _MAP_BITS, dtype=bool)
+    for r in parts:
+        bits[(r["b"] - 1) * _MAP_PART : r["b"] * _MAP_PART] = np.unpackbits(np.frombuffer(r["m"], dtype=np.uint8), bitorder="little")
+    return np.packbits(bits)
+
+
+def _prefixes(size: int, packed: np.ndarray):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed).astype(bool)
         for batch in batches:
             base, sizes = batch.column("base_off").to_pylist(), batch.column("size").to_pylist()
             for i, data in enumerate(batch.column("data")):
@@ -75,10 +93,10 @@ def _prefixes(size: int, step_rows: int = 1 << 16):
                 if own <= 0:
                     continue
                 key = sum(values[k : own + k] << (8 * k) for k in range(size))
-                for a in range(0, own, step_rows):
-                    part = key[a : a + step_rows]
-                    off = np.arange(a, a + len(part), dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column("dump_id").take(pa.array(np.full(len(part), i))), pa.array(np.full(len(part), base[i])), pa.array(off + base[i]), pa.array(part)], names=["dump_id", "base_off", "off", "key"])
+                off = np.flatnonzero(known[key & ((1 << _MAP_BITS) - 1)])
+                if len(off):
+                    same = np.full(len(off), i)
+                    yield pa.RecordBatch.from_arrays([batch.column("dump_id").take(pa.array(same)), pa.array(np.full(len(off), base[i])), pa.array(off + base[i]), pa.array(key[off])], names=["dump_id", "base_off", "off", "key"])
 
     return prefixes
 
@@ -86,27 +104,29 @@ def _prefixes(size: int, step_rows: int = 1 << 16):
 def contains_join(chunks: DataFrame, needles: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """``exact_hits`` for a table of needles ``(secret_type, value)`` of any number.
 
-    Needles of one length of prefix meet the windows of the data that begin with their first bytes
-    by a join on these bytes; only windows whose first bytes occur in the needles leave the scan
-    (a semi join that Catalyst may broadcast), and the rest of a needle is compared in its chunk.
+    Needles meet the windows of the data that begin with their first bytes by a join on these
+    bytes.  A map of all prefixes, of one size whatever the needles, goes to every task, so only
+    windows that may begin a needle leave the scan; the rest of a needle is compared in its chunk.
     Chunks need a halo of the longest needle less one byte.  An empty needle has no hit.
     """
     kind = dict(chunks.dtypes)["dump_id"]
     body = needles.select("secret_type", F.col("value").cast("binary").alias("value")).filter(F.octet_length("value") > 0).distinct()
-    out = None
+    out = exact_hits(chunks, []).filter(F.lit(False))
     for size in range(1, prefix + 1):
         part = body.filter(F.octet_length("value") >= size if size == prefix else F.octet_length("value") == size)
-        byte = lambda i: F.conv(F.hex(F.substring("value", i + 1, 1)), 16, 10).cast("bigint")  # noqa: E731, B023
+        byte = lambda i: F.conv(F.hex(F.substring("value", i + 1, 1)), 16, 10).cast("bigint")
         keyed = part.withColumn("key", sum((F.shiftleft(byte(i), 8 * i) for i in range(1, size)), byte(0)))
-        found = chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_prefixes(size), f"dump_id {kind}, base_off bigint, off bigint, key bigint")
+        known = _prefix_map(keyed)
+        if known is None:
+            continue
+        found = chunks.select("dump_id", "base_off", "size", "data").mapInArrow(_prefixes(size, known), f"dump_id {kind}, base_off bigint, off bigint, key bigint")
         near = found.join(keyed, "key").select("dump_id", "base_off", "off", "secret_type", "value")
         if size == prefix:  # longer needles are compared with the bytes of their chunk
             whole = near.filter(F.octet_length("value") == size).select("dump_id", "secret_type", "off", "value")
             rest = near.filter(F.octet_length("value") > size).join(chunks.select("dump_id", "base_off", "data"), ["dump_id", "base_off"])
             same = F.substring("data", (F.col("off") - F.col("base_off") + 1).cast("int"), F.octet_length("value")) == F.col("value")
             near = whole.unionByName(rest.filter(same).select("dump_id", "secret_type", "off", "value"))
-        one = near.select("dump_id", "secret_type", "off", F.octet_length("value").alias("length"))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(near.select("dump_id", "secret_type", "off", F.octet_length("value").alias("length")))
     return out
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytefold.functions.crypto import expand_secret
-from bytefold.functions.kernels import find_all
+from bytefold.functions.kernels import Automaton
 
 
 def expand_secrets(secrets: DataFrame) -> DataFrame:
@@ -28,16 +28,22 @@ def expand_secrets(secrets: DataFrame) -> DataFrame:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at_set, machine, kinds = None, None, {}
     for b in batches:
         at, kind, off, length = [], [], [], []
         for i, (data, size, base, needles) in enumerate(zip(*(b.column(c).to_pylist() for c in ("data", "size", "base_off", "needles")))):
-            for n in needles or ():
-                for o in find_all(data, n["secret_value"]):
-                    if o < size:
+            if needles != at_set:  # chunks of one run follow each other
+                at_set, kinds = needles, {}
+                for n in needles or ():
+                    kinds.setdefault(n["secret_value"], []).append(n["secret_type"])
+                machine = Automaton(list(kinds))
+            for o, v in machine.find(data) if kinds else ():
+                if o < size:
+                    for k in kinds[v]:
                         at.append(i)
-                        kind.append(n["secret_type"])
+                        kind.append(k)
                         off.append(base + o)
-                        length.append(len(n["secret_value"]))
+                        length.append(len(v))
         ids = pa.array(at, pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("library").take(ids), b.column("run_number").take(ids), b.column("dump_id").take(ids), pa.array(kind, pa.string()), pa.array(off, pa.int64()), pa.array(length, pa.int32())], names=["library", "run_number", "dump_id", "secret_type", "off", "length"])
 

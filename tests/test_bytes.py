@@ -283,3 +283,31 @@ def test_strings_do_not_depend_on_the_chunks(spark, encoding):
         assert sorted(tuple(r) for r in S.strings_of(source, 4, encoding).collect()) == want
     for r in E.image_entropy(df).collect():
         assert abs(r.entropy - K.shannon(texts[r.dump_id])) < 1e-9
+
+
+def test_overlaps_merge_the_same_in_blocks(spark, monkeypatch):
+    """Clusters inside, at the edges of and across blocks against one fold over the image."""
+    from bytefold.operators import algorithms as A
+
+    rng = random.Random(6)
+    rows = []
+    for dump in range(3):
+        off = 0
+        for _ in range(400):
+            off += rng.choice([1, 1, 2, 7, 60, 900, 30_000])
+            for length in rng.sample((32, 48), rng.choice([1, 2])):
+                rows.append((dump, off, length, rng.choice([0.5, 0.6, 0.7])))
+    want = []
+    for dump in range(3):
+        kept = None
+        for row in sorted((r for r in rows if r[0] == dump), key=lambda r: (r[1], -r[2])):
+            if kept is not None and row[1] < kept[1] + kept[2]:
+                kept = row if row[3] > kept[3] else kept
+                continue
+            if kept is not None:
+                want.append(kept)
+            kept = row
+        want.append(kept)
+    df = spark.createDataFrame(rows, "dump_id int, off bigint, length int, confidence double")
+    assert max(r[1] for r in rows) > 3 * A._BLOCK
+    assert sorted(map(tuple, A.merge_overlapping(df).collect())) == sorted(want)
