@@ -183,40 +183,59 @@ def regex_hits(data: bytes, patterns: list[tuple[str, re.Pattern]]) -> Iterator[
                 yield label, m.start(), m.end() - m.start()
 
 
-def cusum_edges(offsets: np.ndarray, entropy: np.ndarray, threshold: float = 0.8, drift: float = 0.05) -> list[tuple[int, str, float]]:
-    """Rising and falling edges of a profile: (onset offset, direction, strength)."""
-    edges: list[tuple[int, str, float]] = []
-    sums, onset = {"up": 0.0, "down": 0.0}, dict.fromkeys(("up", "down"), int(offsets[0]) if len(offsets) else 0)
-    for at, gradient in zip(offsets[1:].tolist(), np.diff(entropy).tolist()):
-        fired = []
-        for way, sign in (("up", 1.0), ("down", -1.0)):
-            before = sums[way]
-            sums[way] = max(0.0, before + sign * gradient - drift)
-            if before == 0.0 and sums[way] > 0.0:
-                onset[way] = at
-            if sums[way] > threshold:
-                fired.append((onset[way], way, sums[way]))
-                sums[way] = 0.0
-        edges += fired
-    return edges
-
-
-def plateaus(offsets: np.ndarray, entropy: np.ndarray, edges: list[tuple[int, str, float]], size: int, window: int = 32, least: float = 4.5, widths: tuple[int, ...] = (32, 48), tolerance: int = 16) -> list[tuple[int, int, float, float]]:
-    """Key-wide plateaus between a rising and the next falling edge: (offset, length, confidence, mean entropy)."""
-    out, i = [], 0
-    while i + 1 < len(edges):
-        (a, way_a, up), (b, way_b, down) = edges[i], edges[i + 1]
-        if (way_a, way_b) != ("up", "down"):
-            i += 1
-            continue
-        i += 2
-        fits = sorted((abs(b - a - span), n, width) for n, (width, span) in enumerate((w, s) for w in widths for s in (w, w + window - 1)))
-        if b <= a or not fits or fits[0][0] > tolerance:
-            continue
-        inside = entropy[(offsets >= a) & (offsets <= b)]
-        if not len(inside) or inside.mean() < least:
-            continue
-        mean = float(inside.mean())
-        confidence = round(min(mean / 8.0, 1.0) * min((up + down) / 2 / 3.0, 1.0), 4)
-        out.append((a, min(fits[0][2], size - a), confidence, mean))
-    return out
+class _Drift:
+    """A one-sided cumulative sum of an entropy profile's changes, and where its current rise began."""
+
+    def __init__(self, sign: float) -> None:
+        self.sign, self.level = sign, 0.0
+        self.onset: tuple[int, int, float, int, float] | None = None  # offset; points and sum before it; the same with it
+
+    def move(self, change: float, drift: float, onset: tuple) -> None:
+        was, self.level = self.level, max(0.0, self.level + self.sign * change - drift)
+        if self.onset is None or (was == 0.0 and self.level > 0.0):
+            self.onset = onset
+
+
+class EdgeScan:
+    """Key-wide plateaus of a profile given point by point: (offset, length, confidence).
+
+    A rising and a falling cumulative sum fire above the threshold and start again.  A falling edge
+    right behind a rising one closes a plateau; of the widths a key can have (its own, or with the
+    windows that reach into it) the nearest decides.  The mean over a plateau is the difference of
+    two running sums, so nothing of the profile is kept.
+    """
+
+    def __init__(self, threshold: float = 0.8, drift: float = 0.05, window: int = 32, least: float = 4.5, widths: tuple[int, ...] = (32, 48), tolerance: int = 16) -> None:
+        self.threshold, self.drift, self.least, self.tolerance = threshold, drift, least, tolerance
+        self.spans = [(span, width) for width in widths for span in (width, width + window - 1)]
+        self.up, self.down = _Drift(1.0), _Drift(-1.0)
+        self.last: float | None = None
+        self.points, self.total = 0, 0.0
+        self.rise: tuple[tuple, float] | None = None  # a rising edge that waits for a falling one
+
+    def step(self, off: int, entropy: float, size: int) -> list[tuple[int, int, float]]:
+        """The plateaus that this point closes, of an image of ``size`` bytes."""
+        place = (off, self.points, self.total, self.points + 1, self.total + entropy)
+        self.points, self.total = place[3:]
+        change, self.last = 0.0 if self.last is None else entropy - self.last, entropy
+        out = []
+        for side in (self.up, self.down):
+            side.move(change, self.drift, place)
+            if side.level <= self.threshold:
+                continue
+            edge, side.level = (side.onset, side.level), 0.0
+            if side is self.up:
+                self.rise = edge
+            elif self.rise is not None:
+                out += self._plateau(*self.rise, *edge, size)
+                self.rise = None
+        return out
+
+    def _plateau(self, start: tuple, up: float, end: tuple, down: float, size: int) -> list[tuple[int, int, float]]:
+        width = end[0] - start[0]
+        far, _, length = min(((abs(width - span), i, key) for i, (span, key) in enumerate(self.spans)), default=(self.tolerance + 1, 0, 0))
+        points, total = end[3] - start[1], end[4] - start[2]
+        if width <= 0 or far > self.tolerance or points <= 0 or total / points < self.least:
+            return []
+        confidence = min(total / points / 8.0, 1.0) * min((up + down) / 6.0, 1.0)
+        return [(start[0], min(length, size - start[0]), round(confidence, 4))]

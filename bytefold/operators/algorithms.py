@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytefold.functions import crypto
-from bytefold.functions.kernels import cusum_edges, plateaus
+from bytefold.functions.kernels import EdgeScan
 from bytefold.functions.plugins import import_modules
 from bytefold.operators.chunks import around, chunked
 from bytefold.operators.consensus import INVARIANT, KEY_CANDIDATE, consensus_state, span_means, state_runs, whole_chunks
@@ -180,15 +180,18 @@ def entropy_scan(images: DataFrame, context: Context) -> DataFrame:
 
 
 def _edges(window: int, least: float, threshold: float, drift: float, widths: tuple[int, ...]):
+    """Streams through sorted profiles; what it carries is one ``EdgeScan``, whatever an image's size."""
+
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("dump_id", "off", "entropy", "size"))))
-        for dump, points in groupby(rows, key=lambda r: r[0]):
-            _, off, entropy, size = zip(*points)
-            offsets, profile = np.array(off), np.array(entropy)
-            found = plateaus(offsets, profile, cusum_edges(offsets, profile, threshold, drift), size[0], window, least, widths)
-            if found:
-                o, n, c, _ = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array([dump] * len(o)), pa.array(o, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.float64())], names=["dump_id", "off", "length", "confidence"])
+        dump, scan = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in ("dump_id", "off", "entropy", "size"))):
+                if scan is None or row[0] != dump:
+                    dump, scan = row[0], EdgeScan(threshold, drift, window, least, widths)
+                out.extend((dump, *found) for found in scan.step(row[1], row[2], row[3]))
+            if out:
+                yield _matches(out, b.schema.append(pa.field("length", pa.int32())).append(pa.field("confidence", pa.float64())))
 
     return detect
 
@@ -197,13 +200,14 @@ def _edges(window: int, least: float, threshold: float, drift: float, widths: tu
 def change_point(images: DataFrame, context: Context) -> DataFrame:
     """Key-wide plateaus of the entropy profile between a rising and a falling edge.
 
-    The edge statistic is sequential along an image; a task holds one image's profile (one point
-    per ``step`` bytes) and images run in parallel.
+    The edge statistic is sequential along an image; images run in parallel, and a task carries a
+    state of a few numbers through its images' profiles.
     """
     x = context.extra
     window, step = x.get("window", 32), x.get("step", 16)
-    sizes = images.select("dump_id", F.octet_length(F.col("data").cast("binary")).alias("size"))
-    profile = entropy_profile(chunked(images, window - 1), window, step).join(sizes, "dump_id")
+    sized = images.select("dump_id", F.octet_length(F.col("data").cast("binary")).cast("bigint").alias("size"), "data")
+    chunks = chunked(sized.withColumn("dump_id", F.struct("dump_id", "size")), window - 1)
+    profile = entropy_profile(chunks, window, step).select("dump_id.dump_id", "off", "entropy", "dump_id.size")
     ordered = profile.repartition("dump_id").sortWithinPartitions("dump_id", "off")
     detect = _edges(window, x.get("entropy_threshold", 4.5), x.get("cusum_threshold", 0.8), x.get("drift", 0.05), tuple(x.get("plateau_widths", (32, 48))))
     found = ordered.mapInArrow(detect, f"dump_id {_kind(images)}, off bigint, length int, confidence double")

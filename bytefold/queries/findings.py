@@ -11,6 +11,7 @@ from bytefold.functions.crypto import encrypt, verifies
 from bytefold.functions.normalize import instant_micros, micros_of, norm_hex, norm_id, norm_label, trimmed
 from bytefold.operators import hits as H
 from bytefold.operators import intervals as I
+from bytefold.operators.results import where_equal
 from bytefold.operators.running import running
 from bytefold.session import table
 from bytefold.sources import catalog as K
@@ -107,6 +108,11 @@ def run_view(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).select("run_id", "project_id", "dump_id", "status", "finished")
 
 
+def completed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one status, with the project they are of."""
+    return where_equal(runs(spark, d), status="completed").select("run_id", "project_id")
+
+
 def project_timeline(spark: SparkSession, d: str) -> DataFrame:
     """Runs per project and status with first and last start."""
     return runs(spark, d).groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("runs"), F.min("started").alias("first"), F.max("started").alias("last"))
@@ -205,7 +211,7 @@ def downsample(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     hit_key_candidates, hit_cross_library, hit_offset_variance, hit_summary, hit_presence, phase_presence, hit_rollup, detection_metrics, confidence_rollup,
-    findings_by_type, findings_timeline, run_view, project_timeline, run_metadata, secrets, hits_in_regions, overlapping_regions, owner_lookup, view_offsets,
+    findings_by_type, findings_timeline, run_view, completed_runs, project_timeline, run_metadata, secrets, hits_in_regions, overlapping_regions, owner_lookup, view_offsets,
     common_types, unresolved_dumps, aes_check, event_replay, idle_tasks, survivors_by_stage, downsample,
 )
 
@@ -261,6 +267,7 @@ SELECT library, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, rou
         "findings_by_type": f"{w} SELECT run_id, secret_type, count(*) AS n FROM fnd GROUP BY 1, 2",
         "findings_timeline": f"{w} SELECT run_id, finding_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY micros NULLS LAST, finding_id) AS INTEGER) AS position FROM fnd WHERE run_id IS NOT NULL",
         "run_view": f"{w} SELECT run_id, project_id, dump_id, status, finished FROM rn",
+        "completed_runs": f"{w} SELECT run_id, project_id FROM rn WHERE status = 'completed'",
         "project_timeline": f'{w} SELECT project_id, status, count(*) AS runs, min(started) AS "first", max(started) AS "last" FROM rn GROUP BY 1, 2',
         "run_metadata": f"{w} SELECT count(DISTINCT library) AS libraries, count(*) AS dumps, CAST(sum(file_size) AS BIGINT) AS bytes, (SELECT count(*) FROM (SELECT DISTINCT secret_type, value FROM fnd WHERE secret_type IS NOT NULL AND value IS NOT NULL)) AS secrets FROM dmp",
         "secrets": f"{w} SELECT DISTINCT secret_type, value, CASE upper(secret_type) {_LABELS} ELSE upper(secret_type) END AS label FROM fnd WHERE value IS NOT NULL AND secret_type IS NOT NULL",

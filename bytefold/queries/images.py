@@ -18,7 +18,7 @@ from bytefold.operators import runs as R
 from bytefold.operators import search as S
 from bytefold.operators.chunks import bytes_of, chunked
 from bytefold.plans import convergence as V
-from bytefold.plans.funnel import CONVERGENCE_NS, brute_force, candidate_slices, held_images, neighborhood, nsweep, reduce_images
+from bytefold.plans.funnel import CONVERGENCE_NS, brute_force, candidate_slices, held_images, neighborhood, nsweep, reduce_images, top_regions
 from bytefold.plans.patterns import pattern_columns
 from bytefold.session import table
 
@@ -107,6 +107,14 @@ def static_runs(spark: SparkSession, d: str) -> DataFrame:
     return R.islands(low, ["grp"])
 
 
+def static_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Regions of 4 or more unchanging bytes per set, of images whose bytes are only 0 or 255."""
+    two = F.transform("embedding", lambda x: F.when(x >= 0, F.lit("FF")).otherwise(F.lit("00")))
+    images = table(spark, d, "embeddings").select(F.col("vec_id").alias("dump_id"), F.floor(F.col("vec_id") / 3).cast("bigint").alias("grp"), F.unhex(F.array_join(two, "")).alias("data"))
+    runs = C.state_runs(C.consensus_state(chunked(images, keep=["grp"]), F.col("grp")), CHUNK, [C.INVARIANT])
+    return runs.filter("length >= 4").select(F.col("grp").cast("bigint").alias("grp"), "start", "end", "length", "mean_variance")
+
+
 def volatile_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of key-candidate bytes of 4 or more per set."""
     return _rounded(_set_runs(spark, d, [C.KEY_CANDIDATE]).filter("length >= 4").drop("class"), "mean_variance")
@@ -285,6 +293,12 @@ def funnel_regions(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(regions.withColumn("mean_variance", F.col("mean_variance") + 1e-6), "mean_entropy", "mean_variance", digits=4)
 
 
+def best_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The two regions of highest mean variance per label and number of images from 3 on."""
+    regions = reduce_images(_ranked(spark, d), CONVERGENCE_NS, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)[1]
+    return top_regions(regions.filter("n >= 3"), ["grp", "n"], 2).select("grp", "n", "position", "off", "length")
+
+
 def sweep(spark: SparkSession, d: str) -> DataFrame:
     """The sweep over N with a predicate that takes slices without a zero byte."""
     return nsweep(_ranked(spark, d), CONVERGENCE_NS, lambda: lambda value: 0 not in value, (16,), 8, whole=True, entropy_threshold=4.0, min_region=8, min_variance=500.0)
@@ -304,10 +318,10 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    consensus_variance, consensus_by_set, consensus_by_label, welford_merge, variance_class_counts, variance_summary, variance_bands, static_runs, volatile_runs,
+    consensus_variance, consensus_by_set, consensus_by_label, welford_merge, variance_class_counts, variance_summary, variance_bands, static_runs, static_regions, volatile_runs,
     merged_runs, longest_run, inferred_fields, top_offsets, neighborhoods, prefix_variances, convergence, xor_diff, static_mask, byte_roles, set_patterns, text_entropy,
     entropy_profile, entropy_bands, entropy_stats, high_entropy_regions, entropy_coverage, aligned_block_filter, aligned_block_set, exact_hits, needle_join, static_hits,
-    regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, sweep, first_hits,
+    regex_hits, ascii_strings, utf8_strings, hex_dump, value_formats, funnel_stages, funnel_regions, best_regions, sweep, first_hits,
 )
 
 
@@ -399,6 +413,8 @@ SELECT doc_id AS dump_id, count(DISTINCT off) AS kept FROM spr SEMI JOIN den USI
         "variance_summary": f"{_SETS} SELECT grp, round(avg(variance), 6) AS mean_variance, round(min(variance), 6) AS min_variance, round(max(variance), 6) AS max_variance FROM con GROUP BY grp",
         "variance_bands": f"{_SETS} SELECT CASE WHEN variance < 1 THEN 'static' WHEN variance < 50 THEN 'low' WHEN variance < 200 THEN 'medium' ELSE 'high' END AS band, count(*) AS offsets FROM con GROUP BY 1",
         "static_runs": f"""{_SETS}, {_RUNS.format(cond='class <= 1')} SELECT grp, start, "end", length FROM runs""",
+        "static_regions": """SELECT grp, min(off) AS start, max(off) + 1 AS "end", count(*) AS length, 0.0::DOUBLE AS mean_variance FROM (SELECT grp, off, off - row_number() OVER (PARTITION BY grp ORDER BY off) AS g
+  FROM (SELECT vec_id // 3 AS grp, CAST(o - 1 AS BIGINT) AS off, embedding[o] >= 0 AS b FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS o FROM embeddings)) GROUP BY grp, off HAVING bool_and(b) OR NOT bool_or(b)) GROUP BY grp, g HAVING count(*) >= 4""",
         "volatile_runs": f"""{_SETS}, {_RUNS.format(cond='class = 3')} SELECT grp, start, "end", length, round(mv, 6) AS mean_variance FROM runs WHERE length >= 4""",
         "merged_runs": f"""{_SETS}, {_RUNS.format(cond='class = 3')},
 g AS (SELECT *, lag("end") OVER (PARTITION BY grp ORDER BY start) AS pe FROM runs),
@@ -454,6 +470,7 @@ SELECT doc_id AS dump_id, min(off) AS off, CAST(count(*) AS INTEGER) AS length,
         "hex_dump": "SELECT doc_id AS dump_id, CAST((o - 1) * 16 AS BIGINT) AS off, lower(trim(regexp_replace(substr(h, (o - 1) * 32 + 1, 32), '(..)', '\\1 ', 'g'))) AS hex FROM (SELECT doc_id, h, unnest(generate_series(1, CAST(ceil(length(h) / 32) AS BIGINT))) AS o FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''))",
         "funnel_stages": _FUNNEL + "SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, count(*) AS total, count(*) FILTER (WHERE m) AS variance, count(*) FILTER (WHERE dense) AS aligned, count(*) FILTER (WHERE keep) AS high_entropy FROM kep GROUP BY 1, 2",
         "funnel_regions": _FUNNEL + "SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, start AS off, length, round(mean_entropy, 4) AS mean_entropy, round(mean_variance + 1e-6, 4) AS mean_variance FROM reg",
+        "best_regions": _FUNNEL + "SELECT CAST(label AS VARCHAR) AS grp, CAST(n AS INTEGER) AS n, CAST(row_number() OVER w AS INTEGER) AS position, start AS off, length FROM reg WHERE n >= 3 WINDOW w AS (PARTITION BY label, n ORDER BY mean_variance DESC, mean_entropy DESC, start) QUALIFY row_number() OVER w <= 2",
         "sweep": _FUNNEL + f"""{_SLICES.format(sizes="16")}
 SELECT CAST(s.label AS VARCHAR) AS grp, CAST(s.n AS INTEGER) AS n, s.total, s.variance, s.aligned, s.high_entropy, coalesce(r.c, 0) AS regions, coalesce(x.c, 0) AS candidates, coalesce(x.h, 0) AS hits, x.o AS hit_off, coalesce(x.c, 0) AS tried
 FROM (SELECT label, n, count(*) AS total, count(*) FILTER (WHERE m) AS variance, count(*) FILTER (WHERE dense) AS aligned, count(*) FILTER (WHERE keep) AS high_entropy FROM kep GROUP BY 1, 2) s

@@ -101,9 +101,11 @@ def test_plateau_of_a_planted_key():
     rng = random.Random(5)
     data = bytes(512) + bytes(rng.sample(range(256), 48)) + bytes(512)
     profile = K.sliding_entropy(K.as_bytes(data), 32, 16)
-    offsets = np.arange(len(profile)) * 16
-    edges = K.cusum_edges(offsets, profile)
-    assert [w for _, w, _ in edges][:1] == ["up"] and "down" in [w for _, w, _ in edges]
+    scan = K.EdgeScan(least=1.0, tolerance=64)
+    found = [f for i, e in enumerate(profile) for f in scan.step(16 * i, float(e), len(data))]
+    assert len(found) == 1 and found[0][1] in (32, 48) and abs(found[0][0] - 512) <= 64 and 0 < found[0][2] <= 1
+    quiet = K.EdgeScan()
+    assert not [f for i in range(100) for f in quiet.step(16 * i, 5.0, 1600)]
 
 
 def images(spark, *items):
