@@ -13,7 +13,7 @@ from bytefold.operators.algorithms import REGISTRY, Context, run_all
 from bytefold.operators.chunks import chunked
 from bytefold.operators.structures import Field, Structure, apply_structure
 from bytefold.operators.verification import VERIFIERS, first_verified
-from bytefold.queries.images import _BYTES, _SETS, _VEC, NEEDLES, _con, _hits, ascii_strings, consensus_by_set, consensus_variance, texts, vector_images
+from bytefold.queries.images import _BYTES, _SETS, _VEC, NEEDLES, _con, _hits, _sliding, ascii_strings, consensus_by_set, consensus_variance, texts, vector_images
 
 #: Structures for the texts: the scores of their constrained fields differ from place to place.
 STRUCTURES = [
@@ -122,9 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _windows(step: int, *sizes: int) -> str:
     """Entropy of all windows of the texts: ``pro(dump_id, w, off, e)``."""
-    each = " UNION ALL ".join(f"""SELECT doc_id, {w} AS w, off - k * {step} - off % {step} AS off, v FROM byt, (SELECT unnest(generate_series(0, {-(-w // step)})) AS k) WHERE off - (off - k * {step} - off % {step}) < {w}""" for w in sizes)
-    return f"""siz AS (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1),
-pro AS (SELECT doc_id AS dump_id, w, off, greatest(0, log2(w) - sum(c * log2(c)) / w) AS e FROM (SELECT x.doc_id, w, off, v, count(*) AS c FROM ({each}) x JOIN siz USING (doc_id) WHERE off >= 0 AND off + w <= n GROUP BY ALL) GROUP BY doc_id, w, off)"""
+    each = " UNION ALL ".join(f"SELECT doc_id AS dump_id, {w} AS w, off, e FROM sli{w} WHERE off % {step} = 0" for w in sizes)
+    return f"siz AS (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1), {', '.join(_sliding(w, f'sli{w}') for w in sizes)}, pro AS ({each})"
 
 
 def _merged(least: float) -> str:

@@ -348,11 +348,23 @@ _BYTES = """byt AS (SELECT doc_id, CAST(o - 1 AS BIGINT) AS off, CAST(concat('0x
     SELECT doc_id, h, unnest(generate_series(1, len(h))) AS o FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents WHERE text IS NOT NULL)))"""
 
 
+def _sliding(window: int, name: str) -> str:
+    """Entropy of every window: ``name(doc_id, off, e)``.
+
+    Moving on by one byte changes two counts; the counts are those of equal bytes near by.  The sums
+    are kept in whole 2^-40 parts, so they are exact however long a text is.
+    """
+    t = lambda c: f"CAST(round(CASE WHEN {c} > 0 THEN ({c}) * log2({c}) ELSE 0 END * 1099511627776) AS BIGINT)"
+    reach = window - 1
+    return f"""{name}_n AS (SELECT doc_id, off, v, count(*) OVER (PARTITION BY doc_id, v ORDER BY off RANGE BETWEEN 1 FOLLOWING AND {reach} FOLLOWING) AS nx, count(*) OVER (PARTITION BY doc_id, v ORDER BY off RANGE BETWEEN {reach} PRECEDING AND 1 PRECEDING) AS pv FROM byt),
+{name}_s AS (SELECT doc_id, sum({t('c')}) AS s0 FROM (SELECT doc_id, v, count(*) AS c FROM byt WHERE off < {window} GROUP BY ALL) GROUP BY 1),
+{name}_d AS (SELECT doc_id, off + 1 AS off, {t('nx')} - {t('(nx + 1)')} + {t('(pn + 1)')} - {t('pn')} AS d FROM (SELECT doc_id, off, nx, lead(pv, {window}) OVER (PARTITION BY doc_id ORDER BY off) AS pn FROM {name}_n) WHERE pn IS NOT NULL
+  UNION ALL SELECT doc_id, 0, s0 FROM {name}_s JOIN (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1) USING (doc_id) WHERE n >= {window}),
+{name} AS (SELECT doc_id, off, greatest(0, log2({window}) - CAST(sum(d) OVER (PARTITION BY doc_id ORDER BY off) AS DOUBLE) / (1099511627776.0::DOUBLE * {window})) AS e FROM {name}_d)"""
+
+
 def _prof(step: int) -> str:
-    return f"""siz AS (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1),
-win AS (SELECT doc_id, off - k * {step} - off % {step} + 0 AS w, v FROM byt, (SELECT unnest(generate_series(0, {32 // step - 1})) AS k)),
-cnt AS (SELECT w.doc_id, w.w, v, count(*) AS c FROM win w JOIN siz s USING (doc_id) WHERE w.w >= 0 AND w.w + 32 <= s.n GROUP BY ALL),
-pro AS (SELECT doc_id AS dump_id, w AS off, round(greatest(0, 5 - sum(c * log2(c)) / 32), 9) AS entropy FROM cnt GROUP BY ALL)"""
+    return f"siz AS (SELECT doc_id, count(*) AS n FROM byt GROUP BY 1), {_sliding(32, 'sli')}, pro AS (SELECT doc_id AS dump_id, off, round(e, 9) AS entropy FROM sli WHERE off % {step} = 0)"
 
 
 _NS = f"""k AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings),
