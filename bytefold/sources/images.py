@@ -194,7 +194,7 @@ def _fold_files(chunk: int):
     return fold
 
 
-def file_states(files: DataFrame, chunk: int = CHUNK, task_bytes: int = 64 << 20, group: Column | None = None) -> DataFrame:
+def file_states(files: DataFrame, chunk: int = CHUNK, unit_bytes: int = 16 << 20, group: Column | None = None) -> DataFrame:
     """Consensus states of image files ``(path, size)`` by group, each file read once and in ranges.
 
     A task reads the same stretch of up to ``FOLD_IMAGES`` files of a group and folds them on the
@@ -211,16 +211,15 @@ def file_states(files: DataFrame, chunk: int = CHUNK, task_bytes: int = 64 << 20
     # Blocks of files by a hash of their path: no order over a group is needed to cut it.
     cut = known.join(least, "grp").withColumn("block", F.pmod(F.xxhash64("path"), F.ceil(F.col("images") / (FOLD_IMAGES // 2))))
     blocks = cut.groupBy("grp", "block", "least").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    per = F.greatest(F.lit(1), F.floor(F.lit(task_bytes) / (F.size("paths") * F.lit(chunk)))).cast("int")
+    per = F.greatest(F.lit(1), F.floor(F.lit(unit_bytes) / (F.size("paths") * F.lit(chunk)))).cast("int")
     chunks = F.ceil(F.col("least") / chunk).cast("int")
     work = blocks.select("grp", "paths", "least", per.alias("per"), F.explode(F.sequence(F.lit(0), chunks - 1, per)).alias("first"))
     work = work.select("grp", "paths", "least", "first", F.least(F.col("first") + F.col("per"), F.ceil(F.col("least") / chunk)).cast("int").alias("last"))
     work = work.withColumn("last", F.col("last") - 1)
-    size = known.agg(F.sum("size"), F.max(F.struct("path"))).first()[0] or 0
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+    most, size = known.groupBy("grp").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s")).agg(F.max("c"), F.sum("s")).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-(size or 0) // (4 * unit_bytes)))
     states = work.repartition(int(tasks)).mapInArrow(_fold_files(chunk), STATE)
-    several = least.filter(F.col("images") > FOLD_IMAGES // 2).limit(1).count()
-    return merge_states(states) if several else states
+    return merge_states(states) if (most or 0) > FOLD_IMAGES // 2 else states
 
 
 def file_windows(files: DataFrame, chunk: int, before: int, after: int, task_bytes: int = 16 << 20) -> DataFrame:
